@@ -234,12 +234,13 @@ def blocks(classes: DataFrame, components: DataFrame) -> DataFrame:
     """a < b: pairs between components, of the buckets that hold several, that pass the first steps of the comparison."""
     first = F.substring("sig", 1, 4 * FIRST)
     known = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("component"))
-    rows = banded(known, "component", "sig")
+    rows = banded(known, "component")  # without signatures: only members of open buckets fetch theirs
     # a bucket of two had its pair compared with the leader
     open_ = stored(rows.groupBy("bucket").agg(leader(), F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 AND lo <> hi").select("bucket", "leader"), "open-buckets")
     of_leader = open_.join(known.select(F.col("rep").alias("leader"), F.col("component").alias("lead")), "leader")
-    members = stored(rows.join(of_leader, "bucket").filter("rep <> leader").select("bucket", "rep", "component", (F.col("component") == F.col("lead")).alias("inner"), first.alias("sig")), "open-members")
-    sizes = members.groupBy("bucket").agg(F.ceil(F.sum((~F.col("inner")).cast("int")) / SIDE).cast("int").alias("n_out"), F.ceil(F.sum(F.col("inner").cast("int")) / SIDE).cast("int").alias("n_in")).filter("n_out > 0")
+    inside = stored(rows.join(of_leader, "bucket").filter("rep <> leader").select("bucket", "rep", "component", (F.col("component") == F.col("lead")).alias("inner")), "open-members")
+    sizes = inside.groupBy("bucket").agg(F.ceil(F.sum((~F.col("inner")).cast("int")) / SIDE).cast("int").alias("n_out"), F.ceil(F.sum(F.col("inner").cast("int")) / SIDE).cast("int").alias("n_in")).filter("n_out > 0")
+    members = inside.join(classes.select("rep", first.alias("sig")), "rep")
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda kind, i, j, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), right.alias("right"))

@@ -7,11 +7,14 @@ posterior chance of a similarity of 0.75 or more (uniform prior) is under ``MISS
 
 Order of work, so that a group of copies never meets itself pair by pair:
 1. every member of a band's bucket is paired with the bucket's leader (four orders of documents take turns by band);
-2. each document's likeliest survivor is verified, links join components, and only survivors that run between
+   pairs that survive pruning join their documents into families;
+2. buckets that hold several families are compared whole, but not inside a family: members are dealt by hash into blocks
+   of about ``SIDE``, and a pair of blocks is one step in numpy; survivors join families;
+3. each document's likeliest survivor is verified, links join components, and only survivors that run between
    components are verified next;
-3. buckets that still hold several components are compared whole: members dealt by hash into blocks of about ``SIDE``,
-   one task's step a pair of blocks, in numpy, without pairs inside a component or with the leader; survivors are
-   verified. So no pair that shares a band goes untested, unless a chain of links joins it already.
+4. families that still hold several components are compared whole, but not inside a component, block by block on
+   signatures and then on the full sets, which are carried along.
+So no pair that shares a band goes untested, unless a chain of links joins it already.
 
 Edge cases: a null or empty text has an empty set, is linked with nothing and is its own component; texts of one to four
 words are one shingle; rows of one doc_id are one document, linked by what any of its texts is linked by; rows without
@@ -99,16 +102,18 @@ def profile(df: DataFrame) -> DataFrame:
     return id_and_text(df).mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
 
 
-def sets_of(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, set (bytes) of the rows whose doc_id is among ids."""
+def sets_of(df: DataFrame, ids: DataFrame, by_key: DataFrame) -> DataFrame:
+    """rep, set (bytes) of the classes whose rep is among ids."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for a, b in sliced(texts):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary())], names=["doc_id", "set"])
+                sets = [x.tobytes() for x in shingle_sets(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    return id_and_text(df).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+    found = id_and_text(df).join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "key binary, set binary")
+    return found.join(by_key.select("key", "rep"), "key").dropDuplicates(["rep"]).select("rep", "set")
 
 
 def least_matches(compared: int) -> int:
@@ -151,23 +156,29 @@ def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", agreeing("sig_a", "sig_b").alias("likeness")).filter("likeness >= 0").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
-def verify(pairs: DataFrame, df: DataFrame) -> DataFrame:
+def overlap(u: np.ndarray, v: np.ndarray) -> int:
+    """Values that two ascending arrays share."""
+    if len(u) > len(v):
+        u, v = v, u
+    return int(np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u)) if len(u) else 0
+
+
+def similar(u: np.ndarray, v: np.ndarray) -> bool:
+    if min(len(u), len(v)) < SIMILAR * max(len(u), len(v)):
+        return False
+    both = overlap(u, v)
+    return both > 0 and 100 * both >= 100 * SIMILAR * (len(u) + len(v) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b whose full sets are similar."""
 
     @F.pandas_udf(T.BooleanType())
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            u, v = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            out.append(100 * both >= 100 * SIMILAR * (len(u) + len(v) - both) and both > 0)
-        return pd.Series(out, dtype=bool)
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similar(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    pairs = pairs.select("a", "b")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(sets_of(df, needed), "shingle-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.filter(similar("set_a", "set_b")).select("a", "b").distinct()
+    both = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
+    return both.filter(near("set_a", "set_b")).select("a", "b")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -230,64 +241,101 @@ def stars(classes: DataFrame) -> DataFrame:
     return rows.join(heads, "bucket").filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
-def blocks(classes: DataFrame, components: DataFrame) -> DataFrame:
-    """a < b: pairs between components, of the buckets that hold several, that pass the first steps of the comparison."""
-    first = F.substring("sig", 1, 4 * FIRST)
-    known = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("component"))
-    rows = banded(known, "component")  # without signatures: only members of open buckets fetch theirs
-    # a bucket of two had its pair compared with the leader
-    open_ = stored(rows.groupBy("bucket").agg(leader(), F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 AND lo <> hi").select("bucket", "leader"), "open-buckets")
-    of_leader = open_.join(known.select(F.col("rep").alias("leader"), F.col("component").alias("lead")), "leader")
-    inside = stored(rows.join(of_leader, "bucket").filter("rep <> leader").select("bucket", "rep", "component", (F.col("component") == F.col("lead")).alias("inner")), "open-members")
-    sizes = inside.groupBy("bucket").agg(F.ceil(F.sum((~F.col("inner")).cast("int")) / SIDE).cast("int").alias("n_out"), F.ceil(F.sum(F.col("inner").cast("int")) / SIDE).cast("int").alias("n_in")).filter("n_out > 0")
-    members = inside.join(classes.select("rep", first.alias("sig")), "rep")
-    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int"))
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def dealt(members: DataFrame, sizes: DataFrame, unit: str, *payload: str) -> DataFrame:
+    """Members (unit, rep, part, inner, payload) once for each pair of blocks they are in: outer blocks with one another
+    and with inner ones. sizes: unit, n_out, n_in (numbers of blocks)."""
+    own, none = F.col("own"), F.array().cast("array<struct<kind:int,i:int,j:int,right:boolean>>")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cell = lambda kind, i, j, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), right.alias("right"))
-    own, none = F.col("own"), F.array().cast("array<struct<kind:int,i:int,j:int,right:boolean>>")
     outer = F.transform(upto("n_out"), lambda j: cell(0, F.least(own, j), F.greatest(own, j), own > j))
     outer = F.concat(outer, F.when(F.col("n_in") > 0, F.transform(upto("n_in"), lambda j: cell(1, own, j, F.lit(False)))).otherwise(none))
     inner = F.transform(upto("n_out"), lambda i: cell(1, i, own, F.lit(True)))
-    tasks = dealt.select("bucket", "rep", "component", "sig", F.explode(F.when(F.col("inner"), inner).otherwise(outer)).alias("c")).select(F.xxhash64("bucket", "c.kind", "c.i", "c.j").alias("task"), (F.col("c.i") == F.col("c.j")).__and__(F.col("c.kind") == 0).alias("same"), "c.right", "rep", "component", "sig")
+    placed = members.join(sizes, unit).withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int"))
+    each = placed.select(unit, "rep", "part", *payload, F.explode(F.when(F.col("inner"), inner).otherwise(outer)).alias("c"))
+    task = F.xxhash64(unit, "c.kind", "c.i", "c.j").alias("task")
+    same = ((F.col("c.i") == F.col("c.j")) & (F.col("c.kind") == 0)).alias("same")
+    return each.select(task, same, "c.right", "rep", "part", *payload).repartition("task").sortWithinPartitions("task")
+
+
+def by_task(tasks: DataFrame, accept) -> DataFrame:
+    """a < b: pairs that run between parts and pass the comparison of signatures, and accept(rows, x, y) -> mask."""
+
+    def pairs_of(rows, a, b):
+        rep, part, right = (rows[c][a:b] for c in ("rep", "part", "right"))
+        left = np.flatnonzero(~right)
+        other = left if rows["same"][a] else np.flatnonzero(right)
+        if not len(left) or not len(other):
+            return None
+        sig = np.frombuffer(b"".join(rows["sig"][a:b].to_pylist()), dtype=np.uint32).reshape(b - a, -1)
+        agree = np.zeros((len(left), len(other)), dtype=np.int16)
+        for k in range(BATCH):
+            agree += sig[left, k][:, None] == sig[other, k]
+        x, y = np.nonzero((agree >= STEPS[0][1]) & (part[left][:, None] != part[other]))
+        x, y = left[x], other[y]
+        for k, least in STEPS[1 : sig.shape[1] // BATCH]:
+            near = (sig[x, :k] == sig[y, :k]).sum(axis=1) >= least
+            x, y = x[near], y[near]
+        if accept is not None and len(x):
+            good = accept(rows["set"][a:b].to_pylist(), x, y)
+            x, y = x[good], y[good]
+        return np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])])
 
     def run(batches):
-        def pairs_of(rep, component, sig, right, same):
-            left = np.flatnonzero(~right)
-            other = left if same else np.flatnonzero(right)
-            if not len(left) or not len(other):
-                return None
-            s = np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(-1, FIRST)
-            agree = np.zeros((len(left), len(other)), dtype=np.int16)
-            for k in range(BATCH):
-                agree += s[left, k][:, None] == s[other, k]
-            x, y = np.nonzero((agree >= STEPS[0][1]) & (component[left][:, None] != component[other]))
-            x, y = left[x], other[y]
-            for k, least in STEPS[1 : FIRST // BATCH]:
-                near = (s[x, :k] == s[y, :k]).sum(axis=1) >= least
-                x, y = x[near], y[near]
-            return np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
-
         held = None
         for batch in chain(batches, [None]):
-            table = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks() if held is not None or batch is not None else None
-            if table is None or not table.num_rows:
+            parts = [x for x in (held, batch) if x is not None]
+            if not parts:
                 continue
-            task = table.column("task").to_numpy()
-            ends = np.flatnonzero(np.append(task[1:] != task[:-1], batch is None)) + 1
-            rep, component, right, same = (table.column(c).to_numpy() for c in ("rep", "component", "right", "same"))
-            sig = table.column("sig").to_pylist()
-            a = 0
-            found = []
-            for b in ends.tolist():
-                if b - a > 1 and (got := pairs_of(rep[a:b], component[a:b], sig[a:b], right[a:b], bool(same[a]))) is not None and len(got[0]):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            rows = {c: table.column(c) if c in ("sig", "set") else table.column(c).to_numpy() for c in table.column_names}
+            task = rows["task"]
+            a, found = 0, []
+            for b in (np.flatnonzero(np.append(task[1:] != task[:-1], batch is None)) + 1).tolist():
+                if b - a > 1 and (got := pairs_of(rows, a, b)) is not None:
                     found.append(got)
                 a = b
-            held = table.slice(a).to_batches()[0] if a < table.num_rows else None
-            if found:
-                both = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)]), axis=1)
+            held = table.slice(a).combine_chunks().to_batches()[0] if a < table.num_rows else None
+            if found and (both := np.unique(np.concatenate(found, axis=1), axis=1)).size:
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+    return tasks.mapInArrow(run, "a long, b long").distinct()
+
+
+def n_blocks(inner: bool) -> Column:
+    return F.ceil(F.sum((F.col("inner") == F.lit(inner)).cast("int")) / SIDE).cast("int").alias("n_in" if inner else "n_out")
+
+
+def between_families(classes: DataFrame, families: DataFrame) -> DataFrame:
+    """a < b: pairs of different families, from buckets that hold several, that pass the first comparisons."""
+    known = classes.join(families.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("part"))
+    rows = banded(known, "part")  # without signatures: only members of open buckets fetch theirs
+    # a bucket of two had its pair compared with the leader
+    open_ = stored(rows.groupBy("bucket").agg(leader(), F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("n > 2 AND lo <> hi").select("bucket", "leader"), "open-buckets")
+    of_leader = open_.join(known.select(F.col("rep").alias("leader"), F.col("part").alias("lead")), "leader")
+    inside = stored(rows.join(of_leader, "bucket").filter("rep <> leader").select("bucket", "rep", "part", (F.col("part") == F.col("lead")).alias("inner")), "open-members")
+    sizes = inside.groupBy("bucket").agg(n_blocks(False), n_blocks(True)).filter("n_out > 0")
+    members = inside.join(classes.select("rep", F.substring("sig", 1, 4 * FIRST).alias("sig")), "rep")
+    return by_task(dealt(members, sizes, "bucket", "sig"), None)
+
+
+def inside_families(classes: DataFrame, sets: DataFrame, families: DataFrame, found: DataFrame) -> DataFrame:
+    """a < b: links between components of one family."""
+    member = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("part"))
+    counts = member.groupBy("family", "part").agg(F.count("*").alias("n"))
+    major = stored(counts.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("n > 2 AND parts > 1").select("family", "major"), "open-families")
+    inside = stored(member.join(major, "family").select("family", "rep", "part", (F.col("part") == F.col("major")).alias("inner")), "open-members")
+    sizes = inside.groupBy("family").agg(n_blocks(False), n_blocks(True))
+    members = inside.join(classes, "rep").join(sets, "rep")
+
+    def accept(sets, x, y):
+        known = [np.frombuffer(b, dtype=np.uint64) for b in sets]
+        return np.array([similar(known[i], known[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)], dtype=bool)
+
+    return by_task(dealt(members, sizes, "family", "sig", "set"), accept)
 
 
 def components(df: DataFrame) -> DataFrame:
@@ -295,18 +343,21 @@ def components(df: DataFrame) -> DataFrame:
     rows = stored(profile(df), "profiles")
     linked = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     by_key = stored(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    classes = by_key.select("rep", "sig")
+    classes = by_key.groupBy("rep").agg(F.first("sig").alias("sig")) if by_key.groupBy("rep").count().filter("count > 1").head() else by_key.select("rep", "sig")
     survivors = stored(prune(stars(classes), classes), "survivors")
-    best = survivors.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a")).select("a", "b")
+    families = connected(survivors)
+    late = stored(prune(stored(between_families(classes, families), "late"), classes), "late-survivors")
+    if not late.isEmpty():
+        survivors = stored(survivors.union(late), "survivors")
+        families = merged(families, late)
+    sets = stored(sets_of(df, ends(survivors), by_key), "shingle-sets")
+    best = stored(survivors.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a")).select("a", "b"), "likeliest")
     # a doc_id that several rows share ties their classes together
     tied = linked.select("doc_id", "key").join(by_key.select("key", "rep"), "key").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    best = stored(best, "likeliest")
-    found = connected(stored(verify(best, df).union(tied), "links"))
-    rest = stored(between(survivors.select("a", "b").join(best, ["a", "b"], "left_anti"), found), "rest")
-    found = merged(found, stored(verify(rest, df), "links"))
-    late = stored(blocks(classes, found).join(survivors, ["a", "b"], "left_anti"), "late")
-    late = stored(prune(late, classes).select("a", "b"), "late-survivors")
-    found = merged(found, stored(verify(late, df), "links"))
+    found = connected(verify(best, sets).union(tied))
+    rest = between(survivors.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
+    found = merged(found, stored(verify(rest, sets), "links"))
+    found = merged(found, stored(inside_families(classes, sets, families, found), "links"))
     of_key = by_key.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -6,7 +6,7 @@ seven or more digits (skip), however distant; loopy sum-product messages settle
 A site labelled with probability ``SURE`` or more adds a span where no base span lies; neighbours of one kind join.
 
 Training is by pseudo-likelihood on a bounded sample: at most ``SAMPLE`` documents of up to ``SAMPLE_CHARS`` characters
-with a digit or an at sign, the first by hash of doc_id; the base spans label their sites. The sample fits the weights
+with a digit or an at sign, drawn by hash of doc_id; the base spans label their sites. The sample fits the weights
 only; spans and counts come from every whole text.
 
 Edge cases: a null or empty text has no spans; equal rows get equal results; null doc_ids stay null; an empty table, or
@@ -232,8 +232,11 @@ def written(spans) -> str:
 
 
 def sample(df: DataFrame, bound: int = SAMPLE) -> list[str]:
-    rows = id_and_text(df).filter((F.char_length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
-    return [r.text for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(bound).collect()]
+    """Texts of documents under a hash threshold set so that about ``bound`` pass; no more than ``bound``."""
+    rows = id_and_text(df).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))).filter((F.char_length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
+    n = rows.count()
+    few = rows.filter(F.col("h") < F.lit(int((1 << 32) * min(1.0, bound / max(1, n))))).select("h", "text").collect()
+    return [t for _, t in sorted((r.h, r.text) for r in few)[:bound]]
 
 
 def scan(df: DataFrame, bound: int = SAMPLE) -> DataFrame:

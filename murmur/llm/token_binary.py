@@ -16,6 +16,8 @@ ignored.
 from __future__ import annotations
 
 import functools
+import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from .common import discard, id_and_text, new_path, sliced, stored
 VOCAB = "word_bpe_49k.json"
 END = 1
 BLOCK = 1 << 18
-#: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers; the older half goes first.
+REMEMBERED = 800_000
 
 BLOCKS = "shard int, block int, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary"
 
@@ -44,58 +46,96 @@ def tokenizer(path: str):
 
 
 _remembered: dict = {}
+#: A full stop or comma that ends an ASCII word: a token of its own, whatever the word.
+_END_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 
 
-def _learn(tok, words: list[bytes]) -> None:
-    """Ids of words not met before, encoded in one call as words of one text."""
+#: Stands between words that are encoded together: one id, which no word without this character has.
+_MARK = "\x01"
+
+
+def _learn(tok, words: list[bytes], kind: str) -> None:
+    """Ids of words not met before, encoded many in one call."""
+    between = tok.encode(_MARK, add_special_tokens=False).ids
+    odd = [w for w in words if b"\x01" in w] if len(between) == 1 else words
+    for w in odd:
+        _remembered[w] = np.array(tok.encode(w.decode(), add_special_tokens=False).ids, dtype=kind).tobytes()
+    words = [w for w in words if b"\x01" not in w] if len(between) == 1 else []
     for first in range(0, len(words), 20_000):
         part = words[first : first + 20_000]
-        got = tok.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u4")
-        of = np.array([-1 if w is None else w for w in got.word_ids], dtype=np.int64)
-        ends = np.searchsorted(of, np.arange(len(part)), side="right")
+        joined = (b" \x01 ".join(part) + b" \x01").decode()
+        ids = np.array(tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=kind)
+        ends = np.flatnonzero(ids == between[0])
+        data, size = ids.tobytes(), ids.itemsize
         at = 0
-        for w, end in zip(part, ends.tolist(), strict=True):
-            _remembered[w] = ids[at:end].tobytes()
-            at = end
+        for w, end in zip(part, (ends * size).tolist(), strict=True):
+            _remembered[w] = data[at:end]
+            at = end + size
+
+
+#: Classes of bytes: letters and digits, marks that end words, white space, others.
+_CLASS = bytes(0x61 if b < 128 and chr(b).isalnum() else 0x2E if b in b".," else 0x20 if b in b" \t\n\r\x0b\x0c" else 0x78 for b in range(256))
+
 
+def _words(text: bytes) -> list[bytes]:
+    """Parts of a text whose ids follow one another: this vocabulary drops white space and lower-cases, and no merge,
+    normal form or special token spans ASCII white space. A text with the mark of special tokens keeps its case."""
+    if b"<|" in text:
+        return text.split()
+    text = text.lower()
+    classes = text.translate(_CLASS)
+    if b"x." in classes or b".." in classes:  # next to other signs a full stop may belong with them
+        return _END_MARK.sub(rb" \1", text).split()
+    return text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n").split()
 
-def encode_texts(tok, texts: list[bytes]) -> list[bytes]:
-    """Ids of each UTF-8 text. This vocabulary drops white space and no merge, normal form or special token spans it, so
-    a text's ids are those of its words (parted by ASCII white space), one after the other."""
+
+def encode_texts(tok, texts: list[bytes], kind: str = "<u4") -> list[bytes]:
+    """Ids of each UTF-8 text, as bytes of the numpy type ``kind``."""
+    global _kind
+    if kind != _kind:
+        _remembered.clear()
+        _kind = kind
     out = []
     for a, b in sliced(texts):
-        split = [t.split() for t in texts[a:b]]
-        known = set().union(*split)
+        split = [_words(t) for t in texts[a:b]]
         if len(_remembered) > REMEMBERED:
-            _remembered.clear()
-        if new := sorted(known.difference(_remembered)):
-            _learn(tok, new)
+            for w in list(islice(_remembered, REMEMBERED // 2)):
+                del _remembered[w]
+        if new := set().union(*split).difference(_remembered):
+            _learn(tok, sorted(new), kind)
         lookup = _remembered.__getitem__
         out += [b"".join(map(lookup, words)) for words in split]
     return out
 
 
-def encode(df: DataFrame, path: str, end: int | None = END) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers, the end id last) of every row."""
-    tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
+_kind = "<u4"
+
+
+def narrow(path: str) -> str:
+    """The least unsigned type that holds every id of a vocabulary."""
+    return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encode(df: DataFrame, path: str, end: int | None = END, kind: str = "<u4") -> DataFrame:
+    """doc_id, ids (bytes of the numpy type ``kind``, the end id last) of every row."""
+    tail = b"" if end is None else np.array([end], dtype=kind).tobytes()
 
     def run(batches):
         tok = tokenizer(path)
         for batch in batches:
-            ids = [x + tail for x in encode_texts(tok, batch.column("text").cast(pa.binary()).to_pylist())]
+            ids = [x + tail for x in encode_texts(tok, batch.column("text").cast(pa.binary()).to_pylist(), kind)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return id_and_text(df).mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(encoded: DataFrame) -> DataFrame:
+def id_counts(encoded: DataFrame, kind: str = "<u4") -> DataFrame:
     """id, count over the whole corpus: each task adds up its own batches first."""
 
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4"), minlength=len(total))
+            got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind), minlength=len(total))
             got[: len(total)] += total
             total = got
         hit = np.flatnonzero(total)
@@ -127,10 +167,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
-def write(encoded: DataFrame, path: str) -> None:
+def write(encoded: DataFrame, path: str, kind: str = "<u4") -> None:
     """Writes the store. encoded is read twice, so pass a stored table."""
-    spark = encoded.sparkSession
-    id_counts(encoded).orderBy(F.desc("count"), "id").coalesce(1).write.parquet(f"{path}/counts")
+    spark, size = encoded.sparkSession, np.dtype(kind).itemsize
+    id_counts(encoded, kind).orderBy(F.desc("count"), "id").coalesce(1).write.parquet(f"{path}/counts")
     counts = spark.read.parquet(f"{path}/counts")
     # one row for each id of the vocabulary at most, whatever the corpus
     ids = np.array([r.id for r in counts.orderBy(F.desc("count"), "id").select("id").collect()], dtype=np.int64)
@@ -145,15 +185,15 @@ def write(encoded: DataFrame, path: str) -> None:
         shard, block, docs, lengths, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def full():
-            control, data = pack(shared.value[np.frombuffer(b"".join(parts), dtype="<u4")])
+            control, data = pack(shared.value[np.frombuffer(b"".join(parts), dtype=kind)])
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "doc_ids": docs, "lengths": lengths, "control": control, "data": data}], schema=schema)
 
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 docs.append(doc)
-                lengths.append(len(ids) // 4)
+                lengths.append(len(ids) // size)
                 parts.append(ids)
-                held += len(ids) // 4
+                held += lengths[-1]
                 if held >= BLOCK:
                     yield full()
                     block, docs, lengths, parts, held = block + 1, [], [], [], 0
@@ -192,8 +232,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def store(df: DataFrame, vocab_path: str) -> str:
     """Encodes a table of documents into a new store in the shared folder; returns its path."""
-    encoded = stored(encode(df, vocab_path), "token-ids")
+    kind = narrow(vocab_path)
+    encoded = stored(encode(df, vocab_path, kind=kind), "token-ids")
     path = new_path(df.sparkSession, "token-store")
-    write(encoded, path)
+    write(encoded, path, kind)
     discard(encoded)
     return path

@@ -44,6 +44,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 16, 1e-6
 #: Members of a block in step 3, and signature values used there.
 SIDE, FIRST = 256, 64
+#: Most doc_ids that are broadcast to pick texts for verification.
+FEW_IDS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(5)
 _A = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -112,7 +114,10 @@ def sets_of(df: DataFrame, ids: DataFrame, by_key: DataFrame) -> DataFrame:
                 sets = [x.tobytes() for x in shingle_sets(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    found = id_and_text(df).join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "key binary, set binary")
+    ids = stored(ids.withColumnRenamed("rep", "doc_id"), "verified-ids")
+    if ids.count() <= FEW_IDS:  # eight bytes each; beyond that, texts are shuffled to them
+        ids = F.broadcast(ids)
+    found = id_and_text(df).join(ids, "doc_id", "left_semi").mapInArrow(run, "key binary, set binary")
     return found.join(by_key.select("key", "rep"), "key").dropDuplicates(["rep"]).select("rep", "set")
 
 
@@ -236,9 +241,12 @@ def leader() -> Column:
 
 def stars(classes: DataFrame) -> DataFrame:
     """a < b: every class with the leader of each of its buckets."""
-    rows = banded(classes)
-    heads = rows.groupBy("bucket").agg(leader(), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(heads, "bucket").filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    rows = banded(classes, "n")
+    heads = rows.groupBy("bucket").agg(leader(), F.count("*").alias("members")).filter("members > 1").drop("members")
+    heads = heads.join(classes.select(F.col("rep").alias("leader"), F.col("n").alias("n_leader")), "leader")
+    # sets whose sizes are too far apart can't be similar
+    near = F.least("n", "n_leader") >= SIMILAR * F.greatest("n", "n_leader")
+    return rows.join(heads, "bucket").filter((F.col("rep") != F.col("leader")) & near).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -329,7 +337,7 @@ def inside_families(classes: DataFrame, sets: DataFrame, families: DataFrame, fo
     major = stored(counts.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("n > 2 AND parts > 1").select("family", "major"), "open-families")
     inside = stored(member.join(major, "family").select("family", "rep", "part", (F.col("part") == F.col("major")).alias("inner")), "open-members")
     sizes = inside.groupBy("family").agg(n_blocks(False), n_blocks(True))
-    members = inside.join(classes, "rep").join(sets, "rep")
+    members = inside.join(classes.select("rep", "sig"), "rep").join(sets, "rep")
 
     def accept(sets, x, y):
         known = [np.frombuffer(b, dtype=np.uint64) for b in sets]
@@ -342,8 +350,10 @@ def components(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     rows = stored(profile(df), "profiles")
     linked = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL")
-    by_key = stored(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    classes = by_key.groupBy("rep").agg(F.first("sig").alias("sig")) if by_key.groupBy("rep").count().filter("count > 1").head() else by_key.select("rep", "sig")
+    by_key = stored(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
+    classes = by_key.select("rep", "n", "sig")
+    if classes.groupBy("rep").count().filter("count > 1").head():  # a doc_id with several texts: one of them stands for it
+        classes = stored(classes.dropDuplicates(["rep"]), "classes")
     survivors = stored(prune(stars(classes), classes), "survivors")
     families = connected(survivors)
     late = stored(prune(stored(between_families(classes, families), "late"), classes), "late-survivors")

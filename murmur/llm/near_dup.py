@@ -6,7 +6,7 @@ its smallest doc_id; the work below is on classes. 32 bands of four MinHash valu
 posterior chance of a similarity of 0.75 or more (uniform prior) is under ``MISS``; survivors are verified on full sets.
 
 Order of work, so that a group of copies never meets itself pair by pair:
-1. every member of a band's bucket is paired with the bucket's leader (four orders of documents take turns by band);
+1. every member of a band's bucket is paired with the bucket's leader (two orders of documents take turns by band);
    pairs that survive pruning join their documents into families;
 2. buckets that hold several families are compared whole, but not inside a family: members are dealt by hash into blocks
    of about ``SIDE``, and a pair of blocks is one step in numpy; survivors join families;
@@ -42,15 +42,15 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the chance at which a pair is given up.
 BATCH, MISS = 16, 1e-6
-#: Members of a block in step 3, and signature values used there.
-SIDE, FIRST = 256, 64
+#: Members of a block in steps 2 and 4.
+SIDE = 256
 #: Most doc_ids that are broadcast to pick texts for verification.
 FEW_IDS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(5)
 _A = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-MASKS = (0, 0x5A5A5A5A5A5A5A5A, 0x3C96A7D1F00F1E69, 0x7FFFFFFFFFFFFFFF)
+MASKS = (0, 0x5A5A5A5A5A5A5A5A)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -318,7 +318,7 @@ def n_blocks(inner: bool) -> Column:
 
 
 def between_families(classes: DataFrame, families: DataFrame) -> DataFrame:
-    """a < b: pairs of different families, from buckets that hold several, that pass the first comparisons."""
+    """a < b: pairs of different families, from buckets that hold several, that survive the comparison."""
     known = classes.join(families.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("part"))
     rows = banded(known, "part")  # without signatures: only members of open buckets fetch theirs
     # a bucket of two had its pair compared with the leader
@@ -326,7 +326,7 @@ def between_families(classes: DataFrame, families: DataFrame) -> DataFrame:
     of_leader = open_.join(known.select(F.col("rep").alias("leader"), F.col("part").alias("lead")), "leader")
     inside = stored(rows.join(of_leader, "bucket").filter("rep <> leader").select("bucket", "rep", "part", (F.col("part") == F.col("lead")).alias("inner")), "open-members")
     sizes = inside.groupBy("bucket").agg(n_blocks(False), n_blocks(True)).filter("n_out > 0")
-    members = inside.join(classes.select("rep", F.substring("sig", 1, 4 * FIRST).alias("sig")), "rep")
+    members = inside.join(classes.select("rep", "sig"), "rep")
     return by_task(dealt(members, sizes, "bucket", "sig"), None)
 
 
@@ -356,7 +356,7 @@ def components(df: DataFrame) -> DataFrame:
         classes = stored(classes.dropDuplicates(["rep"]), "classes")
     survivors = stored(prune(stars(classes), classes), "survivors")
     families = connected(survivors)
-    late = stored(prune(stored(between_families(classes, families), "late"), classes), "late-survivors")
+    late = stored(between_families(classes, families).withColumn("likeness", F.lit(0).cast("long")), "late-survivors")
     if not late.isEmpty():
         survivors = stored(survivors.union(late), "survivors")
         families = merged(families, late)

@@ -59,6 +59,11 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sliced(texts: list, chars: int = 1_000_000):
     """Index ranges over texts of about so many characters each, to bound what one numpy step holds."""
     first, held = 0, 0

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAPS, WORD, stored
+from .common import GAPS, WORD, let, stored
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -54,14 +54,9 @@ def repeated_words(words: Column) -> Column:
             starts = F.array_distinct(F.flatten(twin))
             return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
 
-        return _let(placed, among)
+        return let(placed, among)
 
-    return F.when(n >= 4, _let(keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0)).otherwise(covered(k)))).otherwise(F.lit(0)).cast("long")
-
-
-def _let(value: Column, body) -> Column:
-    """body(value) with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.when(n >= 4, let(keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0)).otherwise(covered(k)))).otherwise(F.lit(0)).cast("long")
 
 
 def statistics(df: DataFrame) -> DataFrame:
@@ -73,10 +68,10 @@ def statistics(df: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang"),
         F.col("source"),
-        _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeats"))).alias("w"),
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeats"))).alias("w"),
         (F.char_length(F.translate(text, GAPS, ""))).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ).select("doc_id", "lang", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.repeats").alias("n_repeat_words"))
 
 
@@ -188,5 +183,5 @@ def keep(df: DataFrame) -> DataFrame:
     known = df.join(verdict, df["doc_id"] == F.col("_kept_id"), "left_semi")
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    passes = _let(words, lambda w: (F.size(w) >= MIN_WORDS) & (100 * repeated_words(w) <= MAX_REPEAT * F.size(w)))
+    passes = let(words, lambda w: (F.size(w) >= MIN_WORDS) & (100 * repeated_words(w) <= MAX_REPEAT * F.size(w)))
     return known.unionByName(df.filter(F.col("doc_id").isNull()).filter(passes))

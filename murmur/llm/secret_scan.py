@@ -24,7 +24,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import id_and_text, let, stored
 
 # Fixed values of the query contract.
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -74,7 +74,7 @@ def _tail(z: Column) -> Column:
 def _judged(c: Column, text: Column) -> Column:
     """A candidate span with its length class, bin of -log10 p and whether the battery finds it random."""
     raw = F.substring(text, c["start"].cast("int") + 1, (c["end"] - c["start"]).cast("int"))
-    bare = F.translate(F.rtrim(F.lit("="), raw), "-_", "+/")
+    bare = F.translate(F.rtrim(raw, F.lit("=")), "-_", "+/")
 
     def battery(token: Column, symbols: str) -> Column:
         k, n = len(symbols), F.char_length(token).cast("double")
@@ -86,19 +86,30 @@ def _judged(c: Column, text: Column) -> Column:
 
         def after(xs: Column) -> Column:
             size = F.size(xs)
-            mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / n
-            lagged = F.zip_with(F.slice(xs, F.lit(1), size - 1), F.slice(xs, F.lit(2), size - 1), lambda a, b: F.struct(((a - mean) * (b - mean)).alias("p"), F.when((a > 0) != (b > 0), 1.0).otherwise(0.0).alias("r")))
-            spread = F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-            upper = F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.when(x > 0, 1.0).otherwise(0.0))
-            expected = 2 * upper * (n - upper) / n
-            runs = F.aggregate(lagged, F.lit(0.0), lambda a, x: a + x["r"])
-            z_runs = F.when(expected > 1, (runs - expected) / F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9)))).otherwise(F.lit(99.0))
-            z_serial = F.when(spread > 0, F.aggregate(lagged, F.lit(0.0), lambda a, x: a + x["p"]) / spread * F.sqrt(n)).otherwise(F.lit(99.0))
+            total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+            pairs_of = lambda f: F.zip_with(F.slice(xs, F.lit(1), size - 1), F.slice(xs, F.lit(2), size - 1), f)
+            sums = F.struct(
+                total(xs).alias("s"),
+                total(F.transform(xs, lambda x: x * x)).alias("q"),
+                total(pairs_of(lambda a, b: a * b)).alias("lag"),
+                total(pairs_of(lambda a, b: F.when((a > 0) != (b > 0), 1.0).otherwise(0.0))).alias("runs"),
+                total(F.transform(xs, lambda x: F.when(x > 0, 1.0).otherwise(0.0))).alias("upper"),
+                (xs[0] + F.element_at(xs, -1)).alias("ends"),
+            )
+            return let(sums, tested)
+
+        def tested(v: Column) -> Column:
+            mean = v["s"] / n
+            spread = v["q"] - n * mean * mean
+            lagged = v["lag"] - mean * (2 * v["s"] - v["ends"]) + (n - 1) * mean * mean
+            expected = 2 * v["upper"] * (n - v["upper"]) / n
+            z_runs = F.when(expected > 1, (v["runs"] - expected) / F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9)))).otherwise(F.lit(99.0))
+            z_serial = F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(99.0))
             return F.greatest(z_chi, F.abs(z_runs), F.abs(z_serial)) < Z_RANDOM
 
         trial = n * (n - 1) / 2
         few = (trial * COINCIDENCE - (pairs - n) / 2) / F.sqrt(trial * COINCIDENCE * (1 - COINCIDENCE))
-        return F.struct(after(xs).alias("random"), few.alias("few"))
+        return F.struct(let(xs, after).alias("random"), few.alias("few"))
 
     classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "[a-z]+", "a "), "[A-Z]+", "A "), "[0-9]+", "0 "), "[+/]+", "+ "), " ", "")
     n = F.char_length(bare).cast("double")
@@ -132,9 +143,9 @@ def _candidates(text: Column):
 
 
 def found(df: DataFrame) -> DataFrame:
-    """doc_id, base spans and judged candidates of each row."""
+    """doc_id, text_hash, base spans and judged candidates of each row."""
     rows = id_and_text(df).withColumn("base", _base(F.col("text")))
-    return rows.select("doc_id", "base", _candidates(F.col("text"))(F.col("base")).alias("candidates"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", _candidates(F.col("text"))(F.col("base")).alias("candidates"))
 
 
 def thresholds(found_rows: DataFrame) -> dict[int, int]:
@@ -163,7 +174,9 @@ def scan(df: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """df with every secret in ``text`` replaced by the mark and n_chars, where present, brought up to date."""
-    least = thresholds(stored(found(df).select("candidates").filter(F.size("candidates") > 0), "candidates"))
+    rows = stored(found(df), "secrets")
+    spans = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), _all_spans(F.col("base"), F.col("candidates"), thresholds(rows)).alias("_spans"))
+    held = stored(spans.filter(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"]), "secret-spans")  # rows with secrets only
     text = F.col("text")
 
     def step(acc, s):
@@ -172,8 +185,7 @@ def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         grown = F.concat(acc["out"], before, F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, grown).otherwise(acc["out"]).alias("out"))
 
-    base, candidates = _base(text), _candidates(text)
-    spans = _all_spans(base, candidates(base), least)
-    folded = F.aggregate(spans, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    out = df.withColumn("text", F.when(F.size(spans) > 0, folded).otherwise(text))
-    return out.withColumn("n_chars", F.char_length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else out
+    folded = F.aggregate("_spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    joined = df.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
+    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), folded).otherwise(text)).drop("_id", "_hash", "_spans")
+    return out.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(df.schema["n_chars"].dataType))) if "n_chars" in df.columns else out

@@ -45,7 +45,17 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_remembered: dict = {}
+class _Remembered(dict):
+    """Ids of words; a word not met before gets an empty place, to be filled before its text is joined."""
+
+    def __init__(self):
+        self.places: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytearray:
+        return self.places.setdefault(word, bytearray())
+
+
+_remembered = _Remembered()
 #: A full stop or comma that ends an ASCII word: a token of its own, whatever the word.
 _END_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 
@@ -101,10 +111,13 @@ def encode_texts(tok, texts: list[bytes], kind: str = "<u4") -> list[bytes]:
         if len(_remembered) > REMEMBERED:
             for w in list(islice(_remembered, REMEMBERED // 2)):
                 del _remembered[w]
-        if new := set().union(*split).difference(_remembered):
-            _learn(tok, sorted(new), kind)
-        lookup = _remembered.__getitem__
-        out += [b"".join(map(lookup, words)) for words in split]
+        _remembered.places = places = {}
+        parts = [list(map(_remembered.__getitem__, words)) for words in split]
+        if places:
+            _learn(tok, sorted(places), kind)
+            for w, place in places.items():
+                place += _remembered[w]
+        out += map(b"".join, parts)
     return out
 
 
@@ -150,6 +163,15 @@ LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(25
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
+    if len(ranks) and ranks.max() <= 0xFFFF:  # two bytes at most: half the work
+        v = ranks.astype("<u2")
+        long = v > 0xFF
+        codes = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
+        codes[: len(v)] = long
+        used = np.ones((len(v), 2), dtype=bool)
+        used[:, 1] = long
+        control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
+        return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 2)[used].tobytes()
     v = ranks.astype("<u4")
     size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     codes = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)

@@ -1,7 +1,64 @@
-"""DuckDB SQL of the queries that SQL expresses."""
+"""DuckDB SQL of the queries that SQL expresses: mixing, dated URL lists and license scans."""
 
 from __future__ import annotations
 
+from . import licenses, mixing, url_lists
+
+
+def _hex(text: str, digits: int) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT)"
+
+
+def _uniform(text: str) -> str:
+    return f"({_hex(text, 13)} / {float(1 << 52)!r})"
+
+
+def source_mixing() -> str:
+    name = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
+    return f"""WITH sized AS (SELECT source, sum(greatest(coalesce(length(text), 1), 1)) AS size FROM documents GROUP BY source),
+whole AS (SELECT sum(size) AS size, sum(pow(size, {mixing.TEMPERATURE})) AS weight FROM sized),
+rates AS (SELECT source, pow(s.size, {mixing.TEMPERATURE}) / s.size * ({mixing.EPOCHS} * w.size / w.weight) AS rate FROM sized s, whole w),
+steps AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + {mixing.TAIL} * sqrt(rate) + {mixing.TAIL}) AS BIGINT) + 1)) AS k FROM rates),
+sums AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
+tables AS (SELECT source, list(c ORDER BY k) AS running FROM sums GROUP BY source),
+drawn AS (SELECT d.*, {_uniform(f"'{mixing.SEED}:' || {name}")} AS u, running FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, len(list_filter(running, lambda c: c <= u)) + 1)) AS copy FROM drawn)
+SELECT doc_id, text, lang, source, n_chars, copy, round({_uniform(f"'{mixing.SEED + 1}:' || {name} || ':' || copy")}, 9) AS shuffle_key FROM copies"""
+
+
+def url_list() -> str:
+    number = lambda salt: _hex(f"'{salt}:' || host", 6)
+    on, off, again = f"{number('on')} % 200", f"({number('off')} % 60 + 1)", f"({number('again')} % 90 + 1)"
+    day = lambda n: f"DATE '2024-01-01' + CAST({n} AS INTEGER)"
+    host = f"lower(regexp_extract(coalesce(url, ''), '{url_lists.HOST}', 1))"
+    return f"""WITH named AS (SELECT DISTINCT {host} AS h FROM pages),
+hosts AS (SELECT h AS host FROM named WHERE h <> '' UNION SELECT regexp_replace(h, '^[^.]+\\.', '') FROM named WHERE h <> ''),
+chosen AS (SELECT host FROM hosts WHERE len(string_split(host, '.')) > 2 AND {number('in')} % 5 = 0),
+entries AS (SELECT host, {day(on)} AS dated, true AS listed FROM chosen UNION ALL SELECT host, {day(f"{on} + {off}")}, false FROM chosen
+ UNION ALL SELECT host, {day(f"{on} + {off} + {again}")}, {number('back')} % 2 = 0 FROM chosen),
+states AS (SELECT host, dated, bool_or(listed) AS listed FROM entries GROUP BY host, dated),
+intervals AS (SELECT * FROM (SELECT host, listed, dated AS listed_from, lead(dated) OVER (PARTITION BY host ORDER BY dated) AS listed_to FROM states) WHERE listed),
+captures AS (SELECT page_id, url, {day("page_id % 360")} AS fetched, count(*) AS n_captures FROM pages GROUP BY ALL),
+labelled AS (SELECT *, string_split({host}, '.') AS labels FROM captures),
+keyed AS (SELECT *, unnest(list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: array_to_string(labels[i:], '.'))) AS host FROM labelled),
+hits AS (SELECT k.page_id, k.url, k.fetched, k.n_captures, i.host AS active FROM keyed k LEFT JOIN intervals i ON i.host = k.host AND k.fetched >= i.listed_from AND (i.listed_to IS NULL OR k.fetched < i.listed_to))
+SELECT page_id, url, fetched, n_captures, count(active) AS n_active, arg_max(active, length(active)) AS pattern, count(active) > 0 AS blocked FROM hits GROUP BY page_id, url, fetched, n_captures"""
+
+
+def license_scan() -> str:
+    def template(name: str) -> str:
+        pairs = licenses.bigrams(licenses.TEMPLATES[name])
+        low, high = licenses.bounds(len(pairs), licenses.THRESHOLD)
+        return f"('{name}', {pairs!r}, {low}, {high})"
+
+    return f"""WITH templates(license, known, low, high) AS (VALUES {", ".join(map(template, sorted(licenses.TEMPLATES)))}),
+texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)) AS lines FROM documents),
+each AS (SELECT r, doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS body FROM texts),
+split AS (SELECT r, doc_id, line, string_split(trim(body, ' '), ' ') AS w FROM each),
+paired AS (SELECT r, doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM split WHERE len(w) > 1),
+scored AS (SELECT r, doc_id, line, CAST(len(pairs) AS BIGINT) AS n_bigrams, license, round(2 * len(list_intersect(pairs, known)) / (len(pairs) + len(known)), 6) AS dice FROM paired JOIN templates ON len(pairs) BETWEEN low AND high)
+SELECT doc_id, line, n_bigrams, license, dice FROM scored WHERE dice >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, license) = 1"""
+
 
 def sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mixing": source_mixing(), "op8_url_lists": url_list(), "op9_license_scan": license_scan()}

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions import text
-from murmur.operators import mentions, planning, reports, sessions
+from murmur.operators import mentions, planning, reports, sessions, tables
+from murmur.sources.documents import parsed
 from murmur.sources.views import SQL, Views
+from murmur.streaming import conversations as streams
 
 POLICY = {"advertisement": True, "song_lyrics": False, "news": True, "long_form_singing": False}
 GAP_S = 21_600
@@ -190,6 +194,41 @@ def _with(body: str, *more: str) -> str:
 
 
 ORDER = "PARTITION BY station_id ORDER BY started_at, segment_id"
+def conversation_stream(v):
+    """Events replayed as segments: a purchase is a match, pauses are hours."""
+    events = v.table("events")
+    arriving = v.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{v.folder}/events.parquet*")  # a pattern: the table may be one file
+    at = F.col("ts").cast("timestamp")
+    segments = arriving.select(F.col("user_id").alias("station_id"), F.lit("s").alias("session_id"), F.col("event_id").alias("sequence"), at.alias("started_at"), (at + F.expr("INTERVAL 5 SECONDS")).alias("ended_at"), F.col("event_type").alias("class"), (F.col("event_type") == "purchase").cast("long").alias("n_matches"), F.col("event_type").alias("text"))
+    limits = streams.Limits(pause_s=2 * GAP_S, before_s=2 * GAP_S, longest_s=20 * GAP_S)
+    return streams.drained(streams.conversations(segments, limits), _shared_path(v.spark, "conversation-stream"))
+
+
+def _shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder where the cluster shares data; only a local session, which names none, gets a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(named or tempfile.mkdtemp(prefix='murmur-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def upserted_orders(v):
+    orders = v.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    old = orders.filter("o_orderkey % 3 <> 0")
+    new = orders.filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("U")).withColumn("o_totalprice", F.lit(0.0))
+    return tables.upserted(old, new, ["o_orderkey"], keep=("o_totalprice",))
+
+
+def enqueued_jobs(v):
+    orders = v.table("orders")
+    jobs = orders.select(F.col("o_custkey").alias("station_id"), F.col("o_orderpriority").alias("action"), F.col("o_orderstatus").alias("status"))
+    wanted = v.table("customer").select(F.col("c_custkey").alias("station_id"), F.explode(F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))).alias("action"))
+    return tables.enqueued(jobs, wanted, ["station_id", "action"], F.col("status").isin("O", "P"))
+
+
+def refused_messages(v):
+    got = parsed(v.table("events").select("event_id", "event_type", "props"), "props", "k string", ["k"])
+    return got.groupBy("event_type", F.coalesce("refused", F.lit("none")).alias("refused")).agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, tuple[Callable, str | None]] = {
     "station_demand": (station_demand, _with("SELECT station_id, count(DISTINCT campaign_id) AS reference_count, count(DISTINCT keyword_id) AS keyword_count, count(*) AS binding_count FROM bound GROUP BY station_id", BOUND)),
     "index_terms": (index_terms, _with("SELECT station_id, trim(lower(value)) AS term, min(value) AS display, array_to_string(list_sort(list(DISTINCT keyword_id)), ',') AS keyword_ids, CAST(length(trim(lower(any_value(value)))) AS BIGINT) AS length FROM bound WHERE trim(lower(value)) <> '' GROUP BY station_id, trim(lower(value))", BOUND)),
@@ -229,6 +268,10 @@ WHERE ((disposition = 'disposable' AND age_s > 600 AND job_status = 'succeeded')
     "ranked_stations": (ranked_stations, "SELECT country, s_suppkey, s_acctbal, rank FROM (SELECT n_name AS country, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier JOIN nation ON n_nationkey = s_nationkey) WHERE rank <= 3"),
     "near_terms": (near_terms, "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS name, b.name AS other FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) <= 1"),
     "keyword_matches": (keyword_matches, None),
+    "conversation_stream": (conversation_stream, None),
+    "upserted_orders": (upserted_orders, "SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN o.o_orderstatus ELSE 'U' END AS o_orderstatus, coalesce(o.o_totalprice, 0.0) AS o_totalprice, coalesce(n.o_orderpriority, o.o_orderpriority) AS o_orderpriority FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) n ON o.o_orderkey = n.o_orderkey"),
+    "enqueued_jobs": (enqueued_jobs, "SELECT c_custkey AS station_id, action FROM customer CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH']) AS action) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = action AND o_orderstatus IN ('O', 'P'))"),
+    "refused_messages": (refused_messages, "SELECT event_type, CASE WHEN props IS NULL THEN 'empty' WHEN json_extract_string(props, '$.k') IS NULL THEN 'no k' ELSE 'none' END AS refused, count(*) AS n FROM events GROUP BY ALL"),
 }
 
 

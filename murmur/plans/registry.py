@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.functions import text
+from murmur.functions import content, text
 from murmur.operators import mentions, planning, reports, sessions, tables
 from murmur.sources.documents import parsed
 from murmur.sources.views import SQL, Views
@@ -210,6 +210,11 @@ def _shared_path(spark: SparkSession, name: str) -> str:
     return f"{(named or tempfile.mkdtemp(prefix='murmur-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def content_types(v):
+    kinds = F.array(*map(F.lit, ("speech", "speech_over_music", "singing", "speech")))
+    return content.classified(v.table("documents").select("doc_id", "text", F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("audio_class"))).drop("text")
+
+
 def upserted_orders(v):
     orders = v.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     old = orders.filter("o_orderkey % 3 <> 0")
@@ -269,6 +274,7 @@ WHERE ((disposition = 'disposable' AND age_s > 600 AND job_status = 'succeeded')
     "near_terms": (near_terms, "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS name, b.name AS other FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) <= 1"),
     "keyword_matches": (keyword_matches, None),
     "conversation_stream": (conversation_stream, None),
+    "content_types": (content_types, None),
     "upserted_orders": (upserted_orders, "SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN o.o_orderstatus ELSE 'U' END AS o_orderstatus, coalesce(o.o_totalprice, 0.0) AS o_totalprice, coalesce(n.o_orderpriority, o.o_orderpriority) AS o_orderpriority FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) n ON o.o_orderkey = n.o_orderkey"),
     "enqueued_jobs": (enqueued_jobs, "SELECT c_custkey AS station_id, action FROM customer CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH']) AS action) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = action AND o_orderstatus IN ('O', 'P'))"),
     "refused_messages": (refused_messages, "SELECT event_type, CASE WHEN props IS NULL THEN 'empty' WHEN json_extract_string(props, '$.k') IS NULL THEN 'no k' ELSE 'none' END AS refused, count(*) AS n FROM events GROUP BY ALL"),

@@ -10,6 +10,7 @@ import compare
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from murmur.llm import bpe, licenses, mixing, near_dup, pii, quality, queries, secret_scan, spot_signatures, token_binary, url_lists
 
@@ -207,6 +208,27 @@ def test_mixing_reaches_targets(spark):
     assert abs(n["big"] - 2000) < 200 and abs(n["small"] - 2000) < 200
 
 
+def test_mixing_at_high_rates(spark):
+    import duckdb
+    from murmur.llm import oracle
+
+    n = {1: 200, 700: 50, 800: 50, 40_000: 6}
+    rows = [(1000 * i + j, "x", "en", f"r{rate}", 1) for i, rate in enumerate(n) for j in range(n[rate])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    whole = sum(rate * k for rate, k in n.items())
+    got = {r.doc_id: r.n for r in mixing.replicate(df, {f"r{rate}": float(rate * k) for rate, k in n.items()}, epochs=whole / len(rows)).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    # the registered SQL from the rates on
+    sql = "WITH rates AS (SELECT DISTINCT source, CAST(substr(source, 2) AS DOUBLE) AS rate FROM documents),\nsteps AS" + oracle.source_mixing().split("steps AS", 1)[1]
+    want = dict(con.execute(f"SELECT doc_id, count(*) FROM ({sql}) GROUP BY doc_id").fetchall())
+    assert got == want
+    for i, rate in enumerate(n):
+        drawn = [got.get(1000 * i + j, 0) for j in range(n[rate])]
+        assert abs(np.mean(drawn) - rate) < 5 * (rate / n[rate]) ** 0.5
+
+
 def brute_components(rows):
     sets, parent = [], list(range(len(rows)))
     for _, text in rows:

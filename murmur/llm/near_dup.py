@@ -59,9 +59,10 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     sizes = np.array([len(w) for w in words])
     flat = np.array(list(chain.from_iterable(words)), dtype=object)
     hashed = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, dtype=np.uint64)
-    rolled = np.zeros(max(0, len(hashed) - WIDTH + 1), dtype=np.uint64)
+    windows = max(0, len(hashed) - WIDTH + 1)
+    rolled = np.zeros(windows, dtype=np.uint64)
     for k in range(WIDTH):
-        rolled = rolled * _MIX + hashed[k : len(hashed) - WIDTH + 1 + k]
+        rolled = rolled * _MIX + hashed[k : windows + k]
     rolled ^= rolled >> np.uint64(29)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
     rolled ^= rolled >> np.uint64(32)

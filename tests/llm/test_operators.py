@@ -267,6 +267,22 @@ def test_near_duplicates(odd, docs, spark):
     assert sorted(str(r.doc_id) for r in near_dup.deduplicate(odd).collect()) == ["1", "3", "4", "5", "7", "8", "None"]
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_shingles_of_few_words(n):
+    words = [f"w{i}".encode() for i in range(n)]
+    for texts in ([b" ".join(words)], words, [b"", *words, b""], [b" ".join(words[:1]), b" ".join(words[1:])]):
+        want = [len(t.split()) and max(1, len(t.split()) - near_dup.WIDTH + 1) for t in texts]
+        assert [len(x) for x in near_dup.shingle_sets(texts)] == want
+        # a set depends on its own text only
+        assert [x.tolist() for x in near_dup.shingle_sets(texts)] == [near_dup.shingle_sets([t, b"a b c d e f g"])[0].tolist() for t in texts]
+
+
+def test_near_duplicates_of_three_words(spark):
+    rows = [(1, "one two three"), (2, ""), (3, None)]
+    got = near_dup.components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
 def test_url_lists(spark):
     import datetime
 

@@ -4,12 +4,13 @@
 in code points. Everything runs in Spark's own expressions.
 
 The battery. A candidate is a run of 20 or more characters of the usual encodings that overlaps no base span. Its
-encoding (hex, base32, letters and digits, base64) is inferred from its characters and gives the alphabet. Three tests
+encoding (hex, base32, one-case letters and digits, letters and digits, base64) is inferred from its characters and gives the alphabet. Three tests
 ask whether it could be random there: chi-squared uniformity of the symbols (cube-root normal form), a runs test about
 the alphabet's middle, and lag-one serial correlation; a candidate that any of them rejects is ordinary. For the rest,
 how unlikely an ordinary string of that length is to look so (few coincidences of symbols, many changes of character
 class) gives a p-value, and Benjamini-Hochberg over the whole table, length class by length class, decides which are
-secrets. The p-values are counted in bins of a tenth of a decade, so the control takes one small aggregation.
+secrets; what the battery rejects counts among the candidates there, with a p-value of one. Runs of digits alone are hex
+base spans, so none is a candidate. The p-values are counted in bins of a tenth of a decade, so the control takes one small aggregation.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned each; an empty table gives an empty one;
 null doc_ids stay null; further columns are ignored by ``scan`` and kept by ``redact``.
@@ -36,6 +37,7 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 #: Alphabets of the inferred encodings.
 HEX_SYMBOLS = "0123456789abcdef"
 B32_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+ONE_CASE_SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 ALNUM_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 B64_SYMBOLS = ALNUM_SYMBOLS + "+/"
 #: Chance that two symbols of ordinary text agree, and that neighbours differ in class (upper, lower, digit, sign).
@@ -117,6 +119,7 @@ def _judged(c: Column, text: Column) -> Column:
     tests = (
         F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), battery(F.lower(bare), HEX_SYMBOLS))
         .when(bare.rlike("^[A-Z2-7]+$"), battery(bare, B32_SYMBOLS))
+        .when(bare.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), battery(F.lower(bare), ONE_CASE_SYMBOLS))
         .when(bare.rlike("^[A-Za-z0-9]+$"), battery(bare, ALNUM_SYMBOLS))
         .otherwise(battery(bare, B64_SYMBOLS))
     )

@@ -120,6 +120,17 @@ def test_random_tokens_are_found(spark):
     assert sum(clean[i] == "the ordinary words [SECRET] and more" for i in range(30)) >= 27
 
 
+def test_one_case_keys_are_found(spark):
+    rng = np.random.default_rng(6)
+    lower = "abcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = [(symbols, n) for symbols in (lower, lower.upper(), "0123456789") for n in (20, 32, 48, 64, 86, 128, 256)]
+    rows = [(1000 * i + j, f"the ordinary words {''.join(rng.choice(list(symbols), n))} and more", "en", "a", 1, "x", 1) for i, (symbols, n) in enumerate(kinds) for j in range(30)]
+    hits = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, (symbols, n) in enumerate(kinds):
+        share = sum(hits[1000 * i + j] == [(19, 19 + n)] for j in range(30)) / 30
+        assert share >= (0.7 if n == 20 else 0.9), (symbols, n, share)
+
+
 def test_spot_signatures(odd):
     rows = spot_signatures.edited_pairs(odd).collect()
     assert len(rows) == len(ODD)

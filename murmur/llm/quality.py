@@ -8,7 +8,8 @@ and quartile widths), and rejects rows beyond a high chi-squared quantile of the
 Scale: a row is reduced to four numbers in the pass over the texts; every later step is a partial aggregation by group
 or a join with one small row a group. Numbers are fixed-point, sums exact decimals, and quantiles are read from counts in
 bins, so results don't depend on the order of rows. A group with under ``LEAST`` rows joins the other small groups of its
-language, and these, if still small, those of all languages; a last group that stays small has no verdict.
+language, and these, if still small, those of all languages; a last group that stays small is judged by the estimates of
+all rows of its language or, if these are few, of the table.
 
 Edge cases: a null or empty text has no words and fails the word rule; null languages and sources are groups of their
 own; repeated rows count each; an empty table gives an empty one; null doc_ids stay null; further columns are ignored by
@@ -91,17 +92,24 @@ def transformed() -> list[Column]:
     return [F.round(raw[k] * UNIT).cast("long").alias(k) for k in NAMES]
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """Adds ``grp``: a row's own language and source, or what its small group is pooled into; null where still small."""
+def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``grp``: a row's own language and source, or what its small group is pooled into; and the rows that each
+    of these is estimated from. A last small pool is judged by its whole language or, if that is small, by all rows."""
     own = F.concat_ws("|", F.lit("s"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     rest = F.concat_ws("|", F.lit("l"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")))
     rows = rows.withColumn("own", own).withColumn("rest", rest)
     sizes = rows.groupBy("own", "rest").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") < LEAST).groupBy("rest").agg(F.sum("n").alias("n_rest"))
-    few = small.filter(F.col("n_rest") < LEAST).agg(F.coalesce(F.sum("n_rest"), F.lit(0)).alias("n")).head().n
-    grp = F.when(F.col("n") >= LEAST, F.col("own")).when(F.col("n_rest") >= LEAST, F.col("rest")).when(F.lit(few >= LEAST), F.lit("all"))
-    named = stored(sizes.join(small, "rest", "left").select("own", grp.alias("grp")), "groups")
-    return rows.join(named, "own", "left").drop("own", "rest")
+    of_lang = sizes.groupBy("rest").agg(F.sum("n").alias("n_lang"), F.sum(F.when(F.col("n") < LEAST, F.col("n"))).alias("n_rest"))
+    few = of_lang.filter(F.col("n_rest") < LEAST).agg(F.coalesce(F.sum("n_rest"), F.lit(0)).alias("n")).head().n
+    wide = F.when(F.col("n_lang") >= LEAST, F.concat(F.lit("whole "), "rest")).otherwise(F.lit("whole"))
+    grp = F.when(F.col("n") >= LEAST, F.col("own")).when(F.col("n_rest") >= LEAST, F.col("rest")).when(F.lit(few >= LEAST), F.lit("all")).otherwise(wide)
+    named = stored(sizes.join(of_lang, "rest").select("own", "rest", grp.alias("grp")), "groups")
+    placed = rows.join(named.select("own", "grp"), "own", "left")
+    langs = named.filter(F.col("grp").startswith("whole ")).select("rest", "grp").distinct()
+    population = placed.filter(~F.col("grp").startswith("whole"))
+    for wider in (placed.drop("grp").join(F.broadcast(langs), "rest"), placed.drop("grp").crossJoin(F.broadcast(named.filter("grp = 'whole'").select("grp").distinct()))):
+        population = population.unionByName(wider)
+    return placed.drop("own", "rest"), population.drop("own", "rest")
 
 
 def _quantile(counts: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
@@ -167,10 +175,10 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the statistics, base_failed, distance (null without verdict) and kept of each row."""
+    """doc_id, lang, source, the statistics, base_failed, distance (null only where no row of the group passes the fixed rules) and kept of each row."""
     counted = stored(statistics(df).withColumn("base_failed", base_failed()), "statistics")
-    placed = grouped(counted.select("*", *transformed()))
-    est = estimates(placed.filter(~F.col("base_failed") & F.col("grp").isNotNull()))
+    placed, population = grouped(counted.select("*", *transformed()))
+    est = estimates(stored(population.filter(~F.col("base_failed")).select("grp", *NAMES), "population"))
     out = placed.join(est, "grp", "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

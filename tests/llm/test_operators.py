@@ -206,6 +206,23 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean([r.kept == bool(marks[r.doc_id]) for r in rows]) > 0.98
 
 
+def test_quality_of_small_tables_and_tails(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"word{i}" for i in range(2000)]
+
+    def rows(first, n, lang, source):
+        texts = [" ".join(rng.choice(vocabulary, 120, replace=False)) for _ in range(n - 1)] + [" ".join(f"{w}#$%&*" for w in rng.choice(vocabulary, 120, replace=False))]
+        return [(first + i, t, lang, source, 1, "x", 1) for i, t in enumerate(texts)]
+
+    small = rows(0, 50, "en", "a")
+    tails = [*rows(0, 400, "en", "a"), *rows(1000, 20, "en", "rare"), *rows(2000, 20, "fi", "b"), *rows(3000, 20, None, None)]
+    for table, outliers in ((small, {49}), (tails, {399, 1019, 2019, 3019})):
+        got = quality.judge(spark.createDataFrame(table, SCHEMA)).collect()
+        assert len(got) == len(table)
+        assert all(r.distance is not None for r in got)
+        assert {r.doc_id for r in got if not r.kept} == outliers
+
+
 def test_mixing(odd):
     rows = mixing.replicate(odd, {"a": 3.0, "b": 1.0}, epochs=4.0).collect()
     assert {r.source for r in rows} <= {"a", "b"}

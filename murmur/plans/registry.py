@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from murmur.functions import content, text
 from murmur.operators import mentions, planning, reports, sessions, tables
 from murmur.sources.documents import parsed
+from murmur.sources.storage import new_path
 from murmur.sources.views import SQL, Views
 from murmur.streaming import conversations as streams
 
@@ -201,13 +200,7 @@ def conversation_stream(v):
     at = F.col("ts").cast("timestamp")
     segments = arriving.select(F.col("user_id").alias("station_id"), F.lit("s").alias("session_id"), F.col("event_id").alias("sequence"), at.alias("started_at"), (at + F.expr("INTERVAL 5 SECONDS")).alias("ended_at"), F.col("event_type").alias("class"), (F.col("event_type") == "purchase").cast("long").alias("n_matches"), F.col("event_type").alias("text"))
     limits = streams.Limits(pause_s=2 * GAP_S, before_s=2 * GAP_S, longest_s=20 * GAP_S)
-    return streams.drained(streams.conversations(segments, limits), _shared_path(v.spark, "conversation-stream"))
-
-
-def _shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster shares data; only a local session, which names none, gets a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or tempfile.mkdtemp(prefix='murmur-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return streams.drained(streams.conversations(segments, limits), new_path(v.spark, "conversation-stream"))
 
 
 def content_types(v):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.sources.storage import delete, new_path
+
 #: White space of the word rule, fixed by the query contracts: space and the controls 0x09 to 0x0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAPS = " \t\n\x0b\x0c\r"
@@ -17,25 +19,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; tests, which name none, get their own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="murmur-"))
-            held = spark.sparkContext.getCheckpointDir()
-        named = held
-    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+#: Tables stored inside the calls of tidied() that are going on.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -44,9 +36,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes a table made by stored() once no later step reads it."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._stored_at)
+
+
+def tidied(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """build()'s result as a stored table; the other tables that it stored on the way are deleted."""
+    outer, made = _made.get(), []
+    _made.set(made)
+    out = None
+    try:
+        out = stored(build(), name)
+    finally:
+        _made.set(outer)
+        for path in made:
+            if out is None or path != out._stored_at:
+                delete(spark, path)
+    if outer is not None:
+        outer.append(out._stored_at)
+    return out
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever its case."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"{name}_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def id_and_text(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-A document's set holds its distinct five-word shingles. Documents with equal sets fall into one class, represented by
-its smallest doc_id; the work below is on classes. 32 bands of four MinHash values propose pairs (a pair at similarity
+A document's set holds its distinct five-word shingles. Rows with equal sets fall into one numbered class; the work
+below is on classes, so it depends neither on the order of rows nor on doc_ids that repeat. 32 bands of four MinHash values propose pairs (a pair at similarity
 0.75 shares no band with chance 5e-6). ``prune`` compares signatures 16 values at a time and drops a pair as soon as the
 posterior chance of a similarity of 0.75 or more (uniform prior) is under ``MISS``; survivors are verified on full sets.
 
@@ -17,9 +17,9 @@ Order of work, so that a group of copies never meets itself pair by pair:
 So no pair that shares a band goes untested, unless a chain of links joins it already.
 
 Edge cases: a null or empty text has an empty set, is linked with nothing and is its own component; texts of one to four
-words are one shingle; rows of one doc_id are one document, linked by what any of its texts is linked by; rows without
-doc_id are linked with nothing, have a null component and are kept; an empty table gives an empty one; further columns
-are ignored by ``components`` and kept by ``deduplicate``.
+words are one shingle; in ``components``, rows of one doc_id are one document, linked by what any of its texts is linked
+by; rows without doc_id are linked with nothing, have a null component and are kept; an empty table gives an empty one;
+further columns are ignored by ``components`` and kept by ``deduplicate``, which judges rows, not doc_ids.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, sliced, stored
+from .common import id_and_text, sliced, stored, tidied, unused
 
 WIDTH, SIMILAR = 5, 0.75
 BANDS, ROWS = 32, 4
@@ -44,8 +44,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 16, 1e-6
 #: Members of a block in steps 2 and 4.
 SIDE = 256
-#: Most doc_ids that are broadcast to pick texts for verification.
-FEW_IDS = 2_000_000
+#: Most row hashes that are broadcast to pick texts for verification; with more, texts are shuffled. The pairs are the same.
+FEW_ROWS = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(5)
 _A = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -87,12 +87,11 @@ def signature(values: np.ndarray) -> bytes:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (of the set; null if empty), sig of each row."""
+    """doc_id, row (hash of doc_id and text), n_shingles, key (of the set; null if empty), sig of each row."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            ids = batch.column("doc_id")
             for a, b in sliced(texts):
                 sets = shingle_sets(texts[a:b])
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -100,12 +99,21 @@ def profile(df: DataFrame) -> DataFrame:
                 for k, s in zip(keys, sets, strict=True):
                     if k is not None and k not in known:
                         known[k] = signature(s)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([known.get(k) for k in keys], pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
+                own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "row")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([known.get(k) for k in keys], pa.binary())], names=["doc_id", "row", "n_shingles", "key", "sig"])
 
-    return id_and_text(df).mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
+    return with_row(df).mapInArrow(run, "doc_id long, row long, n_shingles long, key binary, sig binary")
 
 
-def sets_of(df: DataFrame, ids: DataFrame, by_key: DataFrame) -> DataFrame:
+def row_of(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    return id_and_text(df).withColumn("row", row_of(F.col("doc_id"), F.col("text")))
+
+
+def sets_of(df: DataFrame, ids: DataFrame, by_key: DataFrame, few_rows: int) -> DataFrame:
     """rep, set (bytes) of the classes whose rep is among ids."""
 
     def run(batches):
@@ -115,10 +123,10 @@ def sets_of(df: DataFrame, ids: DataFrame, by_key: DataFrame) -> DataFrame:
                 sets = [x.tobytes() for x in shingle_sets(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    ids = stored(ids.withColumnRenamed("rep", "doc_id"), "verified-ids")
-    if ids.count() <= FEW_IDS:  # eight bytes each; beyond that, texts are shuffled to them
-        ids = F.broadcast(ids)
-    found = id_and_text(df).join(ids, "doc_id", "left_semi").mapInArrow(run, "key binary, set binary")
+    wanted = stored(by_key.join(ids, "rep").select("first.row"), "verified-rows")
+    if wanted.count() <= few_rows:  # eight bytes each; beyond that, texts are shuffled to them
+        wanted = F.broadcast(wanted)
+    found = with_row(df).join(wanted, "row", "left_semi").select("doc_id", "text").mapInArrow(run, "key binary, set binary")
     return found.join(by_key.select("key", "rep"), "key").dropDuplicates(["rep"]).select("rep", "set")
 
 
@@ -347,36 +355,71 @@ def inside_families(classes: DataFrame, sets: DataFrame, families: DataFrame, fo
     return by_task(dealt(members, sizes, "family", "sig", "set"), accept)
 
 
-def components(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+def classes_of(df: DataFrame, one_id: bool, few_rows: int = FEW_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The profile of each row, and key, first (least doc_id and row hash), component (a class number) of each set that a
+    row with doc_id has. With ``one_id``, rows of one doc_id are one document: their classes are linked."""
     rows = stored(profile(df), "profiles")
     linked = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL")
-    by_key = stored(linked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
+    # numbered as they are written, so that a number stays what it is; which number a class has matters nowhere
+    by_key = linked.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    by_key = stored(by_key.withColumn("rep", F.monotonically_increasing_id()), "classes")
     classes = by_key.select("rep", "n", "sig")
-    if classes.groupBy("rep").count().filter("count > 1").head():  # a doc_id with several texts: one of them stands for it
-        classes = stored(classes.dropDuplicates(["rep"]), "classes")
     survivors = stored(prune(stars(classes), classes), "survivors")
     families = connected(survivors)
     late = stored(between_families(classes, families).withColumn("likeness", F.lit(0).cast("long")), "late-survivors")
     if not late.isEmpty():
         survivors = stored(survivors.union(late), "survivors")
         families = merged(families, late)
-    sets = stored(sets_of(df, ends(survivors), by_key), "shingle-sets")
+    sets = stored(sets_of(df, ends(survivors), by_key, few_rows), "shingle-sets")
     best = stored(survivors.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a")).select("a", "b"), "likeliest")
-    # a doc_id that several rows share ties their classes together
-    tied = linked.select("doc_id", "key").join(by_key.select("key", "rep"), "key").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    found = connected(verify(best, sets).union(tied))
+    links = verify(best, sets)
+    found = connected(links.union(same_id(linked, by_key)) if one_id else links)
     rest = between(survivors.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
     found = merged(found, stored(verify(rest, sets), "links"))
     found = merged(found, stored(inside_families(classes, sets, families, found), "links"))
-    of_key = by_key.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_key = by_key.select("key", "first", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    return rows, of_key.select("key", "first", F.coalesce("component", "rep").alias("component"))
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
-    """One document of each group (the smallest doc_id; one row of it), and the rows without doc_id."""
-    kept = stored(components(df).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    known = df.join(kept, df["doc_id"] == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(df.filter(F.col("doc_id").isNull()))
+def same_id(linked: DataFrame, by_key: DataFrame) -> DataFrame:
+    """a, b: the classes of each doc_id that has several, each with the least of them."""
+    mark = F.xxhash64("key")
+    several = stored(linked.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("doc_id"), "repeated-ids")
+    held = linked.select("doc_id", "key").join(several, "doc_id", "left_semi").distinct()
+    held = stored(held.join(by_key.select("key", "rep"), "key").select("doc_id", F.col("rep").alias("b")), "repeated-id-classes")
+    return held.join(held.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").filter("a <> b").select("a", "b")
+
+
+def components(df: DataFrame, few_rows: int = FEW_ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row."""
+
+    def build() -> DataFrame:
+        rows, of_key = classes_of(df, True, few_rows)
+        of_key = stored(of_key, "class-components")
+        least = of_key.groupBy("component").agg(F.min("first.doc_id").alias("least"))
+        named = of_key.join(least, "component").select("key", "least")
+        # an empty set has no key: its row goes with the other texts of its doc_id, if there are any
+        mixed = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("key").alias("n"), F.count("*").alias("m")).filter("n > 0 AND n < m").select("doc_id")
+        other = rows.filter("key IS NOT NULL").select("doc_id", "key").join(mixed, "doc_id", "left_semi").join(named, "key").groupBy("doc_id").agg(F.min("least").alias("of_id"))
+        out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left").join(other, "doc_id", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "of_id", "doc_id"))
+        return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+    return tidied(df.sparkSession, "components", build)
+
+
+def deduplicate(df: DataFrame, few_rows: int = FEW_ROWS) -> DataFrame:
+    """One row of each group of similar texts (of the smallest doc_id, and there the smallest row hash), and every row
+    without doc_id. Rows are judged by their texts: a doc_id with two unlike texts keeps both, and of rows equal in
+    doc_id and text one stays. Rows with empty texts are linked with nothing: of those of one doc_id one stays."""
+    row, present = unused(df, "row", "present")
+
+    def kept() -> DataFrame:
+        rows, of_key = classes_of(df, False, few_rows)
+        first = of_key.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+        return first.union(rows.filter("doc_id IS NOT NULL AND key IS NULL").select("row")).distinct()
+
+    wanted = tidied(df.sparkSession, "kept", kept)
+    keyed = df.withColumn(row, row_of(F.col("doc_id"), F.col("text"))).withColumn(present, F.col("doc_id").cast("long").isNotNull())
+    one = keyed.filter(F.col(present)).join(wanted, row, "left_semi").dropDuplicates([row])
+    return one.unionByName(keyed.filter(~F.col(present))).select(df.columns)

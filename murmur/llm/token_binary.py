@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, id_and_text, new_path, sliced, stored
+from murmur.sources.storage import new_path
+
+from .common import discard, id_and_text, sliced, stored
 
 VOCAB = "word_bpe_49k.json"
 END = 1

@@ -2,25 +2,27 @@
 
 Each source has a target share of the mixture; its target repetition rate is the share times the mixture's size over
 the source's own size (in characters). A document's number of copies inverts the Poisson distribution with that mean at
-a uniform number drawn from the document's id and the seed, so it is the same on every run and every machine. Copies are
-exploded and shuffled globally by a key drawn from id, copy and seed.
+a uniform number drawn from the document's id and text, its place among equal rows and the seed, so it is the same on every
+run and every machine. Copies are exploded and shuffled globally by a key drawn from the same and the copy's number.
 
 Scale: sizes and rates are one row a source. The distribution is tabulated once a source, about its mean only (some
 24 sqrt(rate) numbers, 4,824 at a rate of 40,000); the join brings the table to
-the documents (broadcast when small, else a skew-split join), and the copies are dealt by range of a uniform key, so a
-hot source is spread like any other.
+the documents (broadcast when small, else a skew-split join), and the copies are dealt by cells of a uniform key, so a
+hot source, or a doc_id that a third of all rows share, is spread like any other.
 
 Edge cases: a null source is a source of its own; a null or empty text has the size of one character; repeated rows and
-null doc_ids (drawn as the text "null") draw alike; a source without target weight gets none; an empty table gives an
-empty one; further columns pass through.
+null doc_ids (drawn as the text "null") draw apart from one another; which of the rows that are equal in doc_id and text
+gets which of their draws follows their place in the table; a source without target weight gets none; an empty table
+gives an empty one; further columns pass through, but for those named like the two added ones (a parameter), which are
+replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 SEED = 7
 #: Exponent of the default targets: shares grow with this power of a source's size.
@@ -71,19 +73,47 @@ def distribution(rate: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: F.transform(acc["c"], lambda x: x / F.element_at(acc["c"], -1)))
 
 
-def replicate(df: DataFrame, targets: dict | None = None, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """Every copy of every document, with ``copy`` (1, 2 ...) and ``shuffle_key``, in the order of the key."""
-    table = stored(rates(df, targets, epochs).select(F.col("source").alias("_source"), lowest(F.col("rate")).alias("_lowest"), distribution(F.col("rate")).alias("_running")), "rates")
-    drawn = df.join(table, df["source"].eqNullSafe(F.col("_source")))
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    count = F.col("_lowest") + F.size(F.filter("_running", lambda c: c <= u))
-    copies = drawn.withColumn("_n", count).filter("_n > 0").drop("_running", "_lowest", "_source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    keyed = copies.withColumn("shuffle_key", uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy")))
-    return shuffled(keyed)
+def with_ordinal(df: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """df with ``key``, an MD5 digest of doc_id and text, and ``ordinal``: the place of a row among those of its key.
 
-
-def shuffled(keyed: DataFrame) -> DataFrame:
+    Only rows whose key repeats are ranked, by the part of the table they lie in and then inside it, so that many equal
+    rows never meet in one task.
+    """
+    text = F.coalesce(F.md5("text"), F.lit("null"))
+    keyed = df.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text))
+    mark, at, place = unused(keyed, "mark", "at", "place")
+    marked = keyed.withColumn(mark, F.xxhash64(key))
+    repeats = stored(marked.groupBy(mark).agg(F.count("*").alias(at)).filter(F.col(at) > 1).select(mark), "repeated-rows")
+    if repeats.isEmpty():
+        return keyed.withColumn(ordinal, F.lit(1).cast("long"))
+    several = stored(marked.join(repeats, mark, "left_semi").withColumn(at, F.monotonically_increasing_id()), "repeated-documents")
+    part = F.shiftright(at, 33)
+    inside = F.row_number().over(Window.partitionBy(key, place).orderBy(at))
+    before = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    several = several.withColumn(place, part)
+    parts = several.groupBy(key, place).agg(F.count("*").alias(mark)).withColumn(at, F.coalesce(F.sum(mark).over(before), F.lit(0))).select(key, place, F.col(at).alias(ordinal))
+    ranked = several.withColumn(at, inside).join(parts, [key, place]).withColumn(ordinal, F.col(ordinal) + F.col(at))
+    single = marked.join(repeats, mark, "left_anti").withColumn(ordinal, F.lit(1).cast("long"))
+    return single.select(*keyed.columns, ordinal).unionByName(ranked.select(*keyed.columns, ordinal))
+
+
+def replicate(df: DataFrame, targets: dict | None = None, epochs: float = EPOCHS, seed: int = SEED, copy: str = "copy", shuffle_key: str = "shuffle_key") -> DataFrame:
+    """Every copy of every document, with the columns ``copy`` (1, 2 ...) and ``shuffle_key``, in the order of the key."""
+    df = df.drop(copy, shuffle_key)
+    source, lowest_n, running, key, ordinal = unused(df, "source_of_rate", "lowest", "running", "draw_key", "ordinal")
+    rate = F.col("rate")
+    table = stored(rates(df, targets, epochs).select(F.col("source").alias(source), lowest(rate).alias(lowest_n), distribution(rate).alias(running)), "rates")
+    ranked = with_ordinal(df, key, ordinal)
+    drawn = ranked.join(table, F.col("source").eqNullSafe(F.col(source)))
+    u = uniform(F.lit(seed), F.col(key), F.col(ordinal))
+    count = F.col(lowest_n) + F.size(F.filter(running, lambda c: c <= u))
+    copies = drawn.select(*ranked.columns, F.explode(F.sequence(F.lit(1), F.when(count > 0, count))).alias(copy))
+    keyed = copies.withColumn(shuffle_key, uniform(F.lit(seed + 1), F.col(key), F.col(ordinal), F.col(copy)))
+    return shuffled(keyed.drop(key, ordinal), copy, shuffle_key)
+
+
+def shuffled(keyed: DataFrame, copy: str, shuffle_key: str) -> DataFrame:
+    """Rows dealt by equal cells of the uniform key, a partition each: the partitions are even, and their order is the
+    key's, without a sampling pass over the texts."""
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cell = F.floor(F.col("shuffle_key") * n).cast("int")
-    # keys are uniform, so equal cells of the key range are even: no sampling pass over the texts
-    return keyed.repartition(n, cell).sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    return keyed.repartitionById(n, F.floor(F.col(shuffle_key) * n).cast("int")).sortWithinPartitions(shuffle_key, "doc_id", copy)

@@ -14,15 +14,16 @@ def _uniform(text: str) -> str:
 
 
 def source_mixing() -> str:
-    name = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
+    name = "name || ':' || ordinal"
     return f"""WITH sized AS (SELECT source, sum(greatest(coalesce(length(text), 1), 1)) AS size FROM documents GROUP BY source),
 whole AS (SELECT sum(size) AS size, sum(pow(size, {mixing.TEMPERATURE})) AS weight FROM sized),
 rates AS (SELECT source, pow(s.size, {mixing.TEMPERATURE}) / s.size * ({mixing.EPOCHS} * w.size / w.weight) AS rate FROM sized s, whole w),
 steps AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + {mixing.TAIL} * sqrt(rate) + {mixing.TAIL}) AS BIGINT) + 1)) AS k FROM rates),
 sums AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
 tables AS (SELECT source, list(c ORDER BY k) AS running FROM sums GROUP BY source),
-drawn AS (SELECT d.*, {_uniform(f"'{mixing.SEED}:' || {name}")} AS u, running FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
-copies AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, len(list_filter(running, lambda c: c <= u)) + 1)) AS copy FROM drawn)
+named AS (SELECT *, row_number() OVER (PARTITION BY name) AS ordinal FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null') AS name FROM documents)),
+drawn AS (SELECT d.*, {_uniform(f"'{mixing.SEED}:' || {name}")} AS u, running FROM named d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT doc_id, text, lang, source, n_chars, name, ordinal, unnest(range(1, len(list_filter(running, lambda c: c <= u)) + 1)) AS copy FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, copy, round({_uniform(f"'{mixing.SEED + 1}:' || {name} || ':' || copy")}, 9) AS shuffle_key FROM copies"""
 
 

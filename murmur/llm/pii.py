@@ -2,12 +2,12 @@
 
 The field's sites are a document's words with a digit or an at sign. Each has one of five labels (none or a kind). Sites
 share potentials with the site before them (chain) and with the last earlier site of the same normal form or the same
-seven or more digits (skip), however distant; loopy sum-product messages settle the labels, so repeats of a token agree.
+last seven digits (skip), however distant; loopy sum-product messages settle the labels, so repeats of a token agree.
 A site labelled with probability ``SURE`` or more adds a span where no base span lies; neighbours of one kind join.
 
 Training is by pseudo-likelihood on a bounded sample: at most ``SAMPLE`` documents of up to ``SAMPLE_CHARS`` characters
-with a digit or an at sign, drawn by hash of doc_id; the base spans label their sites. The sample fits the weights
-only; spans and counts come from every whole text.
+with a digit or an at sign, drawn by hash of doc_id and text; the base spans label their sites. The sample fits the
+weights only; spans and counts come from every whole text.
 
 Edge cases: a null or empty text has no spans; equal rows get equal results; null doc_ids stay null; an empty table, or
 one without a site, trains no field and adds nothing; further columns are ignored. Patterns are matched in linear time
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -33,6 +34,8 @@ SURE = 0.9
 #: Neighbouring sites join up to so many digits.
 MOST_DIGITS = {"card": 19, "phone": 15}
 ROUNDS, DAMPING = 12, 0.3
+#: Share of sites that lose their features in training, and edges that one step of the message passing holds.
+HIDDEN, SLICE = 0.3, 100_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -100,8 +103,8 @@ class Sites:
     """The sites of some texts as one graph: features, labels' spans, and edges that stay inside each text."""
 
     def __init__(self, texts: list[str]):
-        self.doc, self.start, self.end, self.core = [], [], [], []
-        self.chain, self.skip, rows = [], [], []
+        self.doc, self.start, self.end = array("q"), array("q"), array("q")
+        chain, skip, rows = array("q"), array("q"), bytearray()
         for d, text in enumerate(texts):
             if not _SITE.search(text):
                 continue
@@ -117,25 +120,30 @@ class Sites:
                 self.start.append(m.start() + lead)
                 self.end.append(m.start() + lead + len(core))
                 before = last is not None and m.start() - self.end[last] <= 2
-                rows.append(self.features(token, core, before))
+                rows += bytes(self.features(token, core, before))
                 if before:
-                    self.chain.append((last, i))
-                for key in {core.lower(), _digits(core) if len(_digits(core)) >= 7 else core.lower()}:
-                    if key in seen and (seen[key], i) not in self.skip[-2:]:
-                        self.skip.append((seen[key], i))
+                    chain += array("q", (last, i))
+                digits = _digits(core)
+                partners = set()
+                for key in {core.lower(), digits[-7:] if len(digits) >= 7 else core.lower()}:
+                    if key in seen:
+                        partners.add(seen[key])
                     seen[key] = i
+                for j in sorted(partners):
+                    skip += array("q", (j, i))
                 last = i
-        self.x = np.array(rows, dtype=np.float64).reshape(-1, WIDTH)
+        self.x = np.frombuffer(bytes(rows), dtype=np.uint8).reshape(-1, WIDTH)
+        self.chain, self.skip = (np.frombuffer(e.tobytes(), dtype=np.int64).reshape(-1, 2) for e in (chain, skip))
 
     @staticmethod
-    def features(token: str, core: str, before: bool) -> list[float]:
+    def features(token: str, core: str, before: bool) -> list[bool]:
         digits = _digits(core)
         n, dots = len(digits), core.count(".")
         name, _, domain = core.partition("@")
-        row = [1.0, "@" in core, bool(name and "." in domain), bool(_QUAD.fullmatch(core)), token.startswith("+"), "(" in token or ")" in token, "-" in core, before, n == len(core), any(c.isalpha() for c in core), 13 <= n <= 19 and luhn(digits)]
+        row = [True, "@" in core, bool(name and "." in domain), bool(_QUAD.fullmatch(core)), token.startswith("+"), "(" in token or ")" in token, "-" in core, before, n == len(core), any(c.isalpha() for c in core), 13 <= n <= 19 and luhn(digits)]
         row += [dots == k for k in (0, 1, 2, 3)]
         row += [lo <= n <= hi for lo, hi in ((1, 1), (2, 2), (3, 3), (4, 4), (5, 8), (9, 12), (13, 19))]
-        return [float(v) for v in row]
+        return row
 
     def labels(self, spans: list[list[tuple[str, int, int]]]) -> np.ndarray:
         """The kind (from 1) of the span that holds most of each site, else 0."""
@@ -151,14 +159,20 @@ class Sites:
 WIDTH, LABELS = 22, 1 + len(KINDS)
 
 
-def train(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3):
-    """Weights (features x labels), chain and skip potentials (label x label) by pseudo-likelihood."""
+def train(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3, hidden: float = HIDDEN):
+    """Weights (features x labels), chain and skip potentials (label x label) by pseudo-likelihood.
+
+    The labels are the fixed patterns' own, so a field that sees every feature would only imitate them. A share of the
+    sites, drawn by seed, loses its features but the first: what labels these has to be learnt from their neighbours and
+    from their repeats, which is what the field is for."""
     sites = Sites(texts)
     n = len(sites.doc)
     if not n:
         return None
     y = sites.labels([base_spans(t) for t in texts])
-    chain, skip = (np.array(e, dtype=np.int64).reshape(-1, 2) for e in (sites.chain, sites.skip))
+    chain, skip = sites.chain, sites.skip
+    x = sites.x.astype(np.float64)
+    x[np.random.default_rng(11).random(n) < hidden, 1:] = 0
     hot = np.eye(LABELS)[y]
     around = np.zeros((3, n, LABELS))  # labels before, after and at skip partners
     np.add.at(around[0], chain[:, 1], hot[chain[:, 0]])
@@ -167,53 +181,62 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float =
     np.add.at(around[2], skip[:, 0], hot[skip[:, 1]])
     w, c, s = np.zeros((WIDTH, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
     for _ in range(steps):
-        score = sites.x @ w + around[0] @ c + around[1] @ c.T + around[2] @ s
+        score = x @ w + around[0] @ c + around[1] @ c.T + around[2] @ s
         p = np.exp(score - score.max(axis=1, keepdims=True))
         gap = hot - p / p.sum(axis=1, keepdims=True)
-        w += rate * (sites.x.T @ gap / n * 4 - decay * w)
+        w += rate * (x.T @ gap / n * 4 - decay * w)
         c += rate * ((around[0].T @ gap + gap.T @ around[1]) / n - decay * c)
         g = around[2].T @ gap / n
         s += rate * ((g + g.T) / 2 - decay * s)
     return w, c, s
 
 
+def _softmax(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def marginals(sites: Sites, model) -> np.ndarray:
-    """Label probabilities by loopy sum-product over the graph of all texts at once."""
+    """Label probabilities by loopy sum-product over the graph of all texts at once.
+
+    Both directions of all edges of a kind share one potential table, and messages are worked out ``SLICE`` edges at a
+    time: memory is some 300 bytes a site, whatever the text."""
     w, c, s = model
-    unary = sites.x @ w
-    edges = np.array(sites.chain + sites.skip, dtype=np.int64).reshape(-1, 2)
-    if not len(edges):
-        p = np.exp(unary - unary.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
-    pair = np.concatenate([np.repeat(c[None], len(sites.chain), 0), np.repeat(s[None], len(sites.skip), 0)])
-    src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-    pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
-    message = np.zeros((len(src), LABELS))
-    for _ in range(ROUNDS):
+    unary = np.concatenate([sites.x[i : i + SLICE].astype(np.float64) @ w for i in range(0, max(1, len(sites.x)), SLICE)])
+    kinds = [(sites.chain[:, 0], sites.chain[:, 1], c), (sites.chain[:, 1], sites.chain[:, 0], c.T), (sites.skip[:, 0], sites.skip[:, 1], s), (sites.skip[:, 1], sites.skip[:, 0], s.T)]
+    messages = [np.zeros((len(src), LABELS), dtype=np.float32) for src, _, _ in kinds]
+
+    def believed() -> np.ndarray:
         belief = unary.copy()
-        np.add.at(belief, dst, message)
-        held = belief[src] - message[back]
-        joint = held[:, :, None] + pair
-        top = joint.max(axis=1, keepdims=True)
-        new = np.log(np.exp(joint - top).sum(axis=1)) + top[:, 0]
-        new -= new.max(axis=1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * new
-    belief = unary.copy()
-    np.add.at(belief, dst, message)
-    p = np.exp(belief - belief.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
+        for (_, dst, _), held in zip(kinds, messages, strict=True):
+            for k in range(LABELS):
+                belief[:, k] += np.bincount(dst, held[:, k], minlength=len(belief))
+        return belief
+
+    for _ in range(ROUNDS if len(sites.chain) + len(sites.skip) else 0):
+        belief, fresh = believed(), []
+        for i, (src, _, pair) in enumerate(kinds):
+            back, new = messages[i ^ 1], np.empty_like(messages[i])
+            for a in range(0, len(src), SLICE):
+                held = belief[src[a : a + SLICE]] - back[a : a + SLICE]
+                joint = held[:, :, None] + pair
+                top = joint.max(axis=1, keepdims=True)
+                out = np.log(np.exp(joint - top).sum(axis=1)) + top[:, 0]
+                new[a : a + SLICE] = out - out.max(axis=1, keepdims=True)
+            fresh.append(DAMPING * messages[i] + np.float32(1 - DAMPING) * new)
+        messages = fresh
+    return _softmax(believed())
 
 
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model) -> dict[int, list[tuple[str, int, int]]]:
     """Spans that the field adds to each text, outside the base spans."""
     sites = Sites(texts)
     out: dict = defaultdict(list)
-    if not sites.doc:
+    if not len(sites.doc):
         return out
     p = marginals(sites, model)
     label, sure = p.argmax(axis=1), p.max(axis=1) >= SURE
-    linked = {i for _, i in sites.chain}
+    linked = set(sites.chain[:, 1].tolist())
     for i in np.flatnonzero((label > 0) & sure).tolist():
         d, a, b = sites.doc[i], sites.start[i], sites.end[i]
         kind = KINDS[label[i] - 1]
@@ -232,15 +255,17 @@ def written(spans) -> str:
 
 
 def sample(df: DataFrame, bound: int = SAMPLE) -> list[str]:
-    """Texts of documents under a hash threshold set so that about ``bound`` pass; no more than ``bound``."""
-    rows = id_and_text(df).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))).filter((F.char_length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
-    n = rows.count()
-    few = rows.filter(F.col("h") < F.lit(int((1 << 32) * min(1.0, bound / max(1, n))))).select("h", "text").collect()
-    return [t for _, t in sorted((r.h, r.text) for r in few)[:bound]]
+    """``bound`` distinct rows at most, those of the least hashes of doc_id and text. No more than that is collected,
+    however often a doc_id or a row repeats: hashes under a share of their range are reduced to distinct ones first."""
+    rows = id_and_text(df).filter((F.char_length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    n = rows.agg(F.approx_count_distinct("h").alias("n")).head().n
+    share = min(1.0, 2 * bound / max(1, n))
+    some = rows.filter(F.col("h") < int(share * (1 << 40))).groupBy("h").agg(F.min("text").alias("text"))
+    return [r.text for r in some.orderBy("h").limit(bound).collect()]
 
 
 def scan(df: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base (array of kind, start, end), spans (text) of each row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (text; base and added ones) and n_spans of each row."""
     model = train(sample(df, bound))
 
     def run(batches):
@@ -252,6 +277,6 @@ def scan(df: DataFrame, bound: int = SAMPLE) -> DataFrame:
                 more = added_spans(part, base, model) if model is not None else {}
                 spans = [sorted(x + more[i], key=lambda s: (KINDS.index(s[0]), s[1])) if i in more else x for i, x in enumerate(base)]
                 counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in KINDS]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *counts, pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in base]), pa.array([written(x) for x in spans])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *counts, pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in base]), pa.array([written(x) for x in spans]), pa.array([len(x) for x in spans], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    return id_and_text(df).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return id_and_text(df).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")

@@ -1,27 +1,34 @@
-"""License scans: normalised lines compared with license templates by Dice coefficient over word bigrams.
+"""License scans: passages compared with license templates by Dice coefficient over word bigrams.
 
-A line and a template are lower-cased, everything but letters and digits becomes a space, and the distinct pairs of
-neighbouring words are their sets. The coefficient can reach the threshold only if the sizes are near enough, so bounds
-on the number of pairs prune lines first and templates next; no line is compared with a template outside its bounds.
+Text and templates are lower-cased and reduced to words of letters and digits, so line breaks, comment marks and
+punctuation don't matter: a notice is found on a line of its own, inside a longer line, or wrapped over several. A
+template of n words is compared with every window of n words that begins with one of its bigrams (at the end of a text,
+with what is left of it); the coefficient is that of the two sets of distinct bigrams. Of the windows that reach the
+threshold and overlap, the one that shares most bigrams stays (then by coefficient, name and place).
 
-Edge cases: a null or empty text, and a line of fewer than two words, match nothing; of several templates the best wins,
-ties by name; repeated rows and equal lines are reported each; null doc_ids stay null; an empty table gives an empty
-one; further columns are ignored. A very long line has more pairs than any template allows and is passed over.
+Two bounds prune, and drop nothing. A window can reach threshold t only if it holds t / (2 - t) of a template's bigrams,
+so it holds one of any larger rest of them: one regular expression over each template's longest bigrams rules out most
+texts. In the others, a window is looked at only if that many hits lie within its length.
+
+Edge cases: a null or empty text, or one of fewer than two words, matches nothing; repeated rows and equal passages are
+reported each; null doc_ids stay null; an empty table gives an empty one; further columns are ignored. Whole texts are
+scanned, however long; the work on one text grows with its length and its number of hits.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, let
 
 THRESHOLD = 0.8
 # The notices by which licenses are declared.
-TEMPLATES = {
+NOTICES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
@@ -35,33 +42,83 @@ TEMPLATES = {
 }
 
 
-def bigrams(notice: str) -> list[str]:
-    words = re.sub(r"[\W_]+", " ", notice.lower()).split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+def texts_of(folder: Path) -> dict[str, str]:
+    """License texts and file headers by name: one file each."""
+    return {f.stem: f.read_text() for f in sorted(folder.glob("*.txt"))}
+
+
+#: Templates by license and kind.
+TEMPLATES = {f"{k}/notice": v for k, v in NOTICES.items()} | {f"{k}/text": v for k, v in texts_of(Path(__file__).parent / "license_texts").items()}
+
+
+def bigrams(text: str) -> list[str]:
+    """Every bigram of a template, in order."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def least_shared(n: int, threshold: float) -> int:
+    """Fewest of a template's n distinct bigrams that a window which reaches the threshold holds."""
+    return math.ceil(n * threshold / (2 - threshold) - 1e-9)
+
+
+def marks(text: str, threshold: float) -> list[str]:
+    """Bigrams of a template one of which every window that reaches the threshold holds: the longest ones."""
+    known = sorted(set(bigrams(text)), key=lambda b: (-len(b), b))
+    return known[: len(known) - least_shared(len(known), threshold) + 1]
+
+
+def any_of(phrases: list[str]) -> str:
+    """A regular expression for one of the phrases, branching letter by letter."""
+
+    def branch(rest: list[str]) -> str:
+        if rest == [""]:
+            return ""
+        heads = sorted({r[:1] for r in rest})
+        parts = [h + branch(sorted({r[1:] for r in rest if r[:1] == h})) if h else "" for h in heads]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return branch(sorted(set(phrases)))
+
+
+def windows(name: str, text: str, pairs: Column, hits: Column, threshold: float) -> Column:
+    """The windows of one template that reach the threshold. pairs: a text's bigrams; hits: place and bigram of those that
+    any template has."""
+    every = bigrams(text)
+    known, span = sorted(set(every)), len(every)
+    least = least_shared(len(known), threshold)
+    own = F.transform(F.filter(hits, lambda h: h["pair"].isin(known)), lambda h: h["at"])
+
+    def scored(at: Column) -> Column:
+        held = F.array_distinct(F.slice(pairs, at + 1, F.lit(span)))
+        shared = F.size(F.array_intersect(held, F.array(*map(F.lit, known))))
+        dice = F.round(2 * shared / (F.size(held) + len(known)), 6)
+        end = F.least(at + span, F.size(pairs)) + 1
+        return F.struct((-shared).alias("rank"), (-dice).alias("rank_dice"), F.lit(name).alias("template"), at.alias("start"), end.alias("end"), F.size(held).alias("n"))
 
+    def reaching(places: Column) -> Column:
+        near = F.transform(places, lambda at, i: F.when(F.get(places, i + least - 1) < at + span, at))
+        return F.filter(F.transform(F.filter(near, lambda at: at.isNotNull()), scored), lambda w: -2 * w["rank"] >= threshold * (w["n"] + len(known)))
 
-def bounds(n: int, threshold: float) -> tuple[int, int]:
-    """Numbers of pairs with which n pairs can reach the threshold: twice the smaller over the sum."""
-    return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
+    return F.when(F.size(own) >= least, let(own, reaching))
 
 
 def matches(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, line (from 0), n_bigrams, license, dice of each line that is like a template."""
-    known = {k: bigrams(v) for k, v in (templates or TEMPLATES).items()}
-    spans = {k: bounds(len(v), threshold) for k, v in known.items()}
-    least, most = max(1, min(a for a, _ in spans.values())), max(b for _, b in spans.values())
-    clean = F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{N}\\n]+", " ")
-    lines = F.transform(F.split(clean, "\n"), lambda x, i: F.struct(i.alias("line"), F.split(F.trim(x), " ").alias("words")))
-    # a line has at most as many pairs as words less one, so this bound drops none; repeats may still bring a longer line down
-    wide = F.filter(lines, lambda x: F.size(x["words"]) > least)
-    rows = id_and_text(df).select("doc_id", F.explode(wide).alias("l")).select("doc_id", "l.line", F.array_distinct(F.zip_with(F.slice("l.words", F.lit(1), F.size("l.words") - 1), F.slice("l.words", F.lit(2), F.size("l.words") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("pairs"))
-    rows = rows.withColumn("n_bigrams", F.size("pairs")).filter(F.col("n_bigrams").between(least, most))
-
-    def dice(name: str) -> Column:
-        both = F.size(F.array_intersect("pairs", F.array(*map(F.lit, known[name]))))
-        value = F.round(2 * both / (F.col("n_bigrams") + len(known[name])), 6)
-        return F.struct(F.when(F.col("n_bigrams").between(*spans[name]), value).otherwise(F.lit(0.0)).alias("dice"), F.lit(name).alias("license"))
-
-    scored = rows.withColumn("all", F.array(*[dice(k) for k in sorted(known)]))
-    best = F.aggregate("all", F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), lambda a, b: F.when(b["dice"] > a["dice"], b).otherwise(a))
-    return scored.select("doc_id", F.col("line").cast("long").alias("line"), F.col("n_bigrams").cast("long").alias("n_bigrams"), best.alias("b")).select("doc_id", "line", "n_bigrams", "b.license", "b.dice").filter(F.col("dice") >= threshold)
+    """doc_id, license, template, start and n_words of the passage in words, n_shared bigrams, dice. templates: name
+    (license, slash, kind) to text."""
+    templates = templates or TEMPLATES
+    guard = " " + any_of([m for t in templates.values() for m in marks(t, threshold)]) + " "
+    rows = id_and_text(df).select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{N}]+", " ")), F.lit(" ")).alias("clean")).filter(F.col("clean").rlike(guard))
+    words = F.split(F.trim("clean"), " ")
+    neighbours = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.select("doc_id", let(words, neighbours).alias("pairs"))
+    every = sorted({b for t in templates.values() for b in bigrams(t)})
+    placed = F.filter(F.transform("pairs", lambda b, i: F.struct(F.when(b.isin(every), b).alias("pair"), i.alias("at"))), lambda h: h["pair"].isNotNull())
+    rows = rows.select("doc_id", "pairs", placed.alias("hits"))
+    none = F.array().cast("array<struct<rank:int,rank_dice:double,template:string,start:int,end:int,n:int>>")
+    found = [F.coalesce(windows(k, templates[k], F.col("pairs"), F.col("hits"), threshold), none) for k in sorted(templates)]
+    rows = rows.select("doc_id", F.array_sort(F.concat(*found)).alias("found")).filter(F.size("found") > 0)
+    apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
+    best = F.aggregate("found", none, lambda acc, w: F.when(F.forall(acc, lambda x: apart(x, w)), F.array_append(acc, w)).otherwise(acc))
+    one = rows.select("doc_id", F.explode(best).alias("w"))
+    return one.select("doc_id", F.substring_index("w.template", "/", 1).alias("license"), F.col("w.template").alias("template"), F.col("w.start").cast("long").alias("start"), (F.col("w.end") - F.col("w.start")).cast("long").alias("n_words"), (-F.col("w.rank")).cast("long").alias("n_shared"), (-F.col("w.rank_dice")).alias("dice"))

@@ -48,17 +48,21 @@ SELECT page_id, url, fetched, n_captures, count(active) AS n_active, arg_max(act
 
 def license_scan() -> str:
     def template(name: str) -> str:
-        pairs = licenses.bigrams(licenses.TEMPLATES[name])
-        low, high = licenses.bounds(len(pairs), licenses.THRESHOLD)
-        return f"('{name}', {pairs!r}, {low}, {high})"
+        every = licenses.bigrams(licenses.TEMPLATES[name])
+        return f"('{name}', {sorted(set(every))!r}, {len(every)})"
 
-    return f"""WITH templates(license, known, low, high) AS (VALUES {", ".join(map(template, sorted(licenses.TEMPLATES)))}),
-texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), chr(10)) AS lines FROM documents),
-each AS (SELECT r, doc_id, unnest(range(len(lines))) AS line, unnest(lines) AS body FROM texts),
-split AS (SELECT r, doc_id, line, string_split(trim(body, ' '), ' ') AS w FROM each),
-paired AS (SELECT r, doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM split WHERE len(w) > 1),
-scored AS (SELECT r, doc_id, line, CAST(len(pairs) AS BIGINT) AS n_bigrams, license, round(2 * len(list_intersect(pairs, known)) / (len(pairs) + len(known)), 6) AS dice FROM paired JOIN templates ON len(pairs) BETWEEN low AND high)
-SELECT doc_id, line, n_bigrams, license, dice FROM scored WHERE dice >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, license) = 1"""
+    return f"""WITH RECURSIVE templates(template, known, span) AS (VALUES {", ".join(map(template, sorted(licenses.TEMPLATES)))}),
+texts AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ') AS w FROM documents),
+paired AS (SELECT r, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS pairs FROM texts WHERE len(w) > 1),
+placed AS (SELECT r, unnest(pairs) AS pair, unnest(range(len(pairs))) AS start FROM paired),
+hits AS (SELECT r, template, start FROM placed JOIN (SELECT template, unnest(known) AS pair FROM templates) USING (pair)),
+windows AS (SELECT r, doc_id, template, start, least(start + span, len(pairs)) + 1 AS stop, known, list_distinct(pairs[start + 1 : start + span]) AS held FROM hits JOIN paired USING (r) JOIN templates USING (template)),
+scored AS (SELECT r, doc_id, template, start, stop, len(held) AS n, len(list_intersect(held, known)) AS shared, len(known) AS m FROM windows),
+good AS (SELECT r, doc_id, template, start, stop, shared, round(2 * shared / (n + m), 6) AS dice FROM scored WHERE 2 * shared >= {licenses.THRESHOLD} * (n + m)),
+listed AS (SELECT r, doc_id, list(struct_pack(template, start, stop, shared, dice) ORDER BY shared DESC, dice DESC, template, start) AS rest FROM good GROUP BY r, doc_id),
+taken AS (SELECT r, doc_id, rest[1] AS w, rest FROM listed UNION ALL
+ SELECT r, doc_id, rest[1] AS w, rest FROM (SELECT r, doc_id, list_filter(rest, lambda x: x.stop <= w.start OR w.stop <= x.start) AS rest FROM taken) WHERE len(rest) > 0)
+SELECT doc_id, split_part(w.template, '/', 1) AS license, w.template AS template, CAST(w.start AS BIGINT) AS start, CAST(w.stop - w.start AS BIGINT) AS n_words, CAST(w.shared AS BIGINT) AS n_shared, w.dice AS dice FROM taken"""
 
 
 def sql() -> dict[str, str]:

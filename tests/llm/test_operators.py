@@ -223,6 +223,85 @@ def test_quality_of_small_tables_and_tails(spark):
         assert {r.doc_id for r in got if not r.kept} == outliers
 
 
+def plain_estimates(x):
+    """Location and scatter of integer rows (with multiplicity): the same starts, steps and reweighting, row by row."""
+    x = x[np.lexsort(x.T[::-1])].astype(float)
+    floor2 = np.diag([(v * quality.UNIT) ** 2 for v in quality.FLOOR.values()])
+
+    def dist(rows, m, c):
+        d = rows - m
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(c + floor2), d)
+
+    def least(values, share):
+        return np.sort(values)[int(np.ceil(len(values) * share)) - 1]
+
+    mid = np.array([least(v, 0.5) for v in x.T])
+    dev = np.maximum([(least(v, 0.75) - least(v, 0.25)) / 1.349 for v in x.T], [v * quality.UNIT for v in quality.FLOOR.values()])
+    z = (x - mid) / dev
+    norm = np.sqrt((z**2).sum(axis=1))
+    starts = [("widths", mid, np.diag(dev**2))]
+    for name, score in (("ranks", 2 / (1 + np.exp(-1.702 * z)) - 1), ("clipped", np.clip(z, -1.5, 1.5)), ("signs", np.divide(z, norm[:, None], out=np.zeros_like(z), where=norm[:, None] > 0))):
+        score = np.round(score * 1000)
+        p = score.T @ score
+        with np.errstate(all="ignore"):
+            corr = np.where(np.outer(np.diag(p), np.diag(p)) > 0, p / np.sqrt(np.outer(np.diag(p), np.diag(p))), 0)
+        np.fill_diagonal(corr, 1)
+        starts.append((name, mid, corr * np.outer(dev, dev)))
+
+    def closest(d, share):
+        return x[np.lexsort((*x.T[::-1], d))[: int(np.ceil(len(x) * share))]]
+
+    half = closest(np.round(norm * 1000), 0.5)
+    starts.append(("half", half.mean(axis=0), np.cov(half.T, bias=True)))
+    best = None
+    for name, m, c in starts:
+        for _ in range(60):
+            kept = closest(dist(x, m, c), quality.KEPT)
+            m, c = kept.mean(axis=0), np.cov(kept.T, bias=True)
+        key = (round(np.linalg.slogdet(c + floor2)[1], 9), name)
+        best = min(best, (key, m, c), key=lambda b: b[0]) if best else (key, m, c)
+    _, m, c = best
+    c = c / quality.consistency(quality.KEPT_QUANTILE)
+    near = x[dist(x, m, c) <= quality.NEAR]
+    return (near.mean(axis=0), np.cov(near.T, bias=True) / quality.consistency(quality.NEAR)) if len(near) else (m, c)
+
+
+def test_quality_estimates_against_plain_ones(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for lang, source, n in (("en", "a", 1000), ("en", "b", 300), ("de", "a", 50), ("de", None, 7), (None, None, 1), ("fr|=a", "b", 3), ("fr", "a|=b", 4)):
+        base = rng.normal(rng.uniform(100, 200, 4), [12, 9, 8, 15], (n, 4)) + rng.normal(0, 8, (n, 1))
+        base[: n // 10] += rng.uniform(100, 400, 4)
+        rows += [(lang, source, *map(int, np.maximum(base_row, 0))) for base_row in base]
+    got = {(r.lang, r.source): r for r in quality.group_estimates(spark.createDataFrame(rows, f"lang string, source string, {', '.join(f'{k} long' for k in quality.NAMES)}")).collect()}
+    x = {g: np.array([r[2:] for r in rows if g in ("all", r[0], (r[0], r[1]))]) for g in {"all", *(r[0] for r in rows), *(r[:2] for r in rows)}}
+    own = {g: plain_estimates(v) for g, v in x.items()}
+
+    def towards(g, est, wider):
+        share = len(x[g]) / (len(x[g]) + quality.PRIOR)
+        return [share * a + (1 - share) * b for a, b in zip(est, wider, strict=True)]
+
+    for g, r in got.items():
+        m, c = towards(g, own[g], towards(g[0], own[g[0]], own["all"]))
+        lower = np.linalg.cholesky(c + np.diag([(v * quality.UNIT) ** 2 for v in quality.FLOOR.values()]))
+        assert np.allclose([r[f"m_{k}"] for k in quality.NAMES], m, rtol=1e-6), g
+        assert np.allclose([r[f"l_{i}{j}"] for i, j in quality.PAIRS], [lower[i, j] for i, j in quality.PAIRS], rtol=1e-6), g
+    assert len(got) == 7
+    assert abs(quality.consistency(quality.KEPT_QUANTILE) - 0.673) < 0.001 and abs(quality._even_chi2(quality.KEPT_QUANTILE, 2) - 0.75) < 1e-4 and abs(quality._even_chi2(quality.NEAR, 2) - 0.975) < 1e-4
+
+
+def test_quality_judges_rows(spark):
+    """One doc_id with a good and a bad row, and rows without doc_id: the verdict is the row's."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"word{i}" for i in range(2000)]
+    good = [" ".join(rng.choice(vocabulary, 120, replace=False)) for _ in range(60)]
+    bad = " ".join(f"{w}#$%&*" for w in rng.choice(vocabulary, 120, replace=False))
+    rows = [(None if i % 2 else 1, t, "en", "a", 1, "x", 1) for i, t in enumerate([*good, bad, bad, "few"])]
+    kept = quality.keep(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("rep", "kept").withColumnRenamed("key", "n_words"))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_words", "kept"]
+    assert collections.Counter(r.text for r in kept.collect()) == collections.Counter(good)
+
+
 def test_mixing(odd):
     rows = mixing.replicate(odd, {"a": 3.0, "b": 1.0}, epochs=4.0).collect()
     assert {r.source for r in rows} <= {"a", "b"}
@@ -321,17 +400,50 @@ def test_url_lists(spark):
     assert {r.page_id: (r.n_captures, r.blocked, r.pattern) for r in rows} == {1: (1, False, None), 2: (2, True, "x.com"), 3: (1, True, "x.com"), 4: (1, False, None), 5: (1, True, "a.x.com"), 6: (1, False, None), 7: (1, False, None)}
 
 
-def test_licenses(docs, odd):
-    def brute(text):
-        for i, line in enumerate((text or "").split("\n")):
-            pairs = set(licenses.bigrams(line))
-            best = max(((round(2 * len(pairs & set(t)) / (len(pairs) + len(t)), 6), name) for name, t in ((k, licenses.bigrams(v)) for k, v in licenses.TEMPLATES.items())), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-            if best[0] >= licenses.THRESHOLD:
-                yield i, len(pairs), best[1], best[0]
-
-    for df in (docs, odd):
-        want = collections.Counter((r.doc_id, *m) for r in df.collect() for m in brute(r.text))
-        assert collections.Counter((r.doc_id, r.line, r.n_bigrams, r.license, r.dice) for r in licenses.matches(df).collect()) == want
+def brute_licenses(text):
+    """Every window of every template, and of overlapping ones the best."""
+    words = re.sub(r"[^\w]|_", " ", (text or "").lower()).split()
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    good = []
+    for name, template in licenses.TEMPLATES.items():
+        every = licenses.bigrams(template)
+        known = set(every)
+        for i, p in enumerate(pairs):
+            if p in known:
+                held = set(pairs[i : i + len(every)])
+                both = len(held & known)
+                if 2 * both >= licenses.THRESHOLD * (len(held) + len(known)):
+                    good.append((-both, -round(2 * both / (len(held) + len(known)), 6), name, i, min(i + len(every), len(pairs)) + 1))
+    taken = []
+    for w in sorted(good):
+        if all(w[4] <= x[3] or x[4] <= w[3] for x in taken):
+            taken.append(w)
+    return [(w[2].split("/")[0], w[2], w[3], w[4] - w[3], -w[0], -w[1]) for w in taken]
+
+
+def license_rows(df):
+    return collections.Counter((r.doc_id, r.license, r.template, r.start, r.n_words, r.n_shared, r.dice) for r in licenses.matches(df).collect())
+
+
+def test_licenses(docs, odd, spark):
+    mit, bsd = licenses.TEMPLATES["MIT/text"], licenses.TEMPLATES["BSD-3-Clause/text"]
+    notice = licenses.NOTICES["GPL-3.0"]
+    hard = [
+        "words before " + mit.replace(" ", "\n * ") + " and after " + mit,
+        bsd.replace("following", "given", 2),
+        "# Licensed under the Apache License, Version 2.0. See NOTICE and the rest of a line that goes on for long",
+        "/* This work is licensed under the\n * GNU General Public\n * License, version 2. */",
+        f"{notice} {notice} {notice}",
+        licenses.TEMPLATES["AGPL-3.0/text"] + licenses.TEMPLATES["GPL-3.0/text"],
+        "Licensed under",
+        "released under the",
+        "The licence of this text is not named.",
+    ]
+    wanted = spark.createDataFrame([(i, t) for i, t in enumerate([*hard, hard[5]])], "doc_id long, text string")
+    found = license_rows(wanted)
+    assert len({d for d, *_ in found}) == 7
+    for df in (docs, odd, wanted):
+        assert license_rows(df) == collections.Counter((r.doc_id, *m) for r in df.collect() for m in brute_licenses(r.text))
 
 
 PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))

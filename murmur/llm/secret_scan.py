@@ -3,14 +3,21 @@
 ``scan`` returns, for each row, the base spans (assign, access, hex) and the spans that the battery adds (random), all
 in code points. Everything runs in Spark's own expressions.
 
-The battery. A candidate is a run of 20 or more characters of the usual encodings that overlaps no base span. Its
-encoding (hex, base32, one-case letters and digits, letters and digits, base64) is inferred from its characters and gives the alphabet. Three tests
-ask whether it could be random there: chi-squared uniformity of the symbols (cube-root normal form), a runs test about
-the alphabet's middle, and lag-one serial correlation; a candidate that any of them rejects is ordinary. For the rest,
-how unlikely an ordinary string of that length is to look so (few coincidences of symbols, many changes of character
-class) gives a p-value, and Benjamini-Hochberg over the whole table, length class by length class, decides which are
-secrets; what the battery rejects counts among the candidates there, with a p-value of one. Runs of digits alone are hex
-base spans, so none is a candidate. The p-values are counted in bins of a tenth of a decade, so the control takes one small aggregation.
+The battery. A candidate is a run of 20 or more characters of the usual encodings (equals signs only at its end, so
+the name before a key isn't part of it) that overlaps no base span. Its encoding (hex, base32, one-case letters and
+digits, letters and digits, base64) is inferred from its characters and gives the alphabet. Three tests are worked out
+for it: chi-squared uniformity of the symbols, runs, and lag-one serial correlation.
+
+They are used twice. First against randomness: a candidate that any of them rejects (beyond ``Z_RANDOM``) is ordinary.
+Then against the null hypothesis that matters, "this is an ordinary string of its encoding and length": how far the same
+three statistics (the chi-squared statistic as the rate of agreeing symbol pairs; runs of character classes; serial
+correlation) are from what ordinary strings show, in standard deviations for that length, added up and divided by the
+root of three. What ordinary strings show is learnt from the table: the mean rates of all candidates of the encoding that
+the battery rejected, drawn towards fixed rates by ``PRIOR`` characters. The tail of the sum is the candidate's p-value;
+a rejected candidate has one. Benjamini-Hochberg over all candidates of a length class decides which are secrets.
+
+Means and p-values (in bins of a tenth of a decade) are counted in two small aggregations of a few rows each. Runs of
+digits alone are hex base spans, so none is a candidate.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned each; an empty table gives an empty one;
 null doc_ids stay null; further columns are ignored by ``scan`` and kept by ``redact``.
@@ -25,7 +32,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, let, stored
+from .common import id_and_text, let, stored, tidied, unused
 
 # Fixed values of the query contract.
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -33,15 +40,17 @@ ACCESS = "AKIA[A-Z0-9]{14,}"  # the whole run, so a shorter start can't hide a l
 HEX = "[0-9a-f]{16,}"
 BASE_KINDS = ("assign", "access", "hex")
 
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Alphabets of the inferred encodings.
 HEX_SYMBOLS = "0123456789abcdef"
 B32_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ONE_CASE_SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 ALNUM_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 B64_SYMBOLS = ALNUM_SYMBOLS + "+/"
-#: Chance that two symbols of ordinary text agree, and that neighbours differ in class (upper, lower, digit, sign).
-COINCIDENCE, CHANGES = 0.065, 0.1
+ENCODINGS = ("hex", "base32", "one-case", "alnum", "base64")
+#: Rates of ordinary strings before any is seen: that two symbols agree, that neighbours differ in class (upper, lower,
+#: digit, sign), and the serial correlation; and the characters that weigh as much as these.
+COINCIDENCE, CHANGES, SERIAL, PRIOR = 0.065, 0.1, 0.2, 10_000
 #: A candidate is ordinary if one test of the three is beyond this many standard deviations (0.001 in all).
 Z_RANDOM = 3.6
 #: Upper ends of the length classes, and the rate of false discoveries allowed in each.
@@ -74,11 +83,11 @@ def _tail(z: Column) -> Column:
 
 
 def _judged(c: Column, text: Column) -> Column:
-    """A candidate span with its length class, bin of -log10 p and whether the battery finds it random."""
+    """A candidate span with its encoding, length, the three rates and whether the battery finds it random."""
     raw = F.substring(text, c["start"].cast("int") + 1, (c["end"] - c["start"]).cast("int"))
     bare = F.translate(F.rtrim(raw, F.lit("=")), "-_", "+/")
 
-    def battery(token: Column, symbols: str) -> Column:
+    def battery(token: Column, symbols: str, encoding: int) -> Column:
         k, n = len(symbols), F.char_length(token).cast("double")
         counts = F.transform(F.array(*map(F.lit, symbols)), lambda s: n - F.char_length(F.replace(token, s, F.lit(""))))
         pairs = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)
@@ -107,29 +116,25 @@ def _judged(c: Column, text: Column) -> Column:
             expected = 2 * v["upper"] * (n - v["upper"]) / n
             z_runs = F.when(expected > 1, (v["runs"] - expected) / F.sqrt(F.greatest(expected * (expected - 1) / (n - 1), F.lit(1e-9)))).otherwise(F.lit(99.0))
             z_serial = F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.lit(99.0))
-            return F.greatest(z_chi, F.abs(z_runs), F.abs(z_serial)) < Z_RANDOM
+            random = F.greatest(z_chi, F.abs(z_runs), F.abs(z_serial)) < Z_RANDOM
+            serial = F.when(spread > 0, F.least(F.greatest(lagged / spread, F.lit(-1.0)), F.lit(1.0))).otherwise(F.lit(1.0))
+            return F.struct(random.alias("random"), serial.alias("serial"))
 
-        trial = n * (n - 1) / 2
-        few = (trial * COINCIDENCE - (pairs - n) / 2) / F.sqrt(trial * COINCIDENCE * (1 - COINCIDENCE))
-        return F.struct(let(xs, after).alias("random"), few.alias("few"))
+        return F.struct(let(xs, after).alias("tests"), ((pairs - n) / (n * (n - 1))).alias("agree"), F.lit(encoding).alias("encoding"))
 
     classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "[a-z]+", "a "), "[A-Z]+", "A "), "[0-9]+", "0 "), "[+/]+", "+ "), " ", "")
     n = F.char_length(bare).cast("double")
-    many = (F.char_length(classes) - 1 - (n - 1) * CHANGES) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
     tests = (
-        F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), battery(F.lower(bare), HEX_SYMBOLS))
-        .when(bare.rlike("^[A-Z2-7]+$"), battery(bare, B32_SYMBOLS))
-        .when(bare.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), battery(F.lower(bare), ONE_CASE_SYMBOLS))
-        .when(bare.rlike("^[A-Za-z0-9]+$"), battery(bare, ALNUM_SYMBOLS))
-        .otherwise(battery(bare, B64_SYMBOLS))
+        F.when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), battery(F.lower(bare), HEX_SYMBOLS, 0))
+        .when(bare.rlike("^[A-Z2-7]+$"), battery(bare, B32_SYMBOLS, 1))
+        .when(bare.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), battery(F.lower(bare), ONE_CASE_SYMBOLS, 2))
+        .when(bare.rlike("^[A-Za-z0-9]+$"), battery(bare, ALNUM_SYMBOLS, 3))
+        .otherwise(battery(bare, B64_SYMBOLS, 4))
     )
-    level = F.least(F.floor(_tail((tests["few"] + many) / math.sqrt(2)) * 10), F.lit(BINS))
-    size = F.lit(0)
-    for i, top in enumerate(LENGTH_CLASSES):
-        size = F.when(n >= top, F.lit(i + 1)).otherwise(size)
-    judged = F.struct(size.alias("size"), F.when(tests["random"], level).otherwise(F.lit(0)).cast("int").alias("level"))
-    empty = F.struct(F.lit(0).alias("size"), F.lit(0).alias("level"))
-    return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(n >= 20, judged).otherwise(empty).alias("judged"))
+    # whole numbers of millionths: their sums are exact in any order
+    unit = lambda v: F.round(v * 1_000_000).cast("long")
+    changes = (F.char_length(classes) - 1) / (n - 1)
+    return let(tests, lambda t: F.struct(c["start"].alias("start"), c["end"].alias("end"), t["encoding"].alias("encoding"), n.cast("long").alias("n"), t["tests"]["random"].alias("random"), unit(t["agree"]).alias("agree"), unit(changes).alias("changes"), unit(t["tests"]["serial"]).alias("serial")))
 
 
 def _base(text: Column) -> Column:
@@ -142,27 +147,62 @@ def _base(text: Column) -> Column:
 
 def _candidates(text: Column):
     """From the base spans, the judged candidates that overlap none of them."""
-    return lambda base: F.transform(F.filter(_spans(text, CANDIDATE, "random"), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))), lambda c: _judged(c, text))
+    return lambda base: F.transform(F.filter(_spans(text, CANDIDATE, "random"), lambda c: (c["end"] - c["start"] >= 20) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))), lambda c: _judged(c, text))
+
+
+def found(df: DataFrame, text: Column, base: str, candidates: str) -> DataFrame:
+    """df with its base spans and judged candidates."""
+    return df.withColumn(base, _base(text)).withColumn(candidates, _candidates(text)(F.col(base)))
+
+
+def ordinary(candidates: DataFrame) -> list[tuple[float, float, float]]:
+    """For each encoding, the mean rates of its rejected candidates (agreeing pairs, class changes, serial correlation),
+    weighted by length and drawn towards the fixed ones."""
+    w = F.col("c.n").cast("decimal(20,0)")
+    mean = lambda c, before: ((F.sum(w * F.col(f"c.{c}").cast("decimal(20,0)")).cast("double") / 1e6 + PRIOR * before) / (F.sum(w).cast("double") + PRIOR)).alias(c)
+    rows = candidates.filter(~F.col("c.random")).groupBy("c.encoding").agg(mean("agree", COINCIDENCE), mean("changes", CHANGES), mean("serial", SERIAL)).collect()  # five rows at most
+    known = {r.encoding: (r.agree, r.changes, r.serial) for r in rows}
+    return [known.get(i, (COINCIDENCE, CHANGES, SERIAL)) for i in range(len(ENCODINGS))]
+
+
+def length_class(n: Column) -> Column:
+    size = F.lit(0)
+    for i, top in enumerate(LENGTH_CLASSES):
+        size = F.when(n >= top, F.lit(i + 1)).otherwise(size)
+    return size
+
+
+def level(c: Column, means: list[tuple[float, float, float]]) -> Column:
+    """The bin of -log10 p of a candidate: 0 if the battery rejects it."""
+    n = c["n"].cast("double")
+    trials = n * (n - 1) / 2
 
+    def combined(agree: float, changes: float, serial: float) -> Column:
+        few = (agree - c["agree"] / 1e6) / F.sqrt(agree * (1 - agree) / trials)
+        many = (c["changes"] / 1e6 - changes) / F.sqrt(changes * (1 - changes) / (n - 1))
+        apart = math.copysign(1, serial) * (serial - c["serial"] / 1e6) * F.sqrt(n)
+        return (few + many + apart) / math.sqrt(3)
 
-def found(df: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base spans and judged candidates of each row."""
-    rows = id_and_text(df).withColumn("base", _base(F.col("text")))
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", _candidates(F.col("text"))(F.col("base")).alias("candidates"))
+    z = F.lit(0.0)
+    for i, m in enumerate(means):
+        z = F.when(c["encoding"] == i, combined(*(min(max(v, 1e-4), 1 - 1e-4) for v in m[:2]), m[2])).otherwise(z)
+    return F.when(c["random"], F.least(F.floor(_tail(z) * 10), F.lit(BINS))).otherwise(F.lit(0)).cast("int")
 
 
-def thresholds(found_rows: DataFrame) -> dict[int, int]:
-    """Least accepted bin of each length class, by Benjamini-Hochberg over all candidates; one row a class at most."""
-    one = found_rows.select(F.explode("candidates.judged").alias("j")).groupBy("j.size", "j.level").agg(F.count("*").alias("n"))
+def control(rows: DataFrame, candidates: str) -> tuple[list[tuple[float, float, float]], dict[int, int]]:
+    """The ordinary rates, and the least accepted bin of each length class by Benjamini-Hochberg over all candidates."""
+    each = rows.select(F.explode(candidates).alias("c"))
+    means = ordinary(each)
+    one = each.select(length_class(F.col("c.n")).alias("size"), level(F.col("c"), means).alias("level")).groupBy("size", "level").agg(F.count("*").alias("n"))
     above = Window.partitionBy("size").orderBy(F.desc("level"))
     ranked = one.withColumn("k", F.sum("n").over(above)).withColumn("m", F.sum("n").over(Window.partitionBy("size")))
     passed = ranked.filter((F.col("level") > 0) & (F.pow(F.lit(10.0), -F.col("level") / 10) <= F.col("k") * FALSE_RATE / F.col("m")))
-    return {r["size"]: r["least"] for r in passed.groupBy("size").agg(F.min("level").alias("least")).collect()}
+    return means, {r["size"]: r["least"] for r in passed.groupBy("size").agg(F.min("level").alias("least")).collect()}  # a row a class
 
 
-def _all_spans(base: Column, candidates: Column, least: dict[int, int]) -> Column:
+def _all_spans(base: Column, candidates: Column, means: list[tuple[float, float, float]], least: dict[int, int]) -> Column:
     """Base spans and accepted candidates by start, then kind."""
-    accepted = F.filter(candidates, lambda c: reduce(or_, [(c["judged"]["size"] == s) & (c["judged"]["level"] >= v) for s, v in sorted(least.items())], F.lit(False)))
+    accepted = F.filter(candidates, lambda c: reduce(or_, [(length_class(c["n"]) == s) & (level(c, means) >= v) for s, v in sorted(least.items())], F.lit(False)))
     merged = F.concat(base, F.transform(accepted, lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
     place = lambda s: F.array_position(F.array(*map(F.lit, (*BASE_KINDS, "random"))), s["kind"])
     ordered = F.array_sort(F.transform(merged, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["kind"].alias("kind"), s["end"].alias("end"))))
@@ -171,24 +211,28 @@ def _all_spans(base: Column, candidates: Column, least: dict[int, int]) -> Colum
 
 def scan(df: DataFrame) -> DataFrame:
     """doc_id, base (array of kind, start, end), spans (base and added ones by start, then kind) of each row."""
-    rows = stored(found(df), "secrets")
-    return rows.select("doc_id", "base", _all_spans(F.col("base"), F.col("candidates"), thresholds(rows)).alias("spans"))
+    rows = stored(found(id_and_text(df), F.col("text"), "base", "candidates").select("doc_id", "base", "candidates"), "secrets")
+    return rows.select("doc_id", "base", _all_spans(F.col("base"), F.col("candidates"), *control(rows, "candidates")).alias("spans"))
 
 
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """df with every secret in ``text`` replaced by the mark and n_chars, where present, brought up to date."""
-    rows = stored(found(df), "secrets")
-    spans = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), _all_spans(F.col("base"), F.col("candidates"), thresholds(rows)).alias("_spans"))
-    held = stored(spans.filter(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"]), "secret-spans")  # rows with secrets only
-    text = F.col("text")
-
-    def step(acc, s):
-        new = s["end"] > acc["at"]
-        before = F.substring(text, (acc["at"] + 1).cast("int"), (F.greatest(s["start"], acc["at"]) - acc["at"]).cast("int"))
-        grown = F.concat(acc["out"], before, F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, grown).otherwise(acc["out"]).alias("out"))
-
-    folded = F.aggregate("_spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    joined = df.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), folded).otherwise(text)).drop("_id", "_hash", "_spans")
-    return out.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(df.schema["n_chars"].dataType))) if "n_chars" in df.columns else out
+    """df with every secret in ``text`` replaced by the mark and n_chars, where present, brought up to date. The spans
+    are stored with the rows, so every row gets its own, whatever its doc_id."""
+
+    def build() -> DataFrame:
+        base, candidates, spans = unused(df, "base", "candidates", "spans")
+        rows = stored(found(df, F.coalesce("text", F.lit("")), base, candidates), "secrets")
+        rows = rows.withColumn(spans, _all_spans(F.col(base), F.col(candidates), *control(rows, candidates)))
+        text = F.col("text")
+
+        def step(acc, s):
+            new = s["end"] > acc["at"]
+            before = F.substring(text, (acc["at"] + 1).cast("int"), (F.greatest(s["start"], acc["at"]) - acc["at"]).cast("int"))
+            grown = F.concat(acc["out"], before, F.when(s["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, grown).otherwise(acc["out"]).alias("out"))
+
+        folded = F.aggregate(spans, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+        out = rows.withColumn("text", F.when(F.size(spans) > 0, folded).otherwise(text)).select(df.columns)
+        return out.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(df.schema["n_chars"].dataType))) if "n_chars" in df.columns else out
+
+    return tidied(df.sparkSession, "redacted", build)

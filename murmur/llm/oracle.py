@@ -31,7 +31,7 @@ def url_list() -> str:
     number = lambda salt: _hex(f"'{salt}:' || host", 6)
     on, off, again = f"{number('on')} % 200", f"({number('off')} % 60 + 1)", f"({number('again')} % 90 + 1)"
     day = lambda n: f"DATE '2024-01-01' + CAST({n} AS INTEGER)"
-    host = f"lower(regexp_extract(coalesce(url, ''), '{url_lists.HOST}', 1))"
+    host = f"regexp_replace(lower(regexp_extract(coalesce(url, ''), '{url_lists.HOST}', 1)), '\\.+$', '')"
     return f"""WITH named AS (SELECT DISTINCT {host} AS h FROM pages),
 hosts AS (SELECT h AS host FROM named WHERE h <> '' UNION SELECT regexp_replace(h, '^[^.]+\\.', '') FROM named WHERE h <> ''),
 chosen AS (SELECT host FROM hosts WHERE len(string_split(host, '.')) > 2 AND {number('in')} % 5 = 0),

@@ -43,6 +43,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture, judged against a dated list that is drawn from the pages' own hosts."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_lists.evaluate(url_lists.dated_captures(pages), url_lists.dated_entries(pages))
 

@@ -1,6 +1,7 @@
 """URL filters with dated lists: list entries become validity intervals, captures are judged as of their fetch time.
 
-An entry names a host (which covers its subdomains) and a date on which it was put on or taken off the list. The state
+An entry names a host (which covers its subdomains; a scheme, port or path around it is dropped) and a date on which it
+was put on or taken off the list. The state
 after each entry holds until the next entry for the same host; ``intervals`` keeps the listed ones. ``evaluate`` looks
 up each capture's host and all its parent hosts among the intervals that hold at its fetch time.
 
@@ -24,12 +25,20 @@ HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)), "\\.+$", "")
+
+
+def entry_host(entry: Column) -> Column:
+    """The host that an entry names: lower-case, without scheme, user, port, path, leading wildcard and final dot; null
+    where nothing is left."""
+    bare = F.regexp_replace(F.lower(F.trim(entry)), "^[a-z][a-z0-9+.-]*://|^//", "")
+    host = F.regexp_replace(F.regexp_replace(bare, "[/?#].*$", ""), "^[^@]*@|:[0-9]*$", "")
+    return F.nullif(F.regexp_replace(host, "^(\\*?\\.)+|\\.+$", ""), F.lit(""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """host, listed_from, listed_to (null: still listed). entries: host, dated, listed (boolean)."""
-    one = entries.filter("host IS NOT NULL AND dated IS NOT NULL").groupBy("host", "dated").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
+    one = entries.withColumn("host", entry_host(F.col("host"))).filter("host IS NOT NULL AND dated IS NOT NULL").groupBy("host", "dated").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
     after = F.lead("dated").over(Window.partitionBy("host").orderBy("dated"))
     return one.withColumn("listed_to", after).filter("listed").select("host", F.col("dated").alias("listed_from"), "listed_to")
 
@@ -66,7 +75,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
-    """A list drawn from the pages' own hosts, for data without one: by digest, some hosts go on and off the list."""
+    """A list drawn from the pages' own hosts, for data without one (the given tables hold no list): by digest, some hosts
+    go on and off it."""
     hosts = pages.select(host_of(F.col("url")).alias("h")).filter("h <> ''").select(F.explode(F.array("h", F.regexp_replace("h", "^[^.]+\\.", ""))).alias("host")).distinct()
     number = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), "host")), 1, 6), 16, 10).cast("int")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)

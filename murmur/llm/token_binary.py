@@ -9,13 +9,14 @@ documents, ``control`` (two bits an id, four ids a byte, lowest bits first: the
 ``data`` (the ranks' little-endian bytes). Blocks hold about ``BLOCK`` ids; a longer document has a block of its own.
 
 Edge cases: a null or empty text is one document of the end id alone; null doc_ids sort first; repeated rows and equal
-doc_ids are kept, equal ones in the order of their ids; an empty table gives an empty store; further columns are
+doc_ids are kept, equal ones in the order of a hash of their ids; an empty table gives an empty store; further columns are
 ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 from itertools import islice
 
@@ -101,12 +102,34 @@ def _words(text: bytes) -> list[bytes]:
     return text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n").split()
 
 
+#: What the normaliser and the pre-tokenizer of a vocabulary must be for words to be encoded one by one.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+@functools.lru_cache(maxsize=2)
+def by_words(tok) -> bool:
+    """Whether a tokenizer drops white space and lower-cases as ``_words`` takes for granted."""
+    held = json.loads(tok.to_str())
+    return all(held[part] == wanted for part, wanted in BY_WORDS.items())
+
+
 def encode_texts(tok, texts: list[bytes], kind: str = "<u4") -> list[bytes]:
-    """Ids of each UTF-8 text, as bytes of the numpy type ``kind``."""
-    global _kind
-    if kind != _kind:
+    """Ids of each UTF-8 text, as bytes of the numpy type ``kind``: word by word where the vocabulary allows it, else whole."""
+    global _holder
+    if not by_words(tok):
+        return [np.array(e.ids, dtype=kind).tobytes() for a, b in sliced(texts) for e in tok.encode_batch_fast([t.decode() for t in texts[a:b]], add_special_tokens=False)]
+    if _holder != (id(tok), kind):  # the words of another vocabulary or type
         _remembered.clear()
-        _kind = kind
+        _holder = (id(tok), kind)
     out = []
     for a, b in sliced(texts):
         split = [_words(t) for t in texts[a:b]]
@@ -123,7 +146,7 @@ def encode_texts(tok, texts: list[bytes], kind: str = "<u4") -> list[bytes]:
     return out
 
 
-_kind = "<u4"
+_holder: tuple = ()
 
 
 def narrow(path: str) -> str:
@@ -226,7 +249,10 @@ def write(encoded: DataFrame, path: str, kind: str = "<u4") -> None:
 
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # a doc_id that many rows share, or none have, is cut by the hash of the ids, and equal rows by their place
+    order = (F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("place"))
+    placed = encoded.withColumn("hash", F.xxhash64("ids")).withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
 
 

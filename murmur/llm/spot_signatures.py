@@ -6,13 +6,13 @@ its spots, written as ascending eight-digit hexadecimal numbers; a text without
 the only one. Likeness is the Jaccard coefficient, given up early when the sizes rule the threshold out.
 
 ``edited_pairs`` compares each document with an edit of itself and with its neighbour in descending doc_id order: the
-ids are cut into ranges at quantiles, each range goes to one task in order, and only the head of a range (one document)
-is sent to the range above as well, so texts are shuffled once. ``similar_pairs`` partitions fingerprints by set length
+ids (and, where one takes up many rows, its texts' hashes) are cut into ranges at quantiles, each range goes to one task
+in order, and only the head of a range is sent to the range above as well, so texts are shuffled once. ``similar_pairs`` partitions fingerprints by set length
 (a pair's lengths must be in the same or neighbouring partitions) and compares those that share one of their rarest spots.
 
 Edge cases: a null or empty text has the empty fingerprint, like (1.0) to another empty one only; equal texts have equal
-fingerprints; rows of equal doc_id are neighbours in the order of their texts, null doc_ids come last; a single document
-is its own neighbour; an empty table gives an empty one; further columns are ignored.
+fingerprints (and so may, rarely, texts whose spots' 32-bit hashes agree); rows of equal doc_id are neighbours in falling
+order of their texts' 64-bit hash, null doc_ids come last; a single document is its own neighbour; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,29 +95,39 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 
 
 def in_order(df: DataFrame) -> DataFrame:
-    """Rows dealt into ranges of doc_id, sorted descending in each task: range, sentinel, doc_id, text. The row after a
-    range's last one, as ``sentinel``, is the head of the next non-empty range below; after the lowest comes the highest."""
+    """Rows dealt into ranges of doc_id and text hash, sorted descending in each task: range, sentinel, doc_id, text. The
+    row after a range's last one, as ``sentinel``, is the head of the next non-empty range below; after the lowest comes
+    the highest. A doc_id that takes up several quantiles is cut by the hash into as many ranges."""
     spark = df.sparkSession
-    keyed = id_and_text(df).withColumn("k", F.coalesce("doc_id", F.lit(_LEAST_ID)))
+    keyed = id_and_text(df).withColumn("k", F.coalesce("doc_id", F.lit(_LEAST_ID))).withColumn("h", F.xxhash64("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = keyed.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100_000).alias("q")).head().q or []
-    cuts = np.unique(np.array(cuts, dtype=np.int64))
+    held = keyed.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100_000).alias("q")).head().q or []
+    cuts, times = np.unique(np.array(held, dtype=np.int64), return_counts=True)
+    times[times == 1] = 0
+    first = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(1 + times)])
+
+    def numbers(k: pd.Series, h: pd.Series) -> np.ndarray:
+        k, share = k.to_numpy(), (h.to_numpy().astype(np.float64) / 2.0**64 + 0.5).clip(0, 1 - 1e-9)
+        at = np.searchsorted(cuts, k, side="left")
+        inside = np.minimum(at, max(len(cuts) - 1, 0))
+        hot = (at < len(cuts)) & (cuts[inside] == k) & (times[inside] > 0) if len(cuts) else np.zeros(len(k), dtype=bool)
+        return first[at] + np.where(hot, 1 + (share * (times[inside] if len(cuts) else 0)).astype(np.int64), 0)
 
     @F.pandas_udf(T.IntegerType())
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="left").astype(np.int32))
+    def range_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(numbers(k, h).astype(np.int32))
 
-    heads = {r["r"]: r["head"] for r in keyed.select("k").withColumn("r", range_of("k")).groupBy("r").agg(F.max("k").alias("head")).collect()}  # one row a range
+    heads = {r["r"]: tuple(r["head"]) for r in keyed.select(range_of("k", "h").alias("r"), F.struct("k", "h").alias("x")).groupBy("r").agg(F.max("x").alias("head")).collect()}  # one row a range
     order = sorted(heads)
     above = {heads[r]: order[(i + 1) % len(order)] for i, r in enumerate(order)}
 
     @F.pandas_udf("array<struct<range:int,sentinel:boolean>>")
-    def places(k: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, k.to_numpy(), side="left").tolist()
-        return pd.Series([[{"range": r, "sentinel": False}] + ([{"range": above[x], "sentinel": True}] if x in above else []) for r, x in zip(own, k.tolist(), strict=True)])
+    def places(k: pd.Series, h: pd.Series) -> pd.Series:
+        own = numbers(k, h).tolist()
+        return pd.Series([[{"range": r, "sentinel": False}] + ([{"range": above[x], "sentinel": True}] if x in above else []) for r, x in zip(own, zip(k.tolist(), h.tolist(), strict=True), strict=True)])
 
-    dealt = keyed.withColumn("place", F.explode(places("k"))).select("place.range", "place.sentinel", "k", "doc_id", "text")
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "sentinel", F.desc("k"), "text")
+    dealt = keyed.withColumn("place", F.explode(places("k", "h"))).select("place.range", "place.sentinel", "k", "h", "doc_id", "text")
+    return dealt.repartitionById(int(first[-1]) + 1, "range").sortWithinPartitions("range", "sentinel", F.desc("k"), F.desc("h"))
 
 
 def edited_pairs(df: DataFrame, anchors=None) -> DataFrame:

@@ -489,3 +489,210 @@ def test_pipeline(spark, docs):
         assert r.text == texts[r.doc_id] or "[SECRET]" in r.text
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules"
     assert zlib.crc32(b"") == 0
+
+
+MANY = 20_000
+
+
+def hot_rows(spark, doc_id):
+    """Many rows of one doc_id, a fifth of them equal in all, the rest of different texts."""
+    text = F.when(F.col("id") % 5 == 0, "the same text of a row that repeats").otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" of the rows with one doc_id")))
+    return spark.range(MANY).select(F.lit(doc_id).cast("long").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+
+
+def part_sizes(df):
+    sizes = collections.Counter({r.p: r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()})
+    return [sizes[i] for i in range(df.rdd.getNumPartitions())]
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_hot_doc_ids(spark, doc_id):
+    df = hot_rows(spark, doc_id)
+    mixed = mixing.replicate(df)
+    copies = mixed.groupBy("text", "shuffle_key").count().agg(F.max("count")).head()[0]
+    assert copies == 1  # every copy of every row has a key of its own
+    assert abs(mixed.count() - MANY) < 5 * MANY**0.5
+    sizes = part_sizes(mixed)
+    assert max(sizes) < 2 * np.mean(sizes)
+    sizes = part_sizes(spot_signatures.in_order(df))
+    assert max(sizes) < MANY / 3
+    assert len(pii.sample(df.withColumn("text", F.concat("text", F.lit(" 1"))), bound=300)) == 300
+    path = token_binary.store(df, public_tokenizers.path(token_binary.VOCAB))
+    assert token_binary.read(spark, path).count() == MANY
+    shards = [r["sum(n)"] for r in spark.read.parquet(f"{path}/blocks").select("shard", F.size("doc_ids").alias("n")).groupBy("shard").sum("n").collect()]
+    assert max(shards) < 2 * MANY / 8
+
+
+def test_equal_rows_draw_apart(spark):
+    df = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one text' AS text", "'en' AS lang", "'a' AS source", "8L AS n_chars", "id AS copy", "id AS shuffle_key", "id AS ordinal", "id AS draw_key", "id AS source_of_rate")
+    rows = mixing.replicate(df)
+    assert rows.columns == ["doc_id", "text", "lang", "source", "n_chars", "ordinal", "draw_key", "source_of_rate", "copy", "shuffle_key"]
+    drawn = collections.Counter(r.ordinal for r in rows.collect())
+    zero = 1 - len(drawn) / 4000
+    assert abs(zero - np.exp(-1)) < 0.04 and max(drawn.values()) >= 4
+
+
+def test_order_of_spots_with_ties(spark):
+    import xxhash
+
+    rows = [(i // 3 if i < 90 else None, f"words of the text {i % 40}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -(1 << 63), signed(r[1])), reverse=True)
+    want = collections.Counter()
+    for i, (doc, text) in enumerate(order):
+        half = len(text) // 2
+        want[doc, hashlib.sha256((text[: len(text) - half] + order[(i + 1) % len(order)][1][:half]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in spot_signatures.edited_pairs(df).collect()) == want
+
+
+def test_one_doc_id_over_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    c = " ".join(f"c{i}" for i in range(40))
+    rows = [(5, a), (5, b), (5, c), (9, b + " tail"), (8, a + " tail"), (7, c), (6, ""), (6, "d e f g h i"), (4, "d e f g h i"), (None, a), (10, ""), (5, a)]
+    want = brute_components(rows)
+    for seed in range(4):
+        mixed = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        for few_rows in (near_dup.FEW_ROWS, 0):
+            got = near_dup.components(spark.createDataFrame(mixed, "doc_id long, text string").repartition(1 + seed), few_rows).collect()
+            assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    kept = near_dup.deduplicate(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, row long, present long"))
+    assert kept.columns == ["doc_id", "text", "row", "present"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, a), (5, b), (5, c), (6, ""), (4, "d e f g h i"), (None, a), (10, "")], key=repr)
+
+
+def test_masks_of_rows(spark):
+    key = "token = abcdefghijkl0123456789"
+    rows = [(None, f"one {key}", 3), (None, "two", 3), (1, f"three {key}", 3), (1, f"four {key}", 3), (1, None, 3)]
+    got = secret_scan.redact(spark.createDataFrame([(d, t, n, "x", "y") for d, t, n in rows], "doc_id long, text string, n_chars long, base string, spans string"))
+    assert got.columns == ["doc_id", "text", "n_chars", "base", "spans"]
+    assert sorted(((r.doc_id, r.text, r.n_chars, r.base) for r in got.collect()), key=repr) == sorted([(None, "one [SECRET]", 12, "x"), (None, "two", 3, "x"), (1, "three [SECRET]", 14, "x"), (1, "four [SECRET]", 13, "x"), (1, None, 3, "x")], key=repr)
+
+
+def test_names_before_keys_stay(spark):
+    rng = np.random.default_rng(4)
+    keys = ["".join(rng.choice(list(secret_scan.ALNUM_SYMBOLS), 40)) for _ in range(40)]
+    rows = [(i, f"auth={k} and more words") for i, k in enumerate(keys)]
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(spans[i] == [(5, 45)] for i in range(40)) >= 36
+
+
+def plain_spans(texts):
+    """The battery and its control, string by string."""
+    import math
+
+    symbols = (secret_scan.HEX_SYMBOLS, secret_scan.B32_SYMBOLS, secret_scan.ONE_CASE_SYMBOLS, secret_scan.ALNUM_SYMBOLS, secret_scan.B64_SYMBOLS)
+    found = []
+    for d, text in enumerate(texts):
+        base = [(a, b) for _, a, b in base_secrets(text)]
+        for m in re.finditer(secret_scan.CANDIDATE, text):
+            if any(a < m.end() and m.start() < b for a, b in base):
+                continue
+            bare = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+            n = len(bare)
+            e = 0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare) else 1 if re.fullmatch("[A-Z2-7]+", bare) else 2 if re.fullmatch("[a-z0-9]+|[A-Z0-9]+", bare) else 3 if re.fullmatch("[A-Za-z0-9]+", bare) else 4
+            token, k = bare.lower() if e in (0, 2) else bare, len(symbols[e])
+            pairs = sum(v * v for v in collections.Counter(token).values())
+            chi = pairs * k / n - n
+            z = [(math.cbrt(chi / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))]
+            x = np.array([symbols[e].index(c) + 1 - (k + 1) / 2 for c in token])
+            up = x > 0
+            expected = 2 * up.sum() * (n - up.sum()) / n
+            z.append(abs((up[1:] != up[:-1]).sum() - expected) / math.sqrt(max(expected * (expected - 1) / (n - 1), 1e-9)) if expected > 1 else 99)
+            spread = ((x - x.mean()) ** 2).sum()
+            serial = ((x[1:] - x.mean()) * (x[:-1] - x.mean())).sum() / spread if spread > 0 else 1.0
+            z.append(abs(serial) * math.sqrt(n) if spread > 0 else 99)
+            kind = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "+" for c in bare]
+            found.append({"at": (d, m.start(), m.end()), "e": e, "n": n, "random": max(z) < secret_scan.Z_RANDOM, "agree": (pairs - n) / (n * (n - 1)), "changes": sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / (n - 1), "serial": serial})
+    means = {}
+    for e in range(5):
+        cast = [c for c in found if c["e"] == e and not c["random"]]
+        total = sum(c["n"] for c in cast)
+        means[e] = [(sum(c["n"] * c[v] for c in cast) + secret_scan.PRIOR * p) / (total + secret_scan.PRIOR) for v, p in (("agree", secret_scan.COINCIDENCE), ("changes", secret_scan.CHANGES), ("serial", secret_scan.SERIAL))]
+    classes = collections.defaultdict(list)
+    for c in found:
+        n, (agree, changes, serial) = c["n"], means[c["e"]]
+        z = (agree - c["agree"]) / math.sqrt(agree * (1 - agree) / (n * (n - 1) / 2)) + (c["changes"] - changes) / math.sqrt(changes * (1 - changes) / (n - 1)) + math.copysign(1, serial) * (serial - c["serial"]) * math.sqrt(n)
+        x = max(z / math.sqrt(3), 0)
+        tail = (x * x / 2 + math.log(x + math.sqrt(x * x + 8 / math.pi)) + math.log(math.pi / 2) / 2) / math.log(10)
+        c["level"] = min(math.floor(tail * 10), secret_scan.BINS) if c["random"] else 0
+        classes[sum(n >= top for top in secret_scan.LENGTH_CLASSES)].append(c)
+    out = set()
+    for cs in classes.values():
+        good = [v for v in {c["level"] for c in cs if c["level"] > 0} if 10 ** (-v / 10) <= sum(c["level"] >= v for c in cs) * secret_scan.FALSE_RATE / len(cs)]
+        out |= {c["at"] for c in cs if good and c["level"] >= min(good)}
+    return out
+
+
+def test_added_spans_against_plain_ones(spark):
+    rng = np.random.default_rng(21)
+    words = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL").limit(300).collect()]
+    alphabets = [secret_scan.ALNUM_SYMBOLS, secret_scan.B64_SYMBOLS, secret_scan.ONE_CASE_SYMBOLS, secret_scan.B32_SYMBOLS, secret_scan.HEX_SYMBOLS.upper()]
+    texts = []
+    for i in range(300):
+        plain = "".join(rng.choice(words).split())[: int(rng.integers(20, 80))]
+        key = "".join(rng.choice(list(alphabets[i % 5]), int(rng.integers(20, 100))))
+        texts.append(f"{rng.choice(words)[:200]} {plain} {key if i % 3 else plain.title()} x")
+    got = {(r.doc_id, s.start, s.end) for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for s in r.spans if s.kind == "random"}
+    want = plain_spans(texts)
+    assert len(want) > 100
+    assert got == want
+
+
+def test_other_vocabularies_are_encoded_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = token_binary.tokenizer(path)
+    for text in ("Two  Words, and Three.", "", "a\nB\tc", "É 12.5"):
+        assert token_binary.encode_texts(tok, [text.encode()])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_forms_of_list_entries(spark):
+    import datetime
+
+    d = datetime.date(2024, 1, 1)
+    forms = ["X.com", "https://user@x.com:8080/path?q", "x.com.", "*.X.com", ".x.com", "//x.com/a"]
+    for form in forms:
+        entries = spark.createDataFrame([(form, d, True)], "host string, dated date, listed boolean")
+        captures = spark.createDataFrame([(1, "http://X.COM./a", d), (2, "http://a.x.com/a", d), (3, "http://ax.com/", d)], "page_id long, url string, fetched date")
+        assert {r.page_id: r.blocked for r in url_lists.evaluate(captures, entries).collect()} == {1: True, 2: True, 3: False}, form
+
+
+def test_field_adds_what_patterns_miss(spark):
+    """Numbers that a fixed pattern reads once and misses at another place of the same text."""
+    rng = np.random.default_rng(5)
+    train = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text rlike '[0-9@]'").orderBy("doc_id").limit(2000).collect()]
+    model = pii.train(train)
+    found = clean = 0
+    for _ in range(200):
+        digits = "".join(map(str, rng.integers(0, 10, 10)))
+        text = f"Call +1 {digits[:3]}-{digits[3:6]}-{digits[6:]} now. The number {digits[:3]}-{digits[3:6]}-{digits[6:]} is open all day."
+        base = pii.base_spans(text)
+        added = pii.added_spans([text], [base], model)[0]
+        at = text.rindex(digits[:3] + "-")
+        found += any(k == "phone" and a <= at and b >= at + 12 for k, a, b in added)
+        plain = f"Chapter {digits[:2]} has {digits[2:5]} pages and {digits[5]} tables, from 19{digits[6:8]} on."
+        clean += not pii.added_spans([plain], [[]], model)[0]
+    assert found >= 150 and clean >= 190, (found, clean)
+
+
+def test_long_texts_in_bounded_steps():
+    text = " ".join(str(i % 997) for i in range(300_000)) + " +1 415-555-0134"
+    sites = pii.Sites([text])
+    model = (np.zeros((pii.WIDTH, pii.LABELS)), np.eye(pii.LABELS), np.eye(pii.LABELS))
+    assert len(sites.doc) == 300_002
+    assert np.allclose(pii.marginals(sites, model), 1 / pii.LABELS)
+
+
+def test_pipeline_on_empty_and_null_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("empty", []), ("null", [(None,) * 5] * 3), ("text", [(None, "few words", None, None, None), (1, BODY, None, "a", 3), (1, BODY, None, "a", 3)])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        assert got.columns == [*[c.split()[0] for c in schema.split(", ")], "token_ids", "n_tokens", "decoded_sha256"]
+        assert {r.text for r in got.collect()} <= {BODY}
+    docs = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, FOLDER).columns == docs.columns

@@ -1,33 +1,43 @@
-"""A training corpus from documents: quality rules, near-duplicates, secrets, source mixing, token ids."""
+"""A training corpus from documents: quality rules, near-duplicates, secrets, source mixing, token ids.
+
+Every stage works on all rows of its predecessor, whatever their doc_ids: nulls, repeats and equal rows are rows like any
+other. An empty table stays empty. Columns beyond those of documents pass through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from murmur.llm import bpe, mixing, near_dup, quality, secret_scan
-from murmur.llm.common import stored
+from murmur.llm.common import discard, stored, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that fail a fixed rule or are outliers of their language and source go; a null text has no words and goes."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of similar texts stays, and every row without doc_id."""
     return near_dup.deduplicate(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked; every row stays."""
     return secret_scan.redact(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies by source rate, in shuffled order; a document drawn zero times goes."""
-    return mixing.replicate(docs).select(docs.columns)
+    """Copies by source rate, in shuffled order; a row drawn zero times goes."""
+    copy, key = unused(docs, "copy", "shuffle_key")
+    return mixing.replicate(docs, copy=copy, shuffle_key=key).select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs)
+    """Token ids of every text, and the SHA-256 of the bytes that they decode to."""
+    coded = bpe.decode(bpe.encode(docs))
+    return coded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
@@ -44,6 +54,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES):
+        done = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            discard(docs)
+        docs = done
     return docs

@@ -133,15 +133,8 @@ def named(level: str, *parts: str) -> Column:
 
 
 
-def _quantile(cells: DataFrame, share: float, name: str) -> DataFrame:
-    """grp, stat, and the least value at which the running count of a statistic reaches the share."""
-    by = Window.partitionBy("grp", "stat")
-    running = cells.withColumn("c", F.sum("n").over(by.orderBy("value"))).withColumn("m", F.sum("n").over(by))
-    return running.filter(F.col("c") >= F.col("m") * share).groupBy("grp", "stat").agg(F.min("value").alias(name))
-
-
 def factored(est: DataFrame, *keys: str) -> DataFrame:
-    """keys, m_*, c_*, log_det and l_*: the Cholesky factor of the scatter c_* with the floor added to its diagonal."""
+    """keys (and other columns that are to stay), m_*, c_*, log_det and l_*: the Cholesky factor of the scatter c_* with the floor added to its diagonal."""
     for i, k in enumerate(NAMES):
         for j in range(i + 1):
             c = F.col(f"c_{i}{j}") + ((FLOOR[k] * UNIT) ** 2 if i == j else 0.0)
@@ -160,15 +153,15 @@ def distance() -> Column:
     return reduce(lambda x, v: x + v * v, z, F.lit(0.0))
 
 
-def _moments(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    """Location and scatter (divided by the sum of weights) of each group's weighted cells."""
+def _moments(rows: DataFrame, keys: list[str], weight: Column, *more: Column) -> DataFrame:
+    """Location and scatter (divided by the sum of weights) of each group's weighted cells, and further aggregates."""
     rows = rows.withColumn("w", weight)
     w = F.col("w").cast("decimal(20,0)")  # whole weights, so that sums are exact in any order
     total = lambda c: F.sum(c.cast("decimal(20,0)") * w).cast("double")
     sums = [total(F.col(k)).alias(f"s_{k}") for k in NAMES] + [total(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p_{i}{j}") for i, j in PAIRS]
-    got = rows.groupBy(*keys).agg(F.sum(w).cast("double").alias("w"), *sums).filter("w > 0")
+    got = rows.groupBy(*keys).agg(F.sum(w).cast("double").alias("w"), *sums, *more).filter("w > 0")
     mean = {k: F.col(f"s_{k}") / F.col("w") for k in NAMES}
-    return got.select(*keys, *[mean[k].alias(f"m_{k}") for k in NAMES], *[(F.col(f"p_{i}{j}") / F.col("w") - mean[NAMES[i]] * mean[NAMES[j]]).alias(f"c_{i}{j}") for i, j in PAIRS])
+    return got.select(*keys, *got.columns[len(keys) + 1 + len(sums) :], *[mean[k].alias(f"m_{k}") for k in NAMES], *[(F.col(f"p_{i}{j}") / F.col("w") - mean[NAMES[i]] * mean[NAMES[j]]).alias(f"c_{i}{j}") for i, j in PAIRS])
 
 
 def _scaled(est: DataFrame, factor: float) -> DataFrame:
@@ -179,7 +172,9 @@ def starts(cells: DataFrame) -> DataFrame:
     """grp, start and the estimates that each start begins with."""
     long = cells.select("grp", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.col(k).alias("value")) for k in NAMES])).alias("v"))
     values = stored(long.groupBy("grp", "v.stat", "v.value").agg(F.sum("n").alias("n")), "values")
-    quartiles = reduce(lambda a, b: a.join(b, ["grp", "stat"]), [_quantile(values, q, c) for q, c in ((0.25, "lo"), (0.5, "mid"), (0.75, "hi"))])
+    by = Window.partitionBy("grp", "stat")
+    running = values.withColumn("c", F.sum("n").over(by.orderBy("value")) / F.sum("n").over(by))
+    quartiles = running.groupBy("grp", "stat").agg(*[F.min(F.when(F.col("c") >= q, F.col("value"))).alias(name) for q, name in ((0.25, "lo"), (0.5, "mid"), (0.75, "hi"))])
     of = lambda k, c: F.max(F.when(F.col("stat") == k, c))
     floor = F.create_map(*[F.lit(x) for k in NAMES for x in (k, FLOOR[k] * UNIT)])
     wide = F.greatest((F.col("hi") - F.col("lo")) / 1.349, F.element_at(floor, F.col("stat")))
@@ -197,10 +192,11 @@ def starts(cells: DataFrame) -> DataFrame:
     got = rows.groupBy("grp").agg(*[F.sum(F.col("n") * F.col(f"{s}_{i}") * F.col(f"{s}_{j}")).cast("double").alias(f"{s}_{i}{j}") for s in scores for i, j in PAIRS])
     est = middle.join(got, "grp")
     d = lambda i: F.col(f"d_{NAMES[i]}")
-    out = est.select("grp", F.lit("widths").alias("start"), *[f"m_{k}" for k in NAMES], *[(d(i) * d(i) if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in PAIRS])
-    for s in scores:  # a score's correlations with the quartile widths as deviations
-        both = lambda i, j, s=s: F.sqrt(F.col(f"{s}_{i}{i}") * F.col(f"{s}_{j}{j}"))
-        out = out.unionByName(est.select("grp", F.lit(s).alias("start"), *[f"m_{k}" for k in NAMES], *[(d(i) * d(i) if i == j else F.when(both(i, j) > 0, d(i) * d(j) * F.col(f"{s}_{i}{j}") / both(i, j)).otherwise(F.lit(0.0))).alias(f"c_{i}{j}") for i, j in PAIRS]))
+    # a score's correlations with the quartile widths as deviations
+    both = lambda s, i, j: F.sqrt(F.col(f"{s}_{i}{i}") * F.col(f"{s}_{j}{j}"))
+    related = lambda s, i, j: F.lit(0.0) if s == "widths" else F.when(both(s, i, j) > 0, d(i) * d(j) * F.col(f"{s}_{i}{j}") / both(s, i, j)).otherwise(F.lit(0.0))
+    begun = F.array(*[F.struct(F.lit(s).alias("start"), *[(d(i) * d(i) if i == j else related(s, i, j)).alias(f"c_{i}{j}") for i, j in PAIRS]) for s in ("widths", *scores)])
+    out = est.select("grp", *[f"m_{k}" for k in NAMES], F.explode(begun).alias("b")).select("grp", "b.start", *[f"m_{k}" for k in NAMES], *[f"b.c_{i}{j}" for i, j in PAIRS])
     half = _moments(_closest(rows, ["grp"], "norm", 0.5), ["grp"], F.col("taken")).withColumn("start", F.lit("half"))
     return out.unionByName(half)
 
@@ -218,31 +214,19 @@ def estimates(cells: DataFrame) -> DataFrame:
     """grp, the number of its rows, and its reweighted minimum-covariance-determinant location and scatter."""
     keys = ["grp", "start"]
     est = stored(factored(starts(cells), *keys), "mcd")
-    before = None
-    for _ in range(MOST_STEPS):
-        placed = cells.join(est, "grp").select(*keys, "n", *NAMES, distance().alias("d"))
-        est = stored(factored(_moments(_closest(placed, keys, "d", KEPT), keys, F.col("taken")), *keys), "mcd")
-        after = est.select(*keys, F.col("log_det"))
-        if before is not None and before.join(after.withColumnRenamed("log_det", "now"), keys).filter(F.col("log_det") - F.col("now") > STILL).isEmpty():
+    for step in range(MOST_STEPS):
+        placed = cells.join(est, "grp").select(*keys, "n", *NAMES, distance().alias("d"), F.col("log_det").alias("before"))
+        moved = stored(factored(_moments(_closest(placed, keys, "d", KEPT), keys, F.col("taken"), F.max("before").alias("before")), *keys, "before"), "mcd")
+        est = moved.drop("before")
+        # a start's own determinant has another number of rows behind it
+        if step and moved.filter(F.col("before") - F.col("log_det") > STILL).isEmpty():
             break
-        before = after
     least = est.groupBy("grp").agg(F.min_by(F.struct(*[c for c in est.columns if c != "grp"]), F.struct("log_det", "start")).alias("e")).select("grp", "e.*")
     raw = factored(_scaled(least, consistency(KEPT_QUANTILE)), "grp")
-    near = cells.join(raw, "grp").select("grp", "n", *NAMES, distance().alias("d")).filter(F.col("d") <= NEAR)
-    again = _scaled(_moments(near, ["grp"], F.col("n")), consistency(NEAR))
-    # a group none of whose rows are near keeps its first estimates
-    columns = [c for c in again.columns if c != "grp"]
-    both = raw.select("grp", F.struct(*columns).alias("raw")).join(again.select("grp", F.struct(*columns).alias("again")), "grp", "left")
-    sizes = cells.groupBy("grp").agg(F.sum("n").alias("n"))
-    return both.select("grp", F.coalesce("again", "raw").alias("e")).select("grp", "e.*").join(sizes, "grp")
-
-
-def shrunk(est: DataFrame, wider: DataFrame, on: Column) -> DataFrame:
-    """Each group's estimates, drawn towards the wider group's by its number of rows. ``on``: the wider group's name."""
-    values = [c for c in est.columns if c not in ("grp", "n", "wider")]
-    broad = wider.select(F.col("grp").alias("of"), *[F.col(c).alias(f"w_{c}") for c in values])
-    share = F.col("n") / (F.col("n") + PRIOR)
-    return est.join(broad, on == F.col("of")).select("grp", "n", *[(share * F.col(c) + (1 - share) * F.col(f"w_{c}")).alias(c) for c in values])
+    # some row of each group is near: the mean squared distance of the closest ones is under the number of dimensions
+    placed = cells.join(raw, "grp").select("grp", "n", *NAMES, distance().alias("d"))
+    again = _moments(placed, ["grp"], F.when(F.col("d") <= NEAR, F.col("n")).otherwise(0), F.sum("n").alias("n"))
+    return _scaled(again, consistency(NEAR))
 
 
 def group_estimates(rows: DataFrame) -> DataFrame:
@@ -253,12 +237,19 @@ def group_estimates(rows: DataFrame) -> DataFrame:
     each = counted.select("n", *NAMES, F.explode(F.array(own, of_lang, F.lit("all"))).alias("grp"))
     cells = stored(each.groupBy("grp", *NAMES).agg(F.sum("n").alias("n")), "group-cells")
     est = stored(estimates(cells), "estimates")
-    groups = counted.select("lang", "source", own.alias("grp"), of_lang.alias("wider")).distinct()
-    level = lambda name: est.filter(F.col("grp").startswith(name))
-    langs = shrunk(level("lang|"), est.filter("grp = 'all'"), F.lit("all"))
-    of_own = level("own|").join(groups.select("grp", "wider"), "grp")
-    final = factored(shrunk(of_own, langs, F.col("wider")), "grp")
-    return stored(groups.select("lang", "source", "grp").join(final, "grp").drop("grp", "log_det", *[f"c_{i}{j}" for i, j in PAIRS]), "group-estimates")
+    groups = counted.select("lang", "source", own.alias("own"), of_lang.alias("of_lang")).distinct()
+    columns = [c for c in est.columns if c not in ("grp", "n")]
+    level = lambda name: est.filter(F.col("grp").startswith(name)).select(F.col("grp").alias(name), F.struct("n", *columns).alias(f"e_{name}"))
+    of = groups.join(level("own"), "own").join(level("lang").withColumnRenamed("lang", "of_lang"), "of_lang").crossJoin(F.broadcast(level("all").drop("all")))  # one row
+
+    def drawn(column: str) -> Column:
+        """A group's estimate, drawn towards its language's, which is drawn towards the table's, by numbers of rows."""
+        share = lambda e: F.col(f"{e}.n") / (F.col(f"{e}.n") + PRIOR)
+        wide = share("e_lang") * F.col(f"e_lang.{column}") + (1 - share("e_lang")) * F.col(f"e_all.{column}")
+        return (share("e_own") * F.col(f"e_own.{column}") + (1 - share("e_own")) * wide).alias(column)
+
+    final = factored(of.select("lang", "source", *map(drawn, columns)), "lang", "source")
+    return stored(final.drop("log_det", *[f"c_{i}{j}" for i, j in PAIRS]), "group-estimates")
 
 
 def judged(counted: DataFrame) -> DataFrame:

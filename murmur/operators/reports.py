@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def status_counts(rows: DataFrame, status: str) -> DataFrame:
@@ -41,3 +45,19 @@ def repetition_loops(docs: DataFrame, least_words: int = 12, ratio: float = 0.2)
     """Texts whose distinct words are a small share of all: the signature of a decoder that loops."""
     counted = docs.select("doc_id", distinct_word_ratio(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", "w.n_words", "w.n_distinct")
     return counted.withColumn("loops", (F.col("n_words") >= least_words) & (F.col("n_distinct") < ratio * F.col("n_words")))
+
+
+@F.pandas_udf(T.DoubleType())
+def _compression(texts: pd.Series) -> pd.Series:
+    data = [t.encode() for t in texts]
+    return pd.Series([len(d) / len(zlib.compress(d)) if d else 0.0 for d in data])
+
+
+def decoder_loops(docs: DataFrame, least_chars: int = 60, compression: float = 2.4, least_words: int = 12, ratio: float = 0.2) -> DataFrame:
+    """Texts that a decoder repeated itself in: they compress too well, or few of their words are distinct. Words are
+    split at white space, whatever their script and case."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    words = F.filter(F.split(F.upper(text), r"(?U)\s+"), lambda w: w != "")
+    rows = docs.select("doc_id", F.when(F.char_length(text) >= least_chars, _compression(text)).otherwise(F.lit(0.0)).alias("compression"), F.size(words).cast("long").alias("n_words"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
+    few = (F.col("n_words") >= least_words) & (F.col("n_distinct") < ratio * F.col("n_words"))
+    return rows.select("doc_id", "n_words", "n_distinct", ((F.col("compression") > compression) | few).alias("loops"))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.functions import content, text
+from murmur.functions import content
 from murmur.operators import mentions, planning, reports, sessions, tables
+from murmur.operators.matching import one_left_out
+from murmur.plans import catalogue, feed, ingest, matching, records, transcripts, work
 from murmur.sources.documents import parsed
 from murmur.sources.storage import new_path
 from murmur.sources.views import SQL, Views
@@ -172,18 +174,10 @@ def ranked_stations(v):
     return mentions.running_rank(votes.select("country", "s_suppkey", "s_acctbal"), ["country"], [F.desc("s_acctbal"), "s_suppkey"]).filter("rank <= 3")
 
 
-def keyword_matches(v):
-    """The first two words of each benchmark passage as keywords, found in every whole document."""
-    words = F.split(F.trim("text"), "\\s+")
-    terms = v.table("benchmark").select(F.col("item_id").alias("keyword_id"), F.concat_ws(" ", F.slice(words, 1, 2)).alias("term"))
-    return text.keyword_matches(v.table("documents"), terms)
-
-
 def near_terms(v):
     """Pairs of distinct part names one edit apart: they share a form with one character left out."""
     names = v.table("part").select(F.col("p_name").alias("name")).distinct()
-    cuts = F.transform(F.sequence(F.lit(1), F.char_length("name")), lambda i: F.concat(F.substr("name", F.lit(1), i - 1), F.substr("name", i + 1)))
-    forms = names.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), cuts))).alias("form"))
+    forms = names.select("name", F.explode(one_left_out(F.col("name"))).alias("form"))
     pairs = forms.join(forms.select(F.col("name").alias("other"), "form"), "form").filter(F.col("name") < F.col("other")).select("name", "other").distinct()
     return pairs.filter(F.levenshtein("name", "other", 1) >= 0)
 
@@ -265,7 +259,6 @@ WHERE ((disposition = 'disposable' AND age_s > 600 AND job_status = 'succeeded')
     "untracked_mentions": (untracked_mentions, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "ranked_stations": (ranked_stations, "SELECT country, s_suppkey, s_acctbal, rank FROM (SELECT n_name AS country, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier JOIN nation ON n_nationkey = s_nationkey) WHERE rank <= 3"),
     "near_terms": (near_terms, "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS name, b.name AS other FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) <= 1"),
-    "keyword_matches": (keyword_matches, None),
     "conversation_stream": (conversation_stream, None),
     "content_types": (content_types, None),
     "upserted_orders": (upserted_orders, "SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN o.o_orderstatus ELSE 'U' END AS o_orderstatus, coalesce(o.o_totalprice, 0.0) AS o_totalprice, coalesce(n.o_orderpriority, o.o_orderpriority) AS o_orderpriority FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) n ON o.o_orderkey = n.o_orderkey"),
@@ -274,6 +267,10 @@ WHERE ((disposition = 'disposable' AND age_s > 600 AND job_status = 'succeeded')
 }
 
 
+for _module in (matching, feed, records, transcripts, ingest, catalogue, work):
+    QUERIES |= _module.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, (f, _) in QUERIES.items()}
 

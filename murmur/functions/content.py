@@ -12,17 +12,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmur.functions.text import OPEN_SCRIPTS, dominant_script, normalize
+from murmur.functions.text import has_boundaries, normalized_key
 
 # The types from the costliest miss to the cheapest, each with its cues in English, Hindi and Marathi.
 CUES = {
-    "emergency_alert": "emergency|evacuate|evacuation|take shelter|severe weather|tornado warning|flood warning|amber alert|this is not a test|civil defence|civil defense|state of emergency|आपातकाल|चेतावनी|सतर्क|तूफान|बाढ़|सुरक्षित स्थान|आणीबाणी|इशारा|सावधान",
-    "advertisement": "call now|order now|buy now|limited time|offer ends|discount|% off|free shipping|visit our|terms and conditions|available at|in stores now|book your|sale ends|hurry|अभी खरीदें|छूट|ऑफर|मुफ्त|आज ही|संपर्क करें|उपलब्ध|आत्ताच|सवलत|मोफत",
-    "announcement": "please note|we would like to inform|will be closed|scheduled for|reminder that|starting tomorrow|road closure|सूचना|कृपया ध्यान|घोषणा|बंद रहेगा|कृपया लक्ष",
-    "news": "according to|reported|officials said|reuters|associated press|correspondent|headlines|police said|the government|prime minister|president said|in a statement|समाचार|खबर|सूत्रों के अनुसार|सरकार ने|पुलिस ने|प्रधानमंत्री|बातमी|सरकारने|पोलिसांनी",
-    "interview": "thank you for joining|welcome to the show|my guest|tell us about|let me ask you|joining us now|in conversation with|हमारे साथ|बताइए|आपका स्वागत|सवाल|आमच्यासोबत|सांगा",
-    "station_identification": "you're listening to|you are listening to|this is|on your radio|fm|am|back after the break|stay tuned|आप सुन रहे हैं|रेडियो|तुम्ही ऐकत आहात",
-    "dj_commentary": "that was|coming up next|up next|great track|here's|let's play|request|shout out|good morning listeners|अगला गाना|सुनते रहिए|पुढील गाणे",
+    "emergency_alert": (
+        "emergency", "evacuate", "evacuation", "take shelter", "severe weather", "tornado warning", "flood warning",
+        "amber alert", "this is not a test", "civil defence", "civil defense", "state of emergency", "आपातकाल",
+        "चेतावनी", "सतर्क", "तूफान", "बाढ़", "सुरक्षित स्थान", "आणीबाणी", "इशारा", "सावधान",
+    ),
+    "advertisement": (
+        "call now", "order now", "buy now", "limited time", "offer ends", "discount", "% off", "free shipping",
+        "visit our", "terms and conditions", "available at", "in stores now", "book your", "sale ends", "hurry",
+        "अभी खरीदें", "छूट", "ऑफर", "मुफ्त", "आज ही", "संपर्क करें", "उपलब्ध", "आत्ताच", "सवलत", "मोफत",
+    ),
+    "announcement": (
+        "please note", "we would like to inform", "will be closed", "scheduled for", "reminder that",
+        "starting tomorrow", "road closure", "सूचना", "कृपया ध्यान", "घोषणा", "बंद रहेगा", "कृपया लक्ष",
+    ),
+    "news": (
+        "according to", "reported", "officials said", "reuters", "associated press", "correspondent", "headlines",
+        "police said", "the government", "prime minister", "president said", "in a statement", "समाचार", "खबर",
+        "सूत्रों के अनुसार", "सरकार ने", "पुलिस ने", "प्रधानमंत्री", "बातमी", "सरकारने", "पोलिसांनी",
+    ),
+    "interview": (
+        "thank you for joining", "welcome to the show", "my guest", "tell us about", "let me ask you",
+        "joining us now", "in conversation with", "हमारे साथ", "बताइए", "आपका स्वागत", "सवाल", "आमच्यासोबत", "सांगा",
+    ),
+    "station_identification": (
+        "you're listening to", "you are listening to", "this is", "on your radio", "fm", "am", "back after the break",
+        "stay tuned", "आप सुन रहे हैं", "रेडियो", "तुम्ही ऐकत आहात",
+    ),
+    "dj_commentary": (
+        "that was", "coming up next", "up next", "great track", "here's", "let's play", "request", "shout out",
+        "good morning listeners", "अगला गाना", "सुनते रहिए", "पुढील गाणे",
+    ),
 }
 PRICE = r"(?U)[$€£₹]\s?\d|(?<!\w)\d+\s?(?:%|percent)(?!\w)"
 FREQUENCY = r"(?U)\b\d{2,3}\.\d\b"
@@ -31,13 +55,13 @@ CUE_WORDS, LYRIC_WORDS, LYRIC_RATIO, IDENT_WORDS, LONG_WORDS = 4, 12, 0.45, 14,
 
 @F.pandas_udf(T.StructType([T.StructField("normal", T.StringType()), T.StructField("spaced", T.BooleanType())]))
 def normal_form(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"normal": [normalize(t)[0] for t in texts], "spaced": [dominant_script(t) not in OPEN_SCRIPTS for t in texts]})
+    return pd.DataFrame({"normal": [normalized_key(t) for t in texts], "spaced": [has_boundaries(t) for t in texts]})
 
 
 def cue_counts(normal: Column) -> Column:
     """Struct with the number of cues of each type that occur as whole words."""
     padded = F.concat(F.lit(" "), normal, F.lit(" "))
-    forms = {kind: sorted({normalize(c)[0] for c in cues.split("|")}) for kind, cues in CUES.items()}
+    forms = {kind: sorted({normalized_key(c) for c in cues}) for kind, cues in CUES.items()}
     return F.struct(*[reduce(lambda a, b: a + b, [F.contains(padded, F.lit(f" {c} ")).cast("int") for c in cues]).alias(kind) for kind, cues in forms.items()])
 
 

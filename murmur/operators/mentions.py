@@ -1,4 +1,7 @@
-"""Mention feed: union of stores, labels and defaults, filters, paging, counts, top keyword, policy fan-out."""
+"""Mention feed: union of stores, labels and defaults, filters, paging, counts, top keyword, policy fan-out.
+
+Nulls: a missing label is neutral, a missing review flag asks for review, a null key is in no campaign or group of others.
+"""
 
 from __future__ import annotations
 
@@ -39,11 +42,12 @@ def top_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 
-def fan_out(mentions: DataFrame, campaigns: DataFrame, defaults: dict[str, bool]) -> DataFrame:
-    """One row for each mention and campaign with the policy verdict. mentions: mention_id, station, flag (null: none);
-    campaigns: campaign_id, station, policy (map of flag to boolean)."""
+def fan_out(mentions: DataFrame, campaigns: DataFrame, defaults: dict[str, bool], on: str = "station") -> DataFrame:
+    """One row for each mention and campaign with the policy verdict, joined by ``on``: by station each mention meets every
+    campaign of it, by mention_id its own. mentions: mention_id, flag (null: none); campaigns: campaign_id, policy (map of
+    flag to boolean, null: the defaults)."""
     merged = F.map_zip_with(F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]), F.coalesce("policy", F.create_map().cast("map<string,boolean>")), lambda k, a, b: F.coalesce(b, a))
-    both = mentions.join(campaigns.withColumn("merged", merged).drop("policy"), "station")
+    both = mentions.join(campaigns.withColumn("merged", merged).drop("policy"), on)
     allowed = F.coalesce(F.try_element_at("merged", F.col("flag")), F.lit(True))
     included = F.col("flag").isNull() | allowed
     return both.select("mention_id", "campaign_id", included.alias("included"), F.when(~included, F.concat(F.lit("excluded by "), "flag")).alias("reason"))

@@ -22,7 +22,8 @@ def station_demand(bound: DataFrame) -> DataFrame:
 
 
 def index_terms(bound: DataFrame) -> DataFrame:
-    """Surface forms of each station, grouped by normal form: first display, sorted distinct keywords, longest first."""
+    """Values of each station without regard to case and outer spaces: the least display, sorted distinct keywords. The
+    script-aware index, with aliases and boundaries, is ``matching.index_terms``."""
     term = F.trim(F.lower("value"))
     return bound.filter(term != "").groupBy("station_id", term.alias("term")).agg(
         F.min("value").alias("display"),

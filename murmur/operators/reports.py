@@ -1,4 +1,4 @@
-"""Counts, coverage, retention and catalogue merges."""
+"""Counts, coverage, retention and catalogue merges. A null status, disposition or age is counted as such and deletes nothing."""
 
 from __future__ import annotations
 
@@ -27,13 +27,14 @@ def deletable(segments: DataFrame, jobs: DataFrame, backed: DataFrame, disposabl
     backs a mention. segments: segment_id, disposition, age_s; jobs: segment_id, job_status; backed: segment_id."""
     ended = (F.col("disposition") == "disposable") & (F.col("age_s") > disposable_s) & F.col("job_status").isin("succeeded", "abandoned")
     failed = (F.col("disposition") == "failed") & (F.col("age_s") > failed_s)
-    return segments.join(jobs, "segment_id", "left").filter(ended | failed).join(backed, "segment_id", "left_anti")
+    one = jobs.groupBy("segment_id").agg(F.max("job_status").alias("job_status"))  # of several jobs one counts
+    return segments.join(one, "segment_id", "left").filter(ended | failed).join(backed, "segment_id", "left_anti")
 
 
 def merged_catalogue(rows: DataFrame, overrides: DataFrame, deletions: DataFrame) -> DataFrame:
     """Catalogue rows without deleted ones, names overridden where given."""
     kept = rows.join(deletions, "host", "left_anti")
-    return kept.join(overrides.withColumnRenamed("name", "new_name"), "host", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+    return kept.join(overrides.groupBy("host").agg(F.max("name").alias("new_name")), "host", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
 
 
 def distinct_word_ratio(text: Column) -> Column:

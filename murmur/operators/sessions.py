@@ -1,7 +1,7 @@
 """Ordered operators on each station's segments: runs, gap sessions, missing sequences, look-back, conversations.
 
-The windows sort one station's rows at a time; where a station can outgrow a task, pass ``within`` (a day column, say)
-as a further key and join sessions across its edges.
+The windows sort one station's rows at a time: a station's stream must fit a task's sort, which spills to disk.
+Nulls: a row without time sorts first and opens nothing; a null class is no change of class.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ def seconds(ts: Column) -> Column:
 
 
 def gap_sessions(segments: DataFrame, gap_s: float, key: str = "station_id") -> DataFrame:
-    """Segments with ``session`` (from 0): a new one begins when gap_s or more passed since the last segment."""
+    """Segments with ``session`` (from 0): a new one begins when gap_s or more passed since the last one ended (where
+    segments have no ``ended_at``, since it began)."""
     order = _by(key, "started_at", "segment_id")
-    at = seconds(F.col("started_at"))
-    opens = F.coalesce((at - F.lag(at).over(order) >= gap_s).cast("long"), F.lit(0))
+    at, end = (seconds(F.col(c)) for c in ("started_at", "ended_at" if "ended_at" in segments.columns else "started_at"))
+    opens = F.coalesce((at - F.lag(end).over(order) >= gap_s).cast("long"), F.lit(0))
     return segments.withColumn("_opens", opens).withColumn("session", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
@@ -53,10 +54,15 @@ def accepted(rows: DataFrame, key: str, arrival: list, sequence: str) -> DataFra
 
 
 def lookback(segments: DataFrame, opener: Column, span_s: int, key: str = "station_id") -> DataFrame:
-    """For each opener, the number of earlier segments that start within span_s before it."""
-    at = F.floor(seconds(F.col("started_at"))).cast("long")
-    frame = Window.partitionBy(key).orderBy("_at").rangeBetween(-span_s, 0)
-    return segments.withColumn("_at", at).withColumn("n_before", F.count("*").over(frame) - 1).filter(opener).drop("_at")
+    """For each opener, the number of earlier segments that end (where there is no ``ended_at``: begin) within span_s before
+    it begins."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    frame = Window.partitionBy(key).orderBy("_end").rangeBetween(-span_s * 1_000_000, -1)
+    rows = segments.withColumn("_end", micros("ended_at" if "ended_at" in segments.columns else "started_at")).withColumn("_at", micros("started_at"))
+    # openers as points of their own among the others' ends
+    points = rows.select(*segments.columns, F.col("_end"), F.lit(False).alias("_opens")).unionByName(rows.filter(opener).select(*segments.columns, F.col("_at").alias("_end"), F.lit(True).alias("_opens")))
+    counted = points.withColumn("n_before", F.count(F.when(~F.col("_opens"), 1)).over(frame))
+    return counted.filter("_opens").drop("_end", "_opens")
 
 
 def conversation_text(turns: DataFrame) -> DataFrame:

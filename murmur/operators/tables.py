@@ -1,4 +1,7 @@
-"""Keyed changes of stored tables as joins: each returns the table's next state, to be written as a new version."""
+"""Keyed changes of stored tables as joins: each returns the table's next state, to be written as a new version.
+
+A key with a null names no row: new rows with one are left out, so that running a change twice adds nothing.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +13,14 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, .
     """Rows of ``new`` replace those of ``old`` with their keys; ``keep`` columns stay as they first were. Both have the
     same columns and one row a key."""
     o, n = F.struct(*[F.col(c) for c in old.columns]).alias("o"), F.struct(*[F.col(c) for c in old.columns]).alias("n")
-    both = old.select(*keys, o).join(new.select(*keys, n), keys, "full_outer")
+    both = old.select(*keys, o).join(new.dropna(subset=keys).select(*keys, n), keys, "full_outer")
     pick = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in keep else F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return both.select(*[pick(c).alias(c) for c in old.columns])
 
 
 def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` and those rows of ``new`` whose keys it lacks, one a key."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+    return old.unionByName(new.dropna(subset=keys).dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
 def children_replaced(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
@@ -31,7 +34,7 @@ def cascaded(child: DataFrame, gone: DataFrame, parent: str) -> DataFrame:
 
 def enqueued(jobs: DataFrame, wanted: DataFrame, keys: list[str], open_: Column) -> DataFrame:
     """The wanted jobs that no open job already covers, one a key."""
-    return wanted.dropDuplicates(keys).join(jobs.filter(open_).select(*keys), keys, "left_anti")
+    return wanted.dropna(subset=keys).dropDuplicates(keys).join(jobs.filter(open_).select(*keys), keys, "left_anti")
 
 
 def attempts(old: DataFrame, outcomes: DataFrame, key: str, most: int = 10) -> DataFrame:

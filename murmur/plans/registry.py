@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from murmur.functions import content
 from murmur.operators import mentions, planning, reports, sessions, tables
 from murmur.operators.matching import one_left_out
-from murmur.plans import catalogue, feed, ingest, matching, records, transcripts, work
+from murmur.plans import audio, catalogue, feed, ingest, matching, records, transcripts, work
 from murmur.sources.documents import parsed
+from murmur.sources import mention_tables
 from murmur.sources.storage import new_path
 from murmur.sources.views import SQL, Views
 from murmur.streaming import conversations as streams
@@ -85,11 +86,11 @@ def best_pass(v):
 
 
 def policy_fan_out(v):
-    flags = F.when(F.col("quality") == 0, "song_lyrics").when(F.col("toxic") == 1, "advertisement").when(F.col("lang") == "de", "news")
-    found = v.mentions().select("mention_id", "station", flags.alias("flag"))
-    policy = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("song_lyrics"), F.lit(True), F.lit("news"), F.lit(False)))
-    owners = v.table("customer").select(F.col("c_custkey").alias("campaign_id"), F.concat(F.lit("src"), (F.col("c_custkey") % 20).cast("string")).alias("station"), policy.alias("policy"))
-    return mentions.fan_out(found, owners, POLICY)
+    key = F.col("o_orderkey")
+    flags = F.when(key % 5 == 0, "song_lyrics").when(key % 5 == 1, "advertisement").when(key % 5 == 2, "news")
+    found = v.table("orders").select(key.alias("mention_id"), flags.alias("flag"))
+    policy = F.when(F.col("campaign_id") % 3 == 0, F.create_map(F.lit("song_lyrics"), F.lit(True), F.lit("news"), F.lit(False)))
+    return mentions.fan_out(found, mention_tables.mention_campaigns(v).select("mention_id", "campaign_id", policy.alias("policy")), POLICY, "mention_id")
 
 
 def gap_sessions(v):
@@ -187,6 +188,8 @@ def _with(body: str, *more: str) -> str:
 
 
 ORDER = "PARTITION BY station_id ORDER BY started_at, segment_id"
+
+
 def conversation_stream(v):
     """Events replayed as segments: a purchase is a match, pauses are hours."""
     events = v.table("events")
@@ -205,7 +208,7 @@ def content_types(v):
 def upserted_orders(v):
     orders = v.table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     old = orders.filter("o_orderkey % 3 <> 0")
-    new = orders.filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("U")).withColumn("o_totalprice", F.lit(0.0))
+    new = orders.filter("o_orderkey % 3 = 0 OR o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("U")).withColumn("o_totalprice", F.lit(0.0))
     return tables.upserted(old, new, ["o_orderkey"], keep=("o_totalprice",))
 
 
@@ -237,14 +240,15 @@ FROM (SELECT station_id, count(DISTINCT campaign_id) AS reference_count FROM bou
     "sentiment_by_station": (sentiment_by_station, _with("SELECT store, station, sentiment, count(*) AS n FROM feed GROUP BY ALL", FEED)),
     "top_keyword": (top_keyword, _with("SELECT campaign_id, keyword_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY kind, keyword_id) AS r FROM bound) WHERE r = 1", BOUND)),
     "best_pass": (best_pass, _with("SELECT segment_id, pass, max(transcript_id) AS transcript_id FROM (SELECT segment_id % 5000 AS segment_id, CASE WHEN segment_id >= 5000 THEN 'b' ELSE 'a' END AS pass, segment_id AS transcript_id FROM segments) t GROUP BY segment_id, pass QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY pass DESC) = 1")),
-    "policy_fan_out": (policy_fan_out, _with("""SELECT mention_id, campaign_id, coalesce(flag IS NULL OR allowed, true) AS included, CASE WHEN NOT coalesce(flag IS NULL OR allowed, true) THEN 'excluded by ' || flag END AS reason FROM (
-SELECT m.mention_id, c.c_custkey AS campaign_id, flag, CASE WHEN c.c_custkey % 3 = 0 AND flag = 'song_lyrics' THEN true WHEN c.c_custkey % 3 = 0 AND flag = 'news' THEN false WHEN flag = 'song_lyrics' THEN false ELSE true END AS allowed
-FROM (SELECT *, CASE WHEN quality = 0 THEN 'song_lyrics' WHEN toxic = 1 THEN 'advertisement' WHEN lang = 'de' THEN 'news' END AS flag FROM mentions) m JOIN customer c ON m.station = 'src' || (c.c_custkey % 20))""")),
+    "policy_fan_out": (policy_fan_out, """SELECT mention_id, campaign_id, coalesce(flag IS NULL OR allowed, true) AS included, CASE WHEN NOT coalesce(flag IS NULL OR allowed, true) THEN 'excluded by ' || flag END AS reason FROM (
+SELECT o_orderkey AS mention_id, l_suppkey AS campaign_id, flag, CASE WHEN l_suppkey % 3 = 0 AND flag = 'song_lyrics' THEN true WHEN l_suppkey % 3 = 0 AND flag = 'news' THEN false WHEN flag = 'song_lyrics' THEN false ELSE true END AS allowed
+FROM (SELECT *, ['song_lyrics', 'advertisement', 'news'][o_orderkey % 5 + 1] AS flag FROM orders) JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey)"""),
     "gap_sessions": (gap_sessions, _with(f"""SELECT station_id, session, count(*) AS n_segments, min(started_at) AS first_at, max(started_at) AS last_at, count(DISTINCT class) AS n_classes FROM (SELECT *, CAST(sum(opens) OVER ({ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, CASE WHEN epoch_us(started_at) - lag(epoch_us(started_at)) OVER ({ORDER}) >= {GAP_S}000000 THEN 1 ELSE 0 END AS opens FROM segments)) GROUP BY station_id, session""")),
     "class_runs": (class_runs, _with(f"""SELECT station_id, run, min(class) AS class, count(*) AS length, round(avg(value), 4) AS mean_value FROM (SELECT *, CAST(sum(c) OVER ({ORDER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM (SELECT *, CASE WHEN class <> lag(class) OVER ({ORDER}) THEN 1 ELSE 0 END AS c FROM segments)) GROUP BY station_id, run""")),
     "missing_sequences": (missing_sequences, "SELECT l_suppkey, b + 1 AS first_missing, l_orderkey - 1 AS last_missing, l_orderkey - b - 1 AS n_missing FROM (SELECT *, lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS b FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)) WHERE l_orderkey > b + 1"),
     "accepted_segments": (accepted_segments, _with(f"SELECT station_id, segment_id, started_at, sequence FROM (SELECT *, max(sequence) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT station_id, segment_id, started_at, segment_id % 997 AS sequence FROM segments)) WHERE seen IS NULL OR sequence > seen")),
-    "lookback": (lookback, _with("SELECT segment_id, station_id, n_before FROM (SELECT *, count(*) OVER (PARTITION BY station_id ORDER BY secs RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) - 1 AS n_before FROM (SELECT *, epoch_us(started_at) // 1000000 AS secs FROM segments)) WHERE class = 'purchase'")),
+    "lookback": (lookback, _with("""SELECT a.segment_id, a.station_id, count(b.segment_id) AS n_before FROM segments a LEFT JOIN segments b ON a.station_id = b.station_id AND b.started_at < a.started_at AND b.started_at >= a.started_at - INTERVAL 86400 SECONDS
+WHERE a.class = 'purchase' GROUP BY a.segment_id, a.station_id""")),
     "conversation_text": (conversation_text, "SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_turns, sha256(string_agg(trim(text, ' '), ' ' ORDER BY turn, trim(text, ' '))) AS text_sha256 FROM conversations WHERE trim(text, ' ') <> '' GROUP BY conv_id"),
     "turn_offsets": (turn_offsets, "SELECT conv_id, turn, s AS start_char, s + n AS end_char FROM (SELECT *, CAST(coalesce(sum(n + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM (SELECT conv_id, turn, CAST(length(trim(text, ' ')) AS BIGINT) AS n FROM conversations) WHERE n > 0)"),
     "dominant_language": (dominant_language, "SELECT source, lang, weight FROM (SELECT source, lang, CAST(sum(n_chars) AS BIGINT) AS weight, row_number() OVER (PARTITION BY source ORDER BY sum(n_chars) DESC, min(doc_id)) AS r FROM documents GROUP BY source, lang) WHERE r = 1"),
@@ -261,13 +265,13 @@ WHERE ((disposition = 'disposable' AND age_s > 600 AND job_status = 'succeeded')
     "near_terms": (near_terms, "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS name, b.name AS other FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) <= 1"),
     "conversation_stream": (conversation_stream, None),
     "content_types": (content_types, None),
-    "upserted_orders": (upserted_orders, "SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN o.o_orderstatus ELSE 'U' END AS o_orderstatus, coalesce(o.o_totalprice, 0.0) AS o_totalprice, coalesce(n.o_orderpriority, o.o_orderpriority) AS o_orderpriority FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) n ON o.o_orderkey = n.o_orderkey"),
+    "upserted_orders": (upserted_orders, "SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN o.o_orderstatus ELSE 'U' END AS o_orderstatus, coalesce(o.o_totalprice, 0.0) AS o_totalprice, coalesce(n.o_orderpriority, o.o_orderpriority) AS o_orderpriority FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0) n ON o.o_orderkey = n.o_orderkey"),
     "enqueued_jobs": (enqueued_jobs, "SELECT c_custkey AS station_id, action FROM customer CROSS JOIN (SELECT unnest(['1-URGENT', '2-HIGH']) AS action) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = action AND o_orderstatus IN ('O', 'P'))"),
     "refused_messages": (refused_messages, "SELECT event_type, CASE WHEN props IS NULL THEN 'empty' WHEN json_extract_string(props, '$.k') IS NULL THEN 'no k' ELSE 'none' END AS refused, count(*) AS n FROM events GROUP BY ALL"),
 }
 
 
-for _module in (matching, feed, records, transcripts, ingest, catalogue, work):
+for _module in (audio, matching, feed, records, transcripts, ingest, catalogue, work):
     QUERIES |= _module.QUERIES
 
 

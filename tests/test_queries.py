@@ -22,17 +22,6 @@ def test_normalize():
     assert dominant_script("नमस्ते abc") == "DEVANAGARI"
 
 
-def test_keyword_matches(spark):
-    from pyspark.sql import Row
-
-    from murmur.functions.text import keyword_matches
-
-    docs = spark.createDataFrame([Row(doc_id=1, text="Introducing the NVIDIA RTX!"), Row(doc_id=2, text="Visit the Café, today, cafes"), Row(doc_id=3, text=None), Row(doc_id=4, text="")])
-    terms = spark.createDataFrame([Row(keyword_id=7, term="nvidia"), Row(keyword_id=8, term="cafe"), Row(keyword_id=9, term=" ")])
-    got = sorted(tuple(r) for r in keyword_matches(docs, terms).collect())
-    assert got == [(1, 7, 16, 22, "NVIDIA"), (2, 8, 10, 14, "Café")]
-
-
 def test_entry(spark):
     import __spark_entry__
 

@@ -25,6 +25,14 @@ def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.edited_pairs(documents(spark, sf_dir))
 
 
+def spot_signature_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal fingerprints of each document, and how many other classes are similar to it: the comparison of
+    all documents, partitioned by set length."""
+    member, links = spot_signatures.similar_pairs(documents(spark, sf_dir))
+    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
+    return member.join(n, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(id_and_text(documents(spark, sf_dir))))
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -63,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_token_binary, op2_secret_scan, op3_spot_signatures, op4_byte_bpe, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_url_lists, op9_license_scan, op10_personal_data, pipeline)
+    ops = (op1_token_binary, op2_secret_scan, op3_spot_signatures, op4_byte_bpe, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_url_lists, op9_license_scan, op10_personal_data, pipeline, spot_signature_links)
     return {f.__name__: f for f in ops}
 
 

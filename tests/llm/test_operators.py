@@ -157,6 +157,25 @@ def test_spot_pairs(docs):
     assert got == want
 
 
+def test_spot_links(spark):
+    """The registered comparison over whole sf0.01 against all pairs."""
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    marks = dict(zip([r.doc_id for r in rows], spot_signatures.spots([r.text or "" for r in rows]), strict=True))
+    classes = collections.defaultdict(list)
+    for d in sorted(marks):
+        classes[marks[d].tobytes()].append(d)
+    reps = [(v[0], set(marks[v[0]].tolist())) for k, v in classes.items() if k]
+    n = collections.Counter()
+    for i, (a, x) in enumerate(reps):
+        for b, y in reps[:i]:
+            if len(x & y) >= 0.75 * len(x | y):
+                n.update((a, b))
+    want = {d: (v[0], n[v[0]]) for v in classes.values() for d in v}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in queries.queries()["spot_signature_links"](spark, folder).collect()} == want
+    assert sum(n.values()) > 0
+
+
 def test_bpe(odd, docs):
     import tiktoken
 

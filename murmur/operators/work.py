@@ -174,13 +174,3 @@ def persisted(conversations: DataFrame, stored: DataFrame) -> tuple[DataFrame, D
     campaigns = each.select("conversation_id", "flag", F.explode("campaign_ids").alias("campaign_id")).distinct()
     confirmed = ~F.col("level").isin("fuzzy", "phonetic", "semantic")
     return mentions, campaigns, each.select("conversation_id", "keyword_id", "ordinal", F.get("campaign_ids", 0).alias("campaign_id"), confirmed.alias("confirmed"))
-
-
-def sparse_update(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Columns that ``new`` has replace those of ``old``, null too; a column that it lacks, or whose name is in its array
-    ``untouched``, stays."""
-    columns = [c for c in old.columns if c != key]
-    given = [c for c in columns if c in new.columns]
-    both = old.join(new.select(key, F.lit(True).alias("hit"), F.coalesce("untouched", F.array().cast("array<string>")).alias("untouched"), *[F.col(c).alias(f"new_{c}") for c in given]), key, "left")
-    pick = lambda c: F.when(F.col("hit") & ~F.array_contains("untouched", c), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c)
-    return both.select(key, *map(pick, columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.operators import work
+from murmur.operators import tables, work
 from murmur.sources.views import Views
 
 NOW = "1999-06-15 12:00:00"
@@ -177,7 +177,7 @@ def committed_transcripts(v: Views) -> DataFrame:
 def updated_stations(v: Views) -> DataFrame:
     old = v.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("long").alias("nation"))
     new = old.filter("id % 2 = 0").select("id", F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("balance"), F.when(F.col("id") % 4 == 0, F.array(F.lit("name"))).alias("untouched"))
-    return work.sparse_update(old, new, "id")
+    return tables.sparse(old, new, "id")
 
 
 QUERIES = {

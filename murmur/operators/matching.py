@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,45 +74,52 @@ def entries(keywords: DataFrame, stations: DataFrame) -> DataFrame:
     return rows.groupBy("station_id", "keyword_id").agg(F.min_by("canonical_value", "o").alias("canonical_value"), F.min_by("keyword_type", "o").alias("keyword_type"), F.array_sort(F.collect_set("campaign_id")).alias("campaign_ids"))
 
 
-def hits(text: Column, forms: list[tuple[str, bool]]) -> Column:
-    """Array of form, matched, start, end, bounded of the places where a text's normal form holds one of the forms. A form
-    marked true counts only between word boundaries. The automaton is shared with each executor once."""
+def scan(docs: DataFrame, forms: list[tuple[str, bool]]) -> DataFrame:
+    """doc_id, station_id, form, matched, start, end, bounded of the places where a document's normal form holds one of the
+    forms. A form marked true counts only between word boundaries. The automaton is shared with each executor once."""
     import ahocorasick
-    from pyspark import SparkContext
 
     automaton = ahocorasick.Automaton()
     for form, whole in forms:
         automaton.add_word(form, (form, whole))
     if forms:
         automaton.make_automaton()
-    shared = SparkContext._active_spark_context.broadcast(automaton if forms else None)
-
-    @F.pandas_udf("array<struct<form:string,matched:string,start:int,end:int,bounded:boolean>>")
-    def scan(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            found = []
-            if t and shared.value is not None:
+    shared = docs.sparkSession.sparkContext.broadcast(automaton if forms else None)
+
+    def run(batches):
+        for batch in batches if shared.value is not None else ():
+            at_row, found, matched, starts, ends, bounded = [], [], [], [], [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                if not t:
+                    continue
                 plain, at = normal_form(t)
+                source = at.tolist()
                 for last, (form, whole) in shared.value.iter(plain):
                     a, b = last + 1 - len(form), last + 1
-                    bounded = is_boundary(plain, a) and is_boundary(plain, b)
-                    if bounded or not whole:
-                        start, end = int(at[a]), int(at[last]) + 1
-                        found.append((form, t[start:end], start, end, bounded))
-            out.append(found)
-        return pd.Series(out)
-
-    return scan(text)
+                    between = is_boundary(plain, a) and is_boundary(plain, b)
+                    if between or not whole:
+                        start, end = source[a], source[last] + 1
+                        at_row.append(i)
+                        found.append(form)
+                        matched.append(t[start:end])
+                        starts.append(start)
+                        ends.append(end)
+                        bounded.append(between)
+            rows = pa.array(at_row, pa.int64())
+            own = [batch.column(c).take(rows) for c in ("doc_id", "station_id")]
+            rest = [pa.array(found, pa.string()), pa.array(matched, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(bounded, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*own, *rest], names=["doc_id", "station_id", "form", "matched", "start", "end", "bounded"])
+
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return docs.select("doc_id", "station_id", "text").mapInArrow(run, f"doc_id {kind['doc_id']}, station_id {kind['station_id']}, form string, matched string, start int, end int, bounded boolean")
 
 
 def scanned(docs: DataFrame, forms: DataFrame, bound: int) -> DataFrame:
-    """doc_id, station_id and the hits of each document. forms: form, whole."""
+    """The hits of each document. forms: form, whole."""
     known = [(r.form, r.whole) for r in forms.collect()]  # forms, not texts: what users enter
-    found = None
-    for first in range(0, max(1, len(known)), bound):
-        part = docs.select("doc_id", "station_id", F.explode(hits(F.col("text"), known[first : first + bound])).alias("h")).select("doc_id", "station_id", "h.*")
-        found = part if found is None else found.unionByName(part)
+    found = scan(docs, known[:bound])
+    for first in range(bound, len(known), bound):
+        found = found.unionByName(scan(docs, known[first : first + bound]))
     return found
 
 
@@ -133,7 +140,10 @@ def without_overlaps(rows: DataFrame) -> DataFrame:
     listed = rows.groupBy("doc_id", "station_id", "keyword_id").agg(F.array_sort(F.collect_set(ranked)).alias("ranked"))
     none = F.slice(F.transform("ranked", lambda r: r["m"]), 1, 0)
     apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
-    kept = F.aggregate(F.transform("ranked", lambda r: r["m"]), none, lambda acc, m: F.when(F.forall(acc, lambda x: apart(x, m)), F.array_append(acc, m)).otherwise(acc))
+    placed = F.array_sort(F.transform("ranked", lambda r: F.struct(r["m"]["start"], r["m"]["end"])))
+    neighbours = F.zip_with(F.slice(placed, F.lit(1), F.size(placed) - 1), F.slice(placed, F.lit(2), F.size(placed) - 1), lambda a, b: b["start"] < a["end"])
+    greedy = F.aggregate(F.transform("ranked", lambda r: r["m"]), none, lambda acc, m: F.when(F.forall(acc, lambda x: apart(x, m)), F.array_append(acc, m)).otherwise(acc))
+    kept = F.when(F.exists(neighbours, lambda x: x), greedy).otherwise(F.transform("ranked", lambda r: r["m"]))  # most have no overlaps
     return listed.select("doc_id", "station_id", "keyword_id", F.explode(kept).alias("m")).select("doc_id", "station_id", "keyword_id", "m.*")
 
 

@@ -32,6 +32,15 @@ ODD = [
 ]
 
 
+@pytest.fixture
+def few_parts(spark):
+    """Two shuffle partitions, for small tables in many steps."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame(ODD, SCHEMA)
@@ -54,6 +63,7 @@ def test_against_sql(spark, name):
     assert got
 
 
+@pytest.mark.usefixtures("few_parts")
 def test_empty_tables(empty, spark):
     path = public_tokenizers.path(token_binary.VOCAB)
     assert token_binary.read(spark, token_binary.store(empty, path)).count() == 0
@@ -209,6 +219,7 @@ def stats(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+@pytest.mark.usefixtures("few_parts")
 def test_quality(odd, docs):
     for df in (odd, docs):
         want = collections.Counter((r.doc_id, *stats(r.text or "")) for r in df.collect())
@@ -225,6 +236,7 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean([r.kept == bool(marks[r.doc_id]) for r in rows]) > 0.98
 
 
+@pytest.mark.usefixtures("few_parts")
 def test_quality_of_small_tables_and_tails(spark):
     rng = np.random.default_rng(8)
     vocabulary = [f"word{i}" for i in range(2000)]
@@ -285,6 +297,7 @@ def plain_estimates(x):
     return (near.mean(axis=0), np.cov(near.T, bias=True) / quality.consistency(quality.NEAR)) if len(near) else (m, c)
 
 
+@pytest.mark.usefixtures("few_parts")
 def test_quality_estimates_against_plain_ones(spark):
     rng = np.random.default_rng(12)
     rows = []
@@ -309,6 +322,7 @@ def test_quality_estimates_against_plain_ones(spark):
     assert abs(quality.consistency(quality.KEPT_QUANTILE) - 0.673) < 0.001 and abs(quality._even_chi2(quality.KEPT_QUANTILE, 2) - 0.75) < 1e-4 and abs(quality._even_chi2(quality.NEAR, 2) - 0.975) < 1e-4
 
 
+@pytest.mark.usefixtures("few_parts")
 def test_quality_judges_rows(spark):
     """One doc_id with a good and a bad row, and rows without doc_id: the verdict is the row's."""
     rng = np.random.default_rng(9)
@@ -378,6 +392,7 @@ def brute_components(rows):
     return collections.Counter((d, len(s), min(least[root(i)]) if d is not None else None) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
+@pytest.mark.usefixtures("few_parts")
 def test_near_duplicates(odd, docs, spark):
     rng = np.random.default_rng(4)
     family = []
@@ -403,6 +418,7 @@ def test_shingles_of_few_words(n):
         assert [x.tolist() for x in near_dup.shingle_sets(texts)] == [near_dup.shingle_sets([t, b"a b c d e f g"])[0].tolist() for t in texts]
 
 
+@pytest.mark.usefixtures("few_parts")
 def test_near_duplicates_of_three_words(spark):
     rows = [(1, "one two three"), (2, ""), (3, None)]
     got = near_dup.components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
@@ -495,6 +511,7 @@ def test_field_on_held_out_documents(spark):
     assert (pii.marginals(sites, model).argmax(axis=1) == gold).mean() > 0.95
 
 
+@pytest.mark.usefixtures("few_parts")
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
@@ -565,12 +582,13 @@ def test_order_of_spots_with_ties(spark):
     assert collections.Counter((r.doc_id, r.edited_sha256) for r in spot_signatures.edited_pairs(df).collect()) == want
 
 
+@pytest.mark.usefixtures("few_parts")
 def test_one_doc_id_over_several_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     c = " ".join(f"c{i}" for i in range(40))
     rows = [(5, a), (5, b), (5, c), (9, b + " tail"), (8, a + " tail"), (7, c), (6, ""), (6, "d e f g h i"), (4, "d e f g h i"), (None, a), (10, ""), (5, a)]
     want = brute_components(rows)
-    for seed in range(4):
+    for seed in range(2):
         mixed = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
         for few_rows in (near_dup.FEW_ROWS, 0):
             got = near_dup.components(spark.createDataFrame(mixed, "doc_id long, text string").repartition(1 + seed), few_rows).collect()
@@ -702,16 +720,25 @@ def test_long_texts_in_bounded_steps():
     assert np.allclose(pii.marginals(sites, model), 1 / pii.LABELS)
 
 
-def test_pipeline_on_empty_and_null_tables(spark, tmp_path):
+@pytest.mark.usefixtures("few_parts")
+def test_pipeline_on_nulls_and_repeats(spark, tmp_path):
     import corpus_pipeline
 
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for name, rows in (("empty", []), ("null", [(None,) * 5] * 3), ("text", [(None, "few words", None, None, None), (1, BODY, None, "a", 3), (1, BODY, None, "a", 3)])):
-        folder = f"{tmp_path}/{name}"
-        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
-        got = corpus_pipeline.run(spark, folder)
-        assert got.columns == [*[c.split()[0] for c in schema.split(", ")], "token_ids", "n_tokens", "decoded_sha256"]
-        assert {r.text for r in got.collect()} <= {BODY}
-    docs = spark.createDataFrame([], schema)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, FOLDER).columns == docs.columns
+    rows = [(None,) * 5, (None,) * 5, (None, "few words", None, None, None), (1, BODY, None, "a", 3), (1, BODY, None, "a", 3), (None, BODY, "en", None, 3)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*[c.split()[0] for c in schema.split(", ")], "token_ids", "n_tokens", "decoded_sha256"]
+    kept = got.collect()
+    assert {r.text for r in kept} <= {BODY}
+    assert all(r.decoded_sha256 == hashlib.sha256(BODY.encode()).hexdigest() for r in kept)
+
+
+def test_stages_on_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.secrets, corpus_pipeline.source_mixing):  # the others in test_empty_tables
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns and got.count() == 0
+    assert corpus_pipeline.token_ids(spark, docs, FOLDER).count() == 0

@@ -90,15 +90,21 @@ def station_prompts(v: Views) -> DataFrame:
 
 
 def text_keys(v: Views) -> DataFrame:
-    """Key forms of part names and pages' hosts."""
-    names = v.table("part").select(F.col("p_name").alias("name")).unionByName(v.table("benchmark").select(F.col("text").alias("name"))).distinct()
-    return names.select("name", *[text.keys(F.col("name"), k).alias(k) for k in ("normalized", "legacy", "slug", "identifier")], text.entity_id(F.col("name")).alias("entity_id"), text.stable_shard(F.col("name"), 64).alias("shard"))
+    """Key forms of the names of parts, suppliers and pages' hosts."""
+    names = v.table("part").select(F.col("p_name").alias("name")).unionByName(v.table("supplier").select(F.col("s_name").alias("name"))).unionByName(v.table("pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("name"))).distinct()
+    return names.select("name", *[text.keys(F.col("name"), k).alias(k) for k in ("normalized", "legacy", "slug", "identifier")], text.entity_id(F.col("name")).alias("entity_id"))
 
 
-TEXT_KEYS_SQL = """
-SELECT name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' ') AS normalized, array_to_string(regexp_extract_all(lower(name), '[a-z0-9_]+'), ' ') AS legacy,
- substr(coalesce(nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'keyword'), 1, 48) AS slug, trim(lower(name)) AS identifier
-FROM (SELECT p_name AS name FROM part UNION SELECT text FROM benchmark)"""
+TEXT_KEYS_SQL = r"""
+WITH keyed AS (SELECT name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' ') AS normalized, array_to_string(regexp_extract_all(lower(name), '[a-z0-9_]+'), ' ') AS legacy,
+ substr(coalesce(nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'keyword'), 1, 48) AS slug, trim(lower(name), ' ') AS identifier
+ FROM (SELECT p_name AS name FROM part UNION SELECT s_name FROM supplier UNION SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) FROM pages))
+SELECT *, 'api-' || slug || '-' || substr(sha256(legacy), 1, 10) AS entity_id FROM keyed"""
+
+
+def station_shards(v: Views) -> DataFrame:
+    """The shard of each supplier's station id."""
+    return v.table("supplier").select(F.col("s_suppkey").alias("station_id"), text.stable_shard(F.concat(F.lit("rb-"), F.col("s_suppkey").cast("string")), 64).alias("shard"))
 
 
 QUERIES = {
@@ -110,5 +116,6 @@ QUERIES = {
     "timed_matches": (timed_matches, None),
     "station_hints": (station_hints, None),
     "station_prompts": (station_prompts, None),
-    "text_keys": (text_keys, None),
+    "text_keys": (text_keys, TEXT_KEYS_SQL),
+    "station_shards": (station_shards, None),
 }

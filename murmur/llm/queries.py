@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, near_dup, pii, quality, secret_scan, spot_signatures, token_binary, url_lists
+from . import alignment, bpe, licenses, mixing, near_dup, periodic_runs, pii, quality, secret_scan, sharding, spot_signatures, token_binary, url_lists
 from .common import documents, id_and_text, spans_text
 
 
@@ -64,6 +64,30 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; in a tenth of the texts, as the contract says, known repetitions are made first."""
+    docs = id_and_text(documents(spark, sf_dir))
+    found = periodic_runs.scan(docs.withColumn("text", periodic_runs.repeated(F.col("doc_id"), F.col("text"))))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.back")).alias("start"), "longest.length", (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of all documents, numbers of documents at most one apart; equal texts and texts that share long lines
+    are drawn together."""
+    placed = sharding.shard(documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(documents(spark, sf_dir), public_tokenizers.path(alignment.VOCAB_A), public_tokenizers.path(alignment.VOCAB_B))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_token_binary, op2_secret_scan, op3_spot_signatures, op4_byte_bpe, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_url_lists, op9_license_scan, op10_personal_data, pipeline, spot_signature_links)
+    ops = (op1_token_binary, op2_secret_scan, op3_spot_signatures, op4_byte_bpe, op5_quality_rules, op6_source_mixing, op7_near_duplicates, op8_url_lists, op9_license_scan, op10_personal_data, op11_periodic_runs, op12_balanced_shards, op13_token_alignment, pipeline, spot_signature_links)
     return {f.__name__: f for f in ops}
 
 

@@ -498,8 +498,12 @@ def test_personal_data(docs, odd):
     for text in hard:
         assert pii.base_spans(text) == list(base_pii(text)), text
     for df in (docs, odd):
-        want = collections.Counter((r.doc_id, hashlib.sha256(pii.written(base_pii(r.text if r.text and len(r.text) < 100_000 else "")).encode()).hexdigest()) for r in df.collect() if r.doc_id != 7)
-        assert collections.Counter((r.doc_id, r.base_sha256) for r in pii.scan(df).collect() if r.doc_id != 7) == want
+        want = collections.Counter()
+        for r in df.collect():
+            skipped = len(r.text) - 100 if r.text and len(r.text) > 400_000 else 0  # the plain patterns take a square of the time over its long run, which holds nothing
+            spans = [(k, a + skipped, b + skipped) for k, a, b in base_pii((r.text or "")[skipped:])]
+            want[r.doc_id, hashlib.sha256(pii.written(spans).encode()).hexdigest()] += 1
+        assert collections.Counter((r.doc_id, r.base_sha256) for r in pii.scan(df).collect()) == want
 
 
 def test_field_on_held_out_documents(spark):
@@ -712,6 +716,55 @@ def test_field_adds_what_patterns_miss(spark):
     assert found >= 150 and clean >= 190, (found, clean)
 
 
+def field_texts(spark):
+    return [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text rlike '[0-9@]'").orderBy("doc_id").limit(2000).collect()]
+
+
+def test_field_links_other_forms(spark):
+    """Repeats in other forms are found beside what they repeat, and strangers of the same forms are left alone."""
+    model = pii.train(field_texts(spark))
+    cases = [
+        ("ip", "Host 10.20.30.40 is up.", "10-20-30-40", "11-21-31-41"),
+        ("card", "Paid by 4111111111111111 today.", "4111.1111.1111.1111", "4222.1111.2222.1112"),
+        ("email", "Write to jane.roe@example.org soon.", "JANE.ROE@EXAMPLE", "JOHN.DOE@EXAMPLE"),
+        ("phone", "Call +1 415-555-0134 now.", "415 555 0134", "417 556 0139"),
+        ("phone", "Call +49 30 1234567 now.", "030/1234567", "030/7654321"),
+    ]
+    far = " and many words lie between" * 40
+    for kind, first, repeat, strange in cases:
+        text = f"{first}{far} then {repeat} once more"
+        (found,) = [pii.added_spans([text], [pii.base_spans(text)], model)[0]]
+        at = text.index(repeat)
+        assert any(k == kind and a < at + len(repeat) and at < b for k, a, b in found), (kind, found)
+        text = f"{first}{far} then {strange} once more"
+        assert not pii.added_spans([text], [pii.base_spans(text)], model)[0], strange
+
+
+@pytest.mark.parametrize("text", ["10 a 20 b 30", "1 2 3 4 a 5", "x1 a b y2 c d x1 e x1", "1 2 a 1 b", "+1 415-555-0134 a 415-555-0134"])
+def test_marginals_against_every_labelling(text):
+    """Sum-product over graphs of up to six sites: exact without loops, close with one."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    sites = pii.Sites([text])
+    n = len(sites.doc)
+    assert 1 < n <= 6
+    for _ in range(5):
+        s = rng.normal(0, 0.7, (pii.LABELS, pii.LABELS))
+        model = rng.normal(0, 0.7, (pii.WIDTH, pii.LABELS)), rng.normal(0, 0.7, (pii.LABELS, pii.LABELS)), (s + s.T) / 2
+        want, unary = np.zeros((n, pii.LABELS)), sites.x @ model[0]
+        for y in itertools.product(range(pii.LABELS), repeat=n):
+            weight = np.exp(sum(unary[i, y[i]] for i in range(n)) + sum(model[1][y[a], y[b]] for a, b in sites.chain) + sum(model[2][y[a], y[b]] for a, b in sites.skip))
+            for i in range(n):
+                want[i, y[i]] += weight
+        want /= want.sum(axis=1, keepdims=True)
+        loops = len(sites.chain) + len(sites.skip) >= n
+        assert np.abs(pii.marginals(sites, model) - want).max() < (0.05 if loops else 2e-3)
+        known = np.zeros(n, dtype=np.int64)
+        known[0] = 2
+        assert pii.marginals(sites, model, known)[0].argmax() == 2
+
+
 def test_long_texts_in_bounded_steps():
     text = " ".join(str(i % 997) for i in range(300_000)) + " +1 415-555-0134"
     sites = pii.Sites([text])

@@ -28,9 +28,7 @@ def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spot_signature_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of equal fingerprints of each document, and how many other classes are similar to it: the comparison of
     all documents, partitioned by set length."""
-    member, links = spot_signatures.similar_pairs(documents(spark, sf_dir))
-    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
-    return member.join(n, "rep", "left").select("doc_id", F.col("rep").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+    return spot_signatures.linked(documents(spark, sf_dir))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,23 @@ its spots, written as ascending eight-digit hexadecimal numbers; a text without
 the only one. Likeness is the Jaccard coefficient, given up early when the sizes rule the threshold out.
 
 ``edited_pairs`` compares each document with an edit of itself and with its neighbour in descending doc_id order: the
-ids (and, where one takes up many rows, its texts' hashes) are cut into ranges at quantiles, each range goes to one task
-in order, and only the head of a range is sent to the range above as well, so texts are shuffled once. ``similar_pairs`` partitions fingerprints by set length
-(a pair's lengths must be in the same or neighbouring partitions) and compares those that share one of their rarest spots.
+ids are cut into ranges at quantiles, a doc_id of many rows by its texts' hashes, and equal rows of which there are many
+into several ranges by their places; each range goes to one task in order, and only the head of a range is sent to the
+range above as well, so texts are shuffled once. ``similar_pairs`` partitions fingerprints by set length (a pair's
+lengths must be in the same or neighbouring partitions) and compares those that share one of their rarest spots; where
+very many share one, they are dealt into blocks, each pair of blocks a join key of its own. It works on 64-bit spots.
 
 Edge cases: a null or empty text has the empty fingerprint, like (1.0) to another empty one only; equal texts have equal
 fingerprints (and so may, rarely, texts whose spots' 32-bit hashes agree); rows of equal doc_id are neighbours in falling
-order of their texts' 64-bit hash, null doc_ids come last; a single document is its own neighbour; an empty table gives an empty one; further columns are ignored.
+order of their texts' 64-bit hash, null doc_ids come last; a single document is its own neighbour; an empty table gives an
+empty one; further columns are ignored. In ``similar_pairs`` and ``linked`` every row counts, whatever its doc_id: classes
+of equal fingerprints are numbered, so one doc_id over several texts is in several classes, rows without doc_id are in
+theirs, and the empty fingerprint is a class without links.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -25,11 +31,12 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, sliced, stored
+from .common import discard, id_and_text, sliced, stored, tidied
 
 # Frequent words of the four languages.
 ANCHORS = (
@@ -40,12 +47,14 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 SIMILAR = 0.75
-_LEAST_ID = -(1 << 63)
+_LEAST_ID, _MOST = -(1 << 63), (1 << 63) - 1
+#: Bytes of text and number of ranges at most of the ordered comparison; rows of a block of an often shared spot.
+RANGE_BYTES, MOST_RANGES, BLOCK = 32 << 20, 10_000, 500
 _WORD = re.compile(r"\w+")
 
 
-def spots(texts: list[str], anchors=None) -> list[np.ndarray]:
-    """Ascending distinct spots of each text."""
+def spots(texts: list[str], anchors=None, wide: bool = False) -> list[np.ndarray]:
+    """Ascending distinct spots of each text, 64 bits each if ``wide``."""
     marks = pd.util.hash_array(np.array(sorted(set(anchors or ANCHORS)), dtype=object), categorize=False)
     words = [_WORD.findall(t.lower()) for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -65,16 +74,17 @@ def spots(texts: list[str], anchors=None) -> list[np.ndarray]:
     for k in range(CHAIN):
         value = (value ^ (value >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + hashed[content[first + k]]
     value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    value = (value >> np.uint64(32)).astype(np.uint32)
+    if not wide:
+        value = (value >> np.uint64(32)).astype(np.uint32)
     ends = np.searchsorted(doc[at], np.arange(len(texts)), side="right")
     out, a = [], 0
     for i, b in enumerate(ends.tolist()):
         if b > a:
             out.append(np.unique(value[a:b]))
         elif texts[i]:
-            out.append(np.frombuffer(hashlib.blake2b(" ".join(words[i]).encode() or texts[i].encode(), digest_size=4).digest(), dtype="<u4"))
+            out.append(np.frombuffer(hashlib.blake2b(" ".join(words[i]).encode() or texts[i].encode(), digest_size=8 if wide else 4).digest(), dtype=value.dtype.newbyteorder("<")))
         else:
-            out.append(np.zeros(0, dtype=np.uint32))
+            out.append(np.zeros(0, dtype=value.dtype))
         a = b
     return out
 
@@ -94,40 +104,73 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (small + large - both)
 
 
+def _bounds(keys: DataFrame) -> tuple[list[tuple[int, int]], list[int]]:
+    """Upper ends (k, h) of the ranges but the last, and the number of ranges that each is cut into by place. keys: k, h,
+    size (bytes of text)."""
+    of = keys.agg(F.count("*").alias("n"), F.sum("size").alias("size")).head()
+    n = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, (of["size"] or 0) // RANGE_BYTES))
+    held = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100_000).alias("q")).head()["q"] or [] if n > 1 else []
+    bounds = set()
+    for k, times in zip(*(x.tolist() for x in np.unique(np.array(held, dtype=np.int64), return_counts=True)), strict=True):
+        bounds.add((k, _MOST))
+        if times > 1:
+            bounds |= {(k - 1, _MOST), *((k, _LEAST_ID + (j << 64) // times) for j in range(1, times))}
+    often = keys.groupBy("k", "h").agg(F.count("*").alias("rows")).filter(F.col("rows") * n > of["n"]).collect()  # fewer than n
+    cut = {}
+    for r in often:
+        bounds |= {(r["k"], r["h"]), (r["k"], r["h"] - 1)}
+        cut[r["k"], r["h"]] = -(-r["rows"] * n // of["n"])
+    ends = sorted(bounds)
+    return ends, [cut.get(e, 1) for e in ends] + [1]
+
+
 def in_order(df: DataFrame) -> DataFrame:
-    """Rows dealt into ranges of doc_id and text hash, sorted descending in each task: range, sentinel, doc_id, text. The
-    row after a range's last one, as ``sentinel``, is the head of the next non-empty range below; after the lowest comes
-    the highest. A doc_id that takes up several quantiles is cut by the hash into as many ranges."""
-    spark = df.sparkSession
+    """Rows dealt into ranges of doc_id and text hash, sorted descending in each task: range, sentinel, k, h, doc_id, text.
+    The row after a range's last one, as ``sentinel``, is the head of the next non-empty range below; after the lowest
+    comes the highest. Rows of one key that would fill several ranges are dealt to as many by their places: each of these
+    ranges holds equal rows only, so any of them is the head."""
     keyed = id_and_text(df).withColumn("k", F.coalesce("doc_id", F.lit(_LEAST_ID))).withColumn("h", F.xxhash64("text"))
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = keyed.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100_000).alias("q")).head().q or []
-    cuts, times = np.unique(np.array(held, dtype=np.int64), return_counts=True)
-    times[times == 1] = 0
-    first = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(1 + times)])
-
-    def numbers(k: pd.Series, h: pd.Series) -> np.ndarray:
-        k, share = k.to_numpy(), (h.to_numpy().astype(np.float64) / 2.0**64 + 0.5).clip(0, 1 - 1e-9)
-        at = np.searchsorted(cuts, k, side="left")
-        inside = np.minimum(at, max(len(cuts) - 1, 0))
-        hot = (at < len(cuts)) & (cuts[inside] == k) & (times[inside] > 0) if len(cuts) else np.zeros(len(k), dtype=bool)
-        return first[at] + np.where(hot, 1 + (share * (times[inside] if len(cuts) else 0)).astype(np.int64), 0)
+    keys = stored(keyed.select("k", "h", F.octet_length("text").cast("long").alias("size")), "keys")
+    ends, cuts = _bounds(keys)
+    first = np.concatenate([[0], np.cumsum(cuts)]).tolist()
+
+    def ranges(k: pd.Series, h: pd.Series):
+        """Key and range of each row; the rows of a cut range take turns."""
+        turn: dict[int, int] = {}
+        at = 7919 * TaskContext.get().partitionId()
+        for key in zip(k.tolist(), h.tolist(), strict=True):
+            i = bisect.bisect_left(ends, key)
+            if cuts[i] > 1:
+                turn[i] = (turn.get(i, at) + 1) % cuts[i]
+            yield key, first[i] + turn.get(i, 0)
 
     @F.pandas_udf(T.IntegerType())
     def range_of(k: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series(numbers(k, h).astype(np.int32))
+        return pd.Series([r for _, r in ranges(k, h)], dtype=np.int32)
 
-    heads = {r["r"]: tuple(r["head"]) for r in keyed.select(range_of("k", "h").alias("r"), F.struct("k", "h").alias("x")).groupBy("r").agg(F.max("x").alias("head")).collect()}  # one row a range
+    heads = {r["r"]: tuple(r["head"]) for r in keys.select(range_of("k", "h").alias("r"), F.struct("k", "h").alias("x")).groupBy("r").agg(F.max("x").alias("head")).collect()}  # one row a range
+    for i, n in enumerate(cuts):
+        if n > 1:  # which of these get rows depends on the batches: all may
+            heads |= {first[i] + j: ends[i] for j in range(n)}
+    discard(keys)
     order = sorted(heads)
-    above = {heads[r]: order[(i + 1) % len(order)] for i, r in enumerate(order)}
+    above: dict[tuple[int, int], list[int]] = {}
+    for i, r in enumerate(order):
+        above.setdefault(heads[r], []).append(order[(i + 1) % len(order)])
 
     @F.pandas_udf("array<struct<range:int,sentinel:boolean>>")
     def places(k: pd.Series, h: pd.Series) -> pd.Series:
-        own = numbers(k, h).tolist()
-        return pd.Series([[{"range": r, "sentinel": False}] + ([{"range": above[x], "sentinel": True}] if x in above else []) for r, x in zip(own, zip(k.tolist(), h.tolist(), strict=True), strict=True)])
+        out, sent = [], set()
+        for key, r in ranges(k, h):
+            row = [{"range": r, "sentinel": False}]
+            if key in above and key not in sent:  # once a batch: of equal rows one is enough
+                sent.add(key)
+                row += [{"range": x, "sentinel": True} for x in above[key]]
+            out.append(row)
+        return pd.Series(out, dtype=object)
 
     dealt = keyed.withColumn("place", F.explode(places("k", "h"))).select("place.range", "place.sentinel", "k", "h", "doc_id", "text")
-    return dealt.repartitionById(int(first[-1]) + 1, "range").sortWithinPartitions("range", "sentinel", F.desc("k"), F.desc("h"))
+    return dealt.repartitionById(first[-1], "range").sortWithinPartitions("range", "sentinel", F.desc("k"), F.desc("h"))
 
 
 def edited_pairs(df: DataFrame, anchors=None) -> DataFrame:
@@ -165,34 +208,61 @@ def edited_pairs(df: DataFrame, anchors=None) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, anchors=None) -> DataFrame:
-    """doc_id, spots (array of long) of each row."""
+    """doc_id, spots (64 bits each, array of long) and mark (MD5 of them) of each row."""
 
-    @F.pandas_udf("array<bigint>")
-    def marks(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<spots:array<bigint>,mark:binary>")
+    def marks(texts: pd.Series) -> pd.DataFrame:
         values, out = texts.tolist(), []
         for a, b in sliced(values):
-            out += [s.astype(np.int64) for s in spots(values[a:b], anchors)]
-        return pd.Series(out, dtype=object)
+            out += [s.view(np.int64) for s in spots(values[a:b], anchors, wide=True)]
+        return pd.DataFrame({"spots": pd.Series(out, dtype=object), "mark": [hashlib.md5(s.tobytes()).digest() for s in out]})
+
+    return id_and_text(df).select("doc_id", marks("text").alias("m")).select("doc_id", "m.spots", "m.mark")
 
-    return id_and_text(df).select("doc_id", marks("text").alias("spots"))
+
+def _blocks(n: str):
+    return F.ceil(F.col(n) / BLOCK).cast("int")
 
 
 def similar_pairs(df: DataFrame, threshold: float = SIMILAR, anchors=None) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, rep) and links (a, b, likeness) between representatives of equal fingerprints."""
-    rows = stored(fingerprints(df, anchors).filter("doc_id IS NOT NULL"), "spots")
-    classes = stored(rows.groupBy("spots").agg(F.min("doc_id").alias("rep")), "spot-classes")
-    member = rows.join(classes, "spots").select("doc_id", "rep")
-    sized = classes.filter(F.size("spots") > 0).withColumn("size", F.size("spots"))
-    flat = sized.select("rep", "size", F.explode("spots").alias("spot"))
+    """Membership (doc_id, class, rep: the class's smallest doc_id, mark) of each row, and links between classes of equal
+    fingerprints, each once: class_a, class_b, their reps a and b (a first), likeness."""
+    rows = stored(fingerprints(df, anchors), "spots")
+    classes = rows.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("spots").alias("spots"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "spot-classes")
+    member = rows.select("doc_id", "mark").join(classes.select("mark", "class", "rep"), "mark")
+    sized = classes.withColumn("size", F.size("spots")).filter("size > 0").select("class", "rep", "spots", "size")
+    flat = sized.select("class", "size", F.explode("spots").alias("spot"))
     often = flat.groupBy("spot").agg(F.count("*").alias("often"))
-    ranked = flat.join(often, "spot").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("often", "spot")))
+    ranked = flat.join(often, "spot").withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("often", "spot")))
     prefix = ranked.filter((F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & (F.col("often") > 1))
     part = F.floor(F.log(F.col("size").cast("double")) / -math.log(threshold) + 1e-9)
-    prefix = stored(prefix.select("rep", "size", "spot", part.alias("part")), "spot-prefixes")
-    left = prefix.select(F.col("rep").alias("a"), F.col("size").alias("size_a"), "spot", "part")
-    right = prefix.select(F.col("rep").alias("b"), F.col("size").alias("size_b"), "spot", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
-    near = left.join(right, ["spot", "part"]).filter((F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold)).select("a", "b").distinct()
-    both = near.join(sized.select(F.col("rep").alias("a"), F.col("spots").alias("x")), "a").join(sized.select(F.col("rep").alias("b"), F.col("spots").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    scored = both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("likeness"))
-    return member, scored.filter(F.col("likeness") >= threshold)
+    prefix = stored(prefix.select("class", "size", "spot", part.alias("part")), "spot-prefixes")
+    # both sides of a spot's partition are cut into blocks, and every two blocks meet under a key of their own
+    right = prefix.select("class", "size", "spot", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
+    lefts, rights = (d.groupBy("spot", "part").agg(F.count("*").alias(n)) for d, n in ((prefix, "n_left"), (right, "n_right")))
+    met = lefts.join(rights, ["spot", "part"]).filter("n_right > 1").select("spot", "part", _blocks("n_left").alias("left"), _blocks("n_right").alias("right"))
+    turn = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = prefix.join(met, ["spot", "part"]).select(F.col("class").alias("x"), F.col("size").alias("size_x"), "spot", "part", turn("left", 1).alias("i"), all_of("right").alias("j"))
+    y = right.join(met, ["spot", "part"]).select(F.col("class").alias("y"), F.col("size").alias("size_y"), "spot", "part", turn("right", 2).alias("j"), all_of("left").alias("i"))
+    near = x.join(y, ["spot", "part", "i", "j"]).filter((F.col("x") < F.col("y")) & (F.least("size_x", "size_y") >= F.greatest("size_x", "size_y") * threshold)).select("x", "y").distinct()
+    side = lambda n: sized.select(F.col("class").alias(n), F.col("rep").alias(f"rep_{n}"), F.col("spots").alias(f"spots_{n}"))
+    shared = F.size(F.array_intersect("spots_x", "spots_y"))
+    scored = near.join(side("x"), "x").join(side("y"), "y").withColumn("likeness", shared / (F.size("spots_x") + F.size("spots_y") - shared)).filter(F.col("likeness") >= threshold)
+    ahead = F.struct("rep_x", "x") < F.struct("rep_y", "y")
+    either = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+    return member, scored.select(either("rep_x", "rep_y").alias("a"), either("rep_y", "rep_x").alias("b"), "likeness", either("x", "y").alias("class_a"), either("y", "x").alias("class_b"))
+
+
+def linked(df: DataFrame, threshold: float = SIMILAR, anchors=None) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the row's class), class_mark (which tells classes apart that share it) and
+    n_links (other classes that are similar) of each row."""
+
+    def build() -> DataFrame:
+        member, links = similar_pairs(df, threshold, anchors)
+        n = links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+        named = member.join(n, "class", "left")
+        return named.select("doc_id", F.col("rep").alias("class_id"), F.lower(F.hex("mark")).alias("class_mark"), F.coalesce("n", F.lit(0)).alias("n_links"))
+
+    return tidied(df.sparkSession, "spot-links", build)

@@ -186,6 +186,38 @@ def test_spot_links(spark):
     assert sum(n.values()) > 0
 
 
+@pytest.mark.usefixtures("few_parts")
+def test_spot_links_of_repeated_and_null_ids(spark, monkeypatch):
+    """Against all pairs of rows, in two orders, with blocks of any size."""
+    body = " ".join(f"the w{i} x{i} y{i}" for i in range(24))
+    rows = [(1, body), (1, "of other words the a b of c d"), (2, body + " the tail end"), (None, body + " of more words"), (None, body), (3, ""), (None, None), (2, body), (4, "no anchors here"), (4, "no anchors here")]
+    rows += [(5, body.replace(f"x{i} ", "z ")) for i in range(8)]
+    sets = [frozenset(spot_signatures.spots([t or ""], wide=True)[0].tolist()) for _, t in rows]
+    want = collections.Counter()
+    for (doc, _), x in zip(rows, sets, strict=True):
+        ids = [d for (d, _), y in zip(rows, sets, strict=True) if y == x and d is not None]
+        want[doc, min(ids, default=None), sum(len(x & y) >= 0.75 * len(x | y) for y in set(sets) if y and y != x)] += 1
+    assert max(n for _, _, n in want) > 5
+    for seed, block in ((0, 500), (1, 2)):
+        monkeypatch.setattr(spot_signatures, "BLOCK", block)
+        mixed = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        got = spot_signatures.linked(spark.createDataFrame(mixed, "doc_id long, text string").repartition(1 + seed)).collect()
+        assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
+        assert len({r.class_mark for r in got}) == len(set(sets))
+    assert spot_signatures.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_order_of_equal_rows(spark):
+    """40,000 equal rows among 50,000 are dealt evenly, with a few sentinels, and keep their neighbours."""
+    df = spark.range(50_000).selectExpr("IF(id < 40000, 7, id) AS doc_id", "IF(id < 40000, 'equal', CONCAT('text ', id)) AS text").repartition(8)
+    dealt = spot_signatures.in_order(df)
+    sizes = part_sizes(dealt)
+    assert max(sizes) < 2 * np.mean([s for s in sizes if s]) and 50_000 < sum(sizes) < 50_500
+    rows = spot_signatures.edited_pairs(df).collect()
+    equal = [r.near_next for r in rows if r.doc_id == 7]
+    assert len(rows) == 50_000 and len(equal) == 40_000 and sum(x < 1 for x in equal) == 1
+
+
 def test_bpe(odd, docs):
     import tiktoken
 

@@ -3,7 +3,7 @@
 A segment whose number in its session was seen or passed is dropped. A conversation opens on a segment with matches and
 reaches back over the segments that ended shortly before; it closes when the session changes (``disconnect``), when the
 pause to the next segment is long enough (``music`` or ``silence``, by the next segment's class), or when it is too long
-(``max_duration``). There is no idle timer: what is still open stays in the checkpointed state. A new session begins
+(``max_duration``). There is no idle timer here: what is still open stays in the checkpointed state (``timed`` has one). A new session begins
 with an empty look-back and its own numbers.
 
 A micro-batch sorts one station's new segments in memory, so ``maxFilesPerTrigger`` bounds what a task holds; a station's
@@ -87,14 +87,17 @@ def uuid5(name: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def cleaned(segments: DataFrame) -> DataFrame:
+    """The columns of segments with times in microseconds and without nulls; rows that lack a key or time go."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    return segments.select(F.col("station_id").cast("string"), F.col("session_id").cast("string"), F.col("sequence").cast("long"), us("started_at"), us("ended_at"), F.coalesce("class", F.lit("")).alias("class"), F.coalesce(F.col("n_matches").cast("long"), F.lit(0)).alias("n_matches"), F.coalesce("text", F.lit("")).alias("text")).dropna()
+
+
 def conversations(segments: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Closed conversations of a stream with station_id, session_id, sequence, started_at, ended_at, class, n_matches,
     text. The conversation's id depends on its session and first segment only, so a replay writes the same keys."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
-    clean = segments.select(F.col("station_id").cast("string"), F.col("session_id").cast("string"), F.col("sequence").cast("long"), us("started_at"), us("ended_at"), F.coalesce("class", F.lit("")).alias("class"), F.coalesce(F.col("n_matches").cast("long"), F.lit(0)).alias("n_matches"), F.coalesce("text", F.lit("")).alias("text")).dropna()
-
     def step(key, frames, state):
         rows = pd.concat(list(frames)).sort_values(["started_at", "sequence"], kind="stable")
         held = Station(limits, state.get if state.exists else None)
@@ -104,7 +107,7 @@ def conversations(segments: DataFrame, limits: Limits = Limits()) -> DataFrame:
         state.update(held.saved())
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED.split(", ")])
 
-    closed = clean.groupBy("station_id").applyInPandasWithState(step, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
+    closed = cleaned(segments).groupBy("station_id").applyInPandasWithState(step, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
     return closed.withColumn("conversation_id", uuid5(F.concat_ws(":", "session_id", F.col("first_sequence").cast("string"))))
 
 

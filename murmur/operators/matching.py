@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.text import boundaries, is_boundary, keys, normal_form, variants
+from murmur.operators import intervals
 
 # Levels by alias kind, confidence by level, levels that need confirmation, kinds that no translation matches.
 LEVELS = {"canonical": "exact", "native_script": "alias", "abbreviation": "alias", "asr_variant": "alias", "translation": "alias", "romanization": "transliteration", "phonetic": "phonetic"}
@@ -183,8 +184,9 @@ def timed(found: DataFrame, timeline: DataFrame) -> DataFrame:
     """Matches with start_ms and end_ms of the timeline entries that they overlap (null: none). timeline: doc_id,
     start_char, end_char, start_ms, end_ms."""
     key = ["doc_id", "keyword_id", "start", "end"]
-    over = found.join(timeline, "doc_id").filter((F.col("start") < F.col("end_char")) & (F.col("start_char") < F.col("end")))
-    return found.join(over.groupBy(*key).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")), key, "left")
+    over = intervals.overlapping(found.select(*key).distinct(), timeline, "doc_id", ("start", "start_char"), ("end", "end_char"))
+    times = over.groupBy("doc_id", *[F.col(f"l.{c}").alias(c) for c in key[1:]]).agg(F.min("r.start_ms").alias("start_ms"), F.max("r.end_ms").alias("end_ms"))
+    return found.join(times, key, "left")
 
 
 def report(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,9 +5,12 @@ Nulls: an object without key or time is in no group; a document without times be
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators import intervals
 from murmur.operators.sessions import seconds
 
 GAP_S, SPAN_S, LONGEST = 30, 1800, 120_000
@@ -32,7 +35,7 @@ def neighbours(rows: DataFrame, anchors: DataFrame, reach: int = 6, most: int =
     order = rows.select("day", "group_key").distinct().withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy("group_key")))
     placed = rows.join(order, ["day", "group_key"])
     at = anchors.join(order, ["day", "group_key"]).select("anchor", "day", F.col("place").alias("at"))
-    near = placed.join(at, "day").filter(F.abs(F.col("place") - F.col("at")) <= reach)
+    near = placed.join(at.withColumn("place", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach))), ["day", "place"])
     rank = Window.partitionBy("anchor").orderBy(F.abs(F.col("place") - F.col("at")), "group_key", "key")
     return near.withColumn("rank", F.row_number().over(rank).cast("long")).filter(F.col("rank") <= most).select("anchor", "key", "rank")
 
@@ -47,23 +50,44 @@ def sessions(docs: DataFrame, gap_s: float = GAP_S) -> DataFrame:
 
 def around(docs: DataFrame, anchors: DataFrame, gap_s: float = GAP_S, span_s: float = SPAN_S) -> DataFrame:
     """The session of each anchor: within its contiguous run it grows to the left as far as the span allows, then to the
-    right. anchors: key. The two limits follow from the run alone, so growing is two comparisons a document."""
+    right. anchors: key. The two limits follow from the run alone and are found for all its anchors at once; only the
+    documents of a session are joined to its anchor. A station's run is sorted in one task."""
     placed = sessions(docs, gap_s).withColumns({"s": seconds(F.col("started_at")), "e": seconds(F.col("ended_at"))})
     order = Window.partitionBy("station_id", "run").orderBy("started_at", "key")
-    placed = placed.withColumn("place", F.row_number().over(order))
-    at = placed.join(anchors.select("key").distinct(), "key").select(F.col("key").alias("anchor"), "station_id", "run", F.col("place").alias("at"), F.col("e").alias("anchor_end"))
-    both = placed.join(at, ["station_id", "run"])
-    # leftwards, growth ends before the first document that would make the session too long
-    stop = lambda side, cond: F.max(F.when(side & ~cond, F.col("place"))) if side is left else F.min(F.when(side & ~cond, F.col("place")))
-    left = F.col("place") < F.col("at")
-    begin = both.groupBy("anchor", "station_id", "run", "at", "anchor_end").agg(F.coalesce(stop(left, F.col("anchor_end") - F.col("s") <= span_s) + 1, F.lit(1)).alias("lo"))
-    first = placed.select("station_id", "run", F.col("place").alias("lo"), F.col("s").alias("from"))
-    begun = begin.join(first, ["station_id", "run", "lo"])
-    right = F.col("place") > F.col("at")
-    grown = placed.join(begun, ["station_id", "run"])
-    ends = grown.groupBy("anchor").agg(F.min(F.when(right & (F.col("e") - F.col("from") > span_s), F.col("place"))).alias("stop"))
-    inside = grown.join(ends, "anchor").filter((F.col("place") >= F.col("lo")) & (F.col("stop").isNull() | (F.col("place") < F.col("stop"))))
-    return inside.select("anchor", "station_id", "key", "started_at", "ended_at")
+    marked = placed.withColumn("place", F.row_number().over(order)).join(anchors.select("key", F.lit(True).alias("is_anchor")).distinct(), "key", "left")
+    kinds = {f.name: f.dataType.simpleString() for f in marked.schema}
+    limits = marked.select("station_id", "run", "place", "key", "s", "e", "is_anchor").groupBy("station_id", "run").applyInPandas(_limits(span_s), f"station_id {kinds['station_id']}, run long, anchor {kinds['key']}, lo long, hi long")
+    every = limits.withColumn("place", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+    return every.join(marked.withColumn("place", F.col("place").cast("long")), ["station_id", "run", "place"]).select("anchor", "station_id", "key", "started_at", "ended_at")
+
+
+def _limits(span_s: float):
+    """First and last place of each anchor's session in one run, all anchors of the run at once: leftwards the starts are
+    in order, so a binary search tells; rightwards steps of halving length pass over stretches that end early enough."""
+
+    def of(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("place")
+        s, e = run["s"].to_numpy(), run["e"].to_numpy()
+        at = np.flatnonzero(run["is_anchor"].notna().to_numpy())
+        lo = np.minimum(np.searchsorted(s, e[at] - span_s, side="left"), at)
+        while True:  # the sum above may round otherwise than the difference that the rule asks for
+            near = (lo > 0) & (e[at] - s[np.maximum(lo - 1, 0)] <= span_s)
+            far = (lo < at) & (e[at] - s[lo] > span_s)
+            if not (near | far).any():
+                break
+            lo = lo - near + far
+        tops = [e]  # tops[k][i]: the latest end among 2**k documents from i on
+        while 2 ** len(tops) <= len(e):
+            half = 2 ** (len(tops) - 1)
+            tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]))
+        stop = at + 1
+        for k in range(len(tops) - 1, -1, -1):
+            inside = stop + 2**k <= len(e)
+            step = inside & (tops[k][np.where(inside, stop, 0)] - s[lo] <= span_s)
+            stop = stop + 2**k * step
+        return pd.DataFrame({"station_id": run["station_id"].iloc[0], "run": run["run"].iloc[0], "anchor": run["key"].to_numpy()[at], "lo": lo + 1, "hi": stop})
+
+    return of
 
 
 def assembled(segments: DataFrame, most: int = LONGEST) -> DataFrame:
@@ -78,17 +102,18 @@ def assembled(segments: DataFrame, most: int = LONGEST) -> DataFrame:
 def segment_at(places: DataFrame, segments: DataFrame) -> DataFrame:
     """The segment that holds each character place, else the document's first. places: doc_id, at; segments: doc_id,
     start_char, end_char, place."""
-    both = places.join(segments.select("doc_id", "place", "start_char", "end_char"), "doc_id", "left")
-    holds = (F.col("at") >= F.col("start_char")) & (F.col("at") < F.col("end_char"))
-    return both.groupBy("doc_id", "at").agg(F.coalesce(F.min(F.when(holds, F.col("place"))), F.min("place")).alias("place"))
+    first = segments.groupBy("doc_id").agg(F.min("place").alias("first"))
+    held = intervals.holding(places.select("doc_id", "at"), segments, "doc_id", "at", "start_char", "end_char", "place")
+    return held.join(first, "doc_id", "left").select("doc_id", "at", F.coalesce("place", "first").alias("place"))
 
 
 def words_of_span(words: DataFrame, spans: DataFrame) -> DataFrame:
     """The words that overlap a span of time, as one highlight: start_char, end_char, n_words. words: doc_id, start_char,
     end_char, started_at, ended_at; spans: doc_id, span_id, from_at, to_at (null: an instant)."""
-    until = F.coalesce("to_at", "from_at")
-    over = spans.join(words, "doc_id").filter((F.coalesce("ended_at", "started_at") >= F.col("from_at")) & (F.col("started_at") <= until))
-    return over.groupBy("doc_id", "span_id").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.count("*").alias("n_words"))
+    asked = spans.select("doc_id", "span_id", "from_at", F.coalesce("to_at", "from_at").alias("to_at"))
+    spoken = words.withColumn("ended_at", F.coalesce("ended_at", "started_at"))
+    over = intervals.overlapping(asked, spoken, "doc_id", ("from_at", "started_at"), ("to_at", "ended_at"), closed=True)
+    return over.groupBy("doc_id", F.col("l.span_id").alias("span_id")).agg(F.min("r.start_char").alias("start_char"), F.max("r.end_char").alias("end_char"), F.count("*").alias("n_words"))
 
 
 def heard(segments: DataFrame) -> DataFrame:

@@ -49,6 +49,16 @@ def anchored_sessions(v: Views) -> DataFrame:
     return transcripts.around(_recordings(v), anchors, 6 * 3600, 48 * 3600).groupBy("anchor").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("ended_at").alias("last_at"))
 
 
+ANCHORED_SQL = """
+WITH docs AS (SELECT user_id AS station_id, event_id AS key, event_type = 'purchase' AS asked, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + 1200 AS e, ts + INTERVAL 20 MINUTES AS ended_at FROM events WHERE ts IS NOT NULL),
+opened AS (SELECT *, coalesce(s - lag(e) OVER (PARTITION BY station_id ORDER BY s, key) > 21600, false) AS opens FROM docs),
+runs AS (SELECT *, sum(opens::INT) OVER (PARTITION BY station_id ORDER BY s, key) AS run FROM opened),
+placed AS (SELECT *, row_number() OVER (PARTITION BY station_id, run ORDER BY s, key) AS place FROM runs),
+begun AS (SELECT a.key AS anchor, a.station_id, a.run, a.place AS mid, coalesce(max(p.place) FILTER (p.place < a.place AND a.e - p.s > 172800), 0) + 1 AS lo FROM placed a JOIN placed p USING (station_id, run) WHERE a.asked GROUP BY ALL),
+stopped AS (SELECT b.anchor, b.station_id, b.run, b.lo, min(p.place) FILTER (p.place > b.mid AND p.e - f.s > 172800) AS stop FROM begun b JOIN placed f ON f.station_id = b.station_id AND f.run = b.run AND f.place = b.lo JOIN placed p ON p.station_id = b.station_id AND p.run = b.run GROUP BY ALL)
+SELECT anchor, count(*) AS n, min(p.key) AS first_key, max(p.ended_at) AS last_at FROM stopped x JOIN placed p USING (station_id, run) WHERE p.place >= x.lo AND (x.stop IS NULL OR p.place < x.stop) GROUP BY anchor"""
+
+
 def _segments(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
 
@@ -113,7 +123,7 @@ QUERIES = {
 sha256(string_agg(key || ':' || etag, '|' ORDER BY key)) AS fingerprint, max(modified_at) AS last_modified FROM objects
 WHERE key LIKE '%.transcript.json' AND modified_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25' GROUP BY group_key"""),
     "neighbour_transcripts": (neighbour_transcripts, NEIGHBOURS_SQL),
-    "anchored_sessions": (anchored_sessions, None),
+    "anchored_sessions": (anchored_sessions, ANCHORED_SQL),
     "assembled_transcripts": (assembled_transcripts, f"WITH {SEGMENTS} SELECT doc_id, place, CAST(start_char AS BIGINT) AS start_char, CAST(end_char AS BIGINT) AS end_char FROM segments"),
     "segments_at": (segments_at, f"""WITH {SEGMENTS}, places AS (SELECT DISTINCT doc_id, unnest([0, 120, n_chars - 1]) AS c FROM documents)
 SELECT doc_id, CAST(c AS BIGINT) AS "at", CAST(coalesce(min(place) FILTER (c >= start_char AND c < end_char), min(place)) AS BIGINT) AS place FROM places LEFT JOIN segments USING (doc_id) GROUP BY doc_id, c"""),

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, unused
+from .common import discard, stored, unused
 
 SEED = 7
 #: Exponent of the default targets: shares grow with this power of a source's size.
@@ -53,7 +53,9 @@ def rates(df: DataFrame, targets: dict | None = None, epochs: float = EPOCHS) ->
     weighed = sized.withColumn("weight", weight.cast("double"))
     total = weighed.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).head()
     scale = epochs * float(total["size"] or 0) / (total["weight"] or 1.0)
-    return weighed.select("source", (F.col("weight") / F.col("size") * F.lit(scale)).alias("rate"))
+    out = weighed.select("source", (F.col("weight") / F.col("size") * F.lit(scale)).alias("rate"))
+    out._stored_at = sized._stored_at
+    return out
 
 
 def lowest(rate: Column) -> Column:
@@ -102,7 +104,9 @@ def replicate(df: DataFrame, targets: dict | None = None, epochs: float = EPOCHS
     df = df.drop(copy, shuffle_key)
     source, lowest_n, running, key, ordinal = unused(df, "source_of_rate", "lowest", "running", "draw_key", "ordinal")
     rate = F.col("rate")
-    table = stored(rates(df, targets, epochs).select(F.col("source").alias(source), lowest(rate).alias(lowest_n), distribution(rate).alias(running)), "rates")
+    rated = rates(df, targets, epochs)
+    table = stored(rated.select(F.col("source").alias(source), lowest(rate).alias(lowest_n), distribution(rate).alias(running)), "rates")
+    discard(rated)
     ranked = with_ordinal(df, key, ordinal)
     drawn = ranked.join(table, F.col("source").eqNullSafe(F.col(source)))
     u = uniform(F.lit(seed), F.col(key), F.col(ordinal))

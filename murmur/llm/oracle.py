@@ -41,7 +41,7 @@ states AS (SELECT host, dated, bool_or(listed) AS listed FROM entries GROUP BY h
 intervals AS (SELECT * FROM (SELECT host, listed, dated AS listed_from, lead(dated) OVER (PARTITION BY host ORDER BY dated) AS listed_to FROM states) WHERE listed),
 captures AS (SELECT page_id, url, {day("page_id % 360")} AS fetched, count(*) AS n_captures FROM pages GROUP BY ALL),
 labelled AS (SELECT *, string_split({host}, '.') AS labels FROM captures),
-keyed AS (SELECT *, unnest(list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: array_to_string(labels[i:], '.'))) AS host FROM labelled),
+keyed AS (SELECT *, unnest(list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.'))) AS host FROM labelled),
 hits AS (SELECT k.page_id, k.url, k.fetched, k.n_captures, i.host AS active FROM keyed k LEFT JOIN intervals i ON i.host = k.host AND k.fetched >= i.listed_from AND (i.listed_to IS NULL OR k.fetched < i.listed_to))
 SELECT page_id, url, fetched, n_captures, count(active) AS n_active, arg_max(active, length(active)) AS pattern, count(active) > 0 AS blocked FROM hits GROUP BY page_id, url, fetched, n_captures"""
 

@@ -11,12 +11,16 @@ for it: chi-squared uniformity of the symbols, runs, and lag-one serial correlat
 They are used twice. First against randomness: a candidate that any of them rejects (beyond ``Z_RANDOM``) is ordinary.
 Then against the null hypothesis that matters, "this is an ordinary string of its encoding and length": how far the same
 three statistics (the chi-squared statistic as the rate of agreeing symbol pairs; runs of character classes; serial
-correlation) are from what ordinary strings show, in standard deviations for that length, added up and divided by the
-root of three. What ordinary strings show is learnt from the table: the mean rates of all candidates of the encoding that
-the battery rejected, drawn towards fixed rates by ``PRIOR`` characters. The tail of the sum is the candidate's p-value;
-a rejected candidate has one. Benjamini-Hochberg over all candidates of a length class decides which are secrets.
-
-Means and p-values (in bins of a tenth of a decade) are counted in two small aggregations of a few rows each. Runs of
+correlation) are from what ordinary strings show, towards what random ones would. What ordinary strings show is learnt
+from the table: means and covariances, times the root of the length, of the candidates of ``LEARNT`` characters or more
+that the battery rejects (of shorter ones it rejects too few), for each encoding and length class, drawn towards fixed
+ones by ``PRIOR`` strings. Shorter classes take those of the first learnt class, with the additional variance that pairs
+of few symbols have. The three deviations are weighed by Fisher's discriminant (weights that point away from randomness
+are zero) and divided by the standard deviation of that sum, so that kinds of ordinary strings that differ make for
+wider bounds. The tail of the normal distribution is the candidate's p-value; a rejected candidate has one.
+Benjamini-Hochberg over all candidates of a length class decides which are secrets.
+
+Moments and p-values (in bins of a tenth of a decade) are counted in two small aggregations of a few rows each. Runs of
 digits alone are hex base spans, so none is a candidate.
 
 Edge cases: a null or empty text has no spans; repeated rows are scanned each; an empty table gives an empty one;
@@ -48,13 +52,22 @@ ONE_CASE_SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 ALNUM_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 B64_SYMBOLS = ALNUM_SYMBOLS + "+/"
 ENCODINGS = ("hex", "base32", "one-case", "alnum", "base64")
-#: Rates of ordinary strings before any is seen: that two symbols agree, that neighbours differ in class (upper, lower,
-#: digit, sign), and the serial correlation; and the characters that weigh as much as these.
-COINCIDENCE, CHANGES, SERIAL, PRIOR = 0.065, 0.1, 0.2, 10_000
+#: The point from which rates are measured: that two symbols agree, that neighbours differ in class (upper, lower, digit,
+#: sign), and the serial correlation.
+COINCIDENCE, CHANGES, SERIAL = 0.065, 0.1, 0.2
+#: These rates in ordinary strings of each encoding before any is seen, their variances times the length, and the number of
+#: strings that weigh as much.
+BEFORE = ((0.1, 0.2, 0.1), (0.07, 0.03, 0.0), (0.07, 0.03, 0.0), (0.055, 0.25, 0.0), (0.07, 0.3, 0.0))
+SPREAD = ((0.011, 0.15, 1.3), (0.011, 0.06, 1.3), (0.011, 0.06, 1.3), (0.011, 0.15, 1.3), (0.011, 0.3, 1.3))
+PRIOR = 50
+#: Ordinary strings are learnt from this length on; strings of n characters vary more than the normal law says, by WIDER/n.
+LEARNT, WIDER = 48, 8
 #: A candidate is ordinary if one test of the three is beyond this many standard deviations (0.001 in all).
 Z_RANDOM = 3.6
 #: Upper ends of the length classes, and the rate of false discoveries allowed in each.
 LENGTH_CLASSES, FALSE_RATE = (24, 32, 48, 64, 128), 0.001
+#: A length of each class, for what depends on it.
+TYPICAL = (22, 28, 40, 56, 90, 160)
 #: Bins of -log10 p, ten a decade.
 BINS = 400
 
@@ -155,16 +168,6 @@ def found(df: DataFrame, text: Column, base: str, candidates: str) -> DataFrame:
     return df.withColumn(base, _base(text)).withColumn(candidates, _candidates(text)(F.col(base)))
 
 
-def ordinary(candidates: DataFrame) -> list[tuple[float, float, float]]:
-    """For each encoding, the mean rates of its rejected candidates (agreeing pairs, class changes, serial correlation),
-    weighted by length and drawn towards the fixed ones."""
-    w = F.col("c.n").cast("decimal(20,0)")
-    mean = lambda c, before: ((F.sum(w * F.col(f"c.{c}").cast("decimal(20,0)")).cast("double") / 1e6 + PRIOR * before) / (F.sum(w).cast("double") + PRIOR)).alias(c)
-    rows = candidates.filter(~F.col("c.random")).groupBy("c.encoding").agg(mean("agree", COINCIDENCE), mean("changes", CHANGES), mean("serial", SERIAL)).collect()  # five rows at most
-    known = {r.encoding: (r.agree, r.changes, r.serial) for r in rows}
-    return [known.get(i, (COINCIDENCE, CHANGES, SERIAL)) for i in range(len(ENCODINGS))]
-
-
 def length_class(n: Column) -> Column:
     size = F.lit(0)
     for i, top in enumerate(LENGTH_CLASSES):
@@ -172,37 +175,86 @@ def length_class(n: Column) -> Column:
     return size
 
 
-def level(c: Column, means: list[tuple[float, float, float]]) -> Column:
+def _deviations(c: Column) -> list[Column]:
+    """How far a candidate's three rates are from the fixed ones, towards randomness, in millionths."""
+    unit = lambda v: F.lit(round(v * 1_000_000))
+    return [unit(COINCIDENCE) - c["agree"], c["changes"] - unit(CHANGES), unit(SERIAL) - c["serial"]]
+
+
+def _moments(candidates: DataFrame) -> dict[tuple[int, int], tuple[int, list[float], list[list[float]]]]:
+    """For each encoding and learnt length class: number of rejected candidates, sums and sums of products of their
+    deviations times the root of the length. Summed as whole thousandths, so exact in any order."""
+    c = F.col("c")
+    x = [F.round(v * F.sqrt(c["n"].cast("double")) / 1000).cast("decimal(18,0)") for v in _deviations(c)]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    total = lambda v, name: F.sum(v.cast("decimal(28,0)")).cast("double").alias(name)
+    held = candidates.filter(~c["random"] & (c["n"] >= LEARNT)).groupBy(c["encoding"].alias("encoding"), length_class(c["n"]).alias("size"))
+    rows = held.agg(F.count("*").alias("m"), *[total(x[i], f"s{i}") for i in range(3)], *[total(x[i] * x[j], f"q{i}{j}") for i, j in pairs]).collect()  # 15 rows at most
+    return {(r["encoding"], r["size"]): (r["m"], [r[f"s{i}"] / 1e3 for i in range(3)], [[r[f"q{min(i, j)}{max(i, j)}"] / 1e6 for j in range(3)] for i in range(3)]) for r in rows}
+
+
+def _class_changes(symbols: str) -> float:
+    """The rate at which neighbours among random symbols differ in class."""
+    kinds = [sum(map(test, symbols)) for test in (str.isdigit, str.isupper, str.islower)]
+    return 1 - sum(k * k for k in (*kinds, len(symbols) - sum(kinds))) / len(symbols) ** 2
+
+
+def _solved(m: list[list[float]], y: list[float]) -> list[float]:
+    """The solution of three linear equations, by Cramer's rule."""
+    det = lambda a: sum(a[0][i] * (a[1][(i + 1) % 3] * a[2][(i + 2) % 3] - a[1][(i + 2) % 3] * a[2][(i + 1) % 3]) for i in range(3))
+    whole = det(m)
+    return [det([[y[r] if c == i else m[r][c] for c in range(3)] for r in range(3)]) / whole for i in range(3)]
+
+
+def weights(moments: dict) -> dict[tuple[int, int], tuple[list[float], float]]:
+    """For each encoding and length class, the three weights and the shift that make standard deviations of deviations
+    (times the root of the length)."""
+    out = {}
+    learnt = next(i for i, top in enumerate((0, *LENGTH_CLASSES)) if top >= LEARNT)
+    for e, symbols in enumerate((HEX_SYMBOLS, B32_SYMBOLS, ONE_CASE_SYMBOLS, ALNUM_SYMBOLS, B64_SYMBOLS)):
+        for size, n in enumerate(TYPICAL):
+            of = max(size, learnt)
+            m, sums, products = moments.get((e, of), (0, [0.0] * 3, [[0.0] * 3] * 3))
+            before = [v * math.sqrt(TYPICAL[of]) for v in (COINCIDENCE - BEFORE[e][0], BEFORE[e][1] - CHANGES, SERIAL - BEFORE[e][2])]
+            mean = [(s + PRIOR * v) / (m + PRIOR) for s, v in zip(sums, before, strict=True)]
+            cov = [[(products[i][j] + PRIOR * (before[i] * before[j] + (SPREAD[e][i] if i == j else 0.0))) / (m + PRIOR) - mean[i] * mean[j] for j in range(3)] for i in range(3)]
+            mean = [v / math.sqrt(TYPICAL[of]) for v in mean]
+            agree = min(max(COINCIDENCE - mean[0], 1e-3), 0.5)
+            cov[0][0] += 2 * agree * (1 - agree) * (1 / n - 1 / TYPICAL[of]) if size < learnt else 0.0
+            cov = [[v * (1 + WIDER / n) for v in row] for row in cov]
+            apart = [COINCIDENCE - 1 / len(symbols) - mean[0], _class_changes(symbols) - CHANGES - mean[1], SERIAL - mean[2]]
+            w = [v if v * a > 0 else 0.0 for v, a in zip(_solved(cov, apart), apart, strict=True)]
+            size_of = math.sqrt(sum(w[i] * cov[i][j] * w[j] for i in range(3) for j in range(3)))
+            w = [v / size_of for v in w] if size_of > 0 else w
+            out[e, size] = w, sum(v * x for v, x in zip(w, mean, strict=True))
+    return out
+
+
+def level(c: Column, weighed: dict) -> Column:
     """The bin of -log10 p of a candidate: 0 if the battery rejects it."""
-    n = c["n"].cast("double")
-    trials = n * (n - 1) / 2
-
-    def combined(agree: float, changes: float, serial: float) -> Column:
-        few = (agree - c["agree"] / 1e6) / F.sqrt(agree * (1 - agree) / trials)
-        many = (c["changes"] / 1e6 - changes) / F.sqrt(changes * (1 - changes) / (n - 1))
-        apart = math.copysign(1, serial) * (serial - c["serial"] / 1e6) * F.sqrt(n)
-        return (few + many + apart) / math.sqrt(3)
+    at = c["encoding"] * len(TYPICAL) + length_class(c["n"])
+    rows = [weighed[k] for k in sorted(weighed)]
+    of = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), at)  # noqa: E731  a constant, looked up
+    z = of([-shift for _, shift in rows])
+    for i, x in enumerate(_deviations(c)):
+        z = z + x / 1e6 * of([w[i] for w, _ in rows])
+    return F.when(c["random"], F.least(F.floor(_tail(z * F.sqrt(c["n"].cast("double"))) * 10), F.lit(BINS))).otherwise(F.lit(0)).cast("int")
 
-    z = F.lit(0.0)
-    for i, m in enumerate(means):
-        z = F.when(c["encoding"] == i, combined(*(min(max(v, 1e-4), 1 - 1e-4) for v in m[:2]), m[2])).otherwise(z)
-    return F.when(c["random"], F.least(F.floor(_tail(z) * 10), F.lit(BINS))).otherwise(F.lit(0)).cast("int")
 
-
-def control(rows: DataFrame, candidates: str) -> tuple[list[tuple[float, float, float]], dict[int, int]]:
-    """The ordinary rates, and the least accepted bin of each length class by Benjamini-Hochberg over all candidates."""
+def control(rows: DataFrame, candidates: str) -> tuple[dict, dict[int, int]]:
+    """The weights, and the least accepted bin of each length class by Benjamini-Hochberg over all candidates."""
     each = rows.select(F.explode(candidates).alias("c"))
-    means = ordinary(each)
-    one = each.select(length_class(F.col("c.n")).alias("size"), level(F.col("c"), means).alias("level")).groupBy("size", "level").agg(F.count("*").alias("n"))
+    weighed = weights(_moments(each))
+    one = each.select(length_class(F.col("c.n")).alias("size"), level(F.col("c"), weighed).alias("level")).groupBy("size", "level").agg(F.count("*").alias("n"))
     above = Window.partitionBy("size").orderBy(F.desc("level"))
     ranked = one.withColumn("k", F.sum("n").over(above)).withColumn("m", F.sum("n").over(Window.partitionBy("size")))
     passed = ranked.filter((F.col("level") > 0) & (F.pow(F.lit(10.0), -F.col("level") / 10) <= F.col("k") * FALSE_RATE / F.col("m")))
-    return means, {r["size"]: r["least"] for r in passed.groupBy("size").agg(F.min("level").alias("least")).collect()}  # a row a class
+    return weighed, {r["size"]: r["least"] for r in passed.groupBy("size").agg(F.min("level").alias("least")).collect()}  # a row a class
 
 
-def _all_spans(base: Column, candidates: Column, means: list[tuple[float, float, float]], least: dict[int, int]) -> Column:
+def _all_spans(base: Column, candidates: Column, weighed: dict, least: dict[int, int]) -> Column:
     """Base spans and accepted candidates by start, then kind."""
-    accepted = F.filter(candidates, lambda c: reduce(or_, [(length_class(c["n"]) == s) & (level(c, means) >= v) for s, v in sorted(least.items())], F.lit(False)))
+    accepted = F.filter(candidates, lambda c: reduce(or_, [(length_class(c["n"]) == s) & (level(c, weighed) >= v) for s, v in sorted(least.items())], F.lit(False)))
     merged = F.concat(base, F.transform(accepted, lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
     place = lambda s: F.array_position(F.array(*map(F.lit, (*BASE_KINDS, "random"))), s["kind"])
     ordered = F.array_sort(F.transform(merged, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["kind"].alias("kind"), s["end"].alias("end"))))
@@ -211,8 +263,12 @@ def _all_spans(base: Column, candidates: Column, means: list[tuple[float, float,
 
 def scan(df: DataFrame) -> DataFrame:
     """doc_id, base (array of kind, start, end), spans (base and added ones by start, then kind) of each row."""
-    rows = stored(found(id_and_text(df), F.col("text"), "base", "candidates").select("doc_id", "base", "candidates"), "secrets")
-    return rows.select("doc_id", "base", _all_spans(F.col("base"), F.col("candidates"), *control(rows, "candidates")).alias("spans"))
+
+    def build() -> DataFrame:
+        rows = stored(found(id_and_text(df), F.col("text"), "base", "candidates").select("doc_id", "base", "candidates"), "secrets")
+        return rows.select("doc_id", "base", _all_spans(F.col("base"), F.col("candidates"), *control(rows, "candidates")).alias("spans"))
+
+    return tidied(df.sparkSession, "secret-spans", build)
 
 
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:

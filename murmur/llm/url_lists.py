@@ -1,9 +1,10 @@
 """URL filters with dated lists: list entries become validity intervals, captures are judged as of their fetch time.
 
-An entry names a host (which covers its subdomains; a scheme, port or path around it is dropped) and a date on which it
-was put on or taken off the list. The state
-after each entry holds until the next entry for the same host; ``intervals`` keeps the listed ones. ``evaluate`` looks
-up each capture's host and all its parent hosts among the intervals that hold at its fetch time.
+An entry names a host (which covers its subdomains; a scheme, user or port around it is dropped), or a host and a path
+(which covers what lies at or below the path on that host and its subdomains), and a date on which it was put on or
+taken off the list. The state after each entry holds until the next entry for the same host and path; ``intervals``
+keeps the listed ones. ``evaluate`` looks up each capture's host and all its parent hosts among the intervals that hold
+at its fetch time, and keeps those whose path, if any, is the capture's or a folder above it.
 
 Scale: intervals are cut by month and joined on host and month, so a host with a long history doesn't meet every one of
 its captures with every one of its intervals. A hot host is spread by the skew-split join, or the list is broadcast
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidied
 
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -36,25 +37,44 @@ def entry_host(entry: Column) -> Column:
     return F.nullif(F.regexp_replace(host, "^(\\*?\\.)+|\\.+$", ""), F.lit(""))
 
 
+def entry_path(entry: Column) -> Column:
+    """The path that an entry names, with a slash at its begin and none at its end; empty where it names the whole host.
+    Query and fragment are dropped; letters keep their case."""
+    bare = F.regexp_replace(F.trim(entry), "^[A-Za-z][A-Za-z0-9+.-]*://|^//", "")
+    return F.regexp_replace(F.regexp_extract(bare, "^[^/?#]*(/[^?#]*)", 1), "/+$", "")
+
+
+def path_of(url: Column) -> Column:
+    """The path of an address, a slash if it has none."""
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    return F.when(path == "", "/").otherwise(path)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
-    """host, listed_from, listed_to (null: still listed). entries: host, dated, listed (boolean)."""
-    one = entries.withColumn("host", entry_host(F.col("host"))).filter("host IS NOT NULL AND dated IS NOT NULL").groupBy("host", "dated").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
-    after = F.lead("dated").over(Window.partitionBy("host").orderBy("dated"))
-    return one.withColumn("listed_to", after).filter("listed").select("host", F.col("dated").alias("listed_from"), "listed_to")
+    """host, path, listed_from, listed_to (null: still listed). entries: host, dated, listed (boolean)."""
+    named = entries.withColumn("path", F.when(entry_host(F.col("host")).isNotNull(), entry_path(F.col("host")))).withColumn("host", entry_host(F.col("host")))
+    one = named.filter("host IS NOT NULL AND dated IS NOT NULL").groupBy("host", "path", "dated").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
+    after = F.lead("dated").over(Window.partitionBy("host", "path").orderBy("dated"))
+    return one.withColumn("listed_to", after).filter("listed").select("host", "path", F.col("dated").alias("listed_from"), "listed_to")
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parents, down to two labels."""
+    """The host and all its parents, the last label alone included."""
     labels = F.split(host, "\\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """page_id, url, fetched, n_captures, n_active, pattern (longest active host), blocked of each capture.
+    """page_id, url, fetched, n_captures, n_active (hosts with an entry that covers it), pattern (the longest of them with
+    its longest path), blocked of each capture.
 
     captures: page_id, url, fetched (date).
     """
+    return tidied(captures.sparkSession, "judged-captures", lambda: _evaluated(captures, entries))
+
+
+def _evaluated(captures: DataFrame, entries: DataFrame) -> DataFrame:
     one = captures.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n_captures"))
     first, last = one.agg(F.min("fetched"), F.max("fetched")).head()
     month = lambda d: F.trunc(d, "month")
@@ -66,12 +86,13 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     else:
         clipped = clipped.withColumn("month", month("listed_from"))
     held = stored(clipped, "list-intervals")
-    keyed = one.withColumn("host", F.explode(suffixes(host_of(F.col("url"))))).withColumn("month", month("fetched"))
-    hit = (F.col("fetched") >= F.col("listed_from")) & (F.col("listed_to").isNull() | (F.col("fetched") < F.col("listed_to")))
+    keyed = one.withColumn("host", F.explode(suffixes(host_of(F.col("url"))))).withColumn("month", month("fetched")).withColumn("at", F.concat(path_of(F.col("url")), F.lit("/")))
+    hit = (F.col("fetched") >= F.col("listed_from")) & (F.col("listed_to").isNull() | (F.col("fetched") < F.col("listed_to"))) & F.col("at").startswith(F.concat("path", F.lit("/")))
     joined = keyed.join(held, ["host", "month"], "left").withColumn("active", F.when(hit, F.col("host")))
     keys = ["page_id", "url", "fetched", "n_captures"]
-    out = joined.groupBy(*keys).agg(F.count("active").alias("n_active"), F.max(F.struct(F.char_length("active"), "active")).alias("top"))
-    return out.select(*keys, "n_active", F.col("top.active").alias("pattern"), (F.col("n_active") > 0).alias("blocked"))
+    top = F.max(F.when(F.col("active").isNotNull(), F.struct(F.char_length("active").alias("size"), F.char_length("path").alias("deep"), F.concat("active", "path").alias("pattern"))))
+    out = joined.groupBy(*keys).agg(F.count_distinct("active").alias("n_active"), top.alias("top"))
+    return out.select(*keys, "n_active", F.col("top.pattern").alias("pattern"), (F.col("n_active") > 0).alias("blocked"))
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:

@@ -677,16 +677,37 @@ def plain_spans(texts):
             z.append(abs(serial) * math.sqrt(n) if spread > 0 else 99)
             kind = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "+" for c in bare]
             found.append({"at": (d, m.start(), m.end()), "e": e, "n": n, "random": max(z) < secret_scan.Z_RANDOM, "agree": (pairs - n) / (n * (n - 1)), "changes": sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / (n - 1), "serial": serial})
-    means = {}
-    for e in range(5):
-        cast = [c for c in found if c["e"] == e and not c["random"]]
-        total = sum(c["n"] for c in cast)
-        means[e] = [(sum(c["n"] * c[v] for c in cast) + secret_scan.PRIOR * p) / (total + secret_scan.PRIOR) for v, p in (("agree", secret_scan.COINCIDENCE), ("changes", secret_scan.CHANGES), ("serial", secret_scan.SERIAL))]
+    import numpy.linalg
+
+    ref = np.array([secret_scan.COINCIDENCE, secret_scan.CHANGES, secret_scan.SERIAL])
+    apart = lambda c: np.array([ref[0] - c["agree"], c["changes"] - ref[1], ref[2] - c["serial"]])
+    size_of = lambda n: sum(n >= top for top in secret_scan.LENGTH_CLASSES)
+    weighed = {}
+    for e, alphabet in enumerate(symbols):
+        kinds = collections.Counter("0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "+" for c in alphabet)
+        target = np.array([ref[0] - 1 / len(alphabet), 1 - sum(v * v for v in kinds.values()) / len(alphabet) ** 2 - ref[1], ref[2]])
+        for size, typical in enumerate(secret_scan.TYPICAL):
+            of = max(size, 3)
+            x = np.array([apart(c) * math.sqrt(c["n"]) for c in found if c["e"] == e and not c["random"] and c["n"] >= 48 and size_of(c["n"]) == of]).reshape(-1, 3)
+            whole = len(x) + secret_scan.PRIOR
+            b = secret_scan.BEFORE[e]
+            before = apart({"agree": b[0], "changes": b[1], "serial": b[2]}) * math.sqrt(secret_scan.TYPICAL[of])
+            mean = (x.sum(axis=0) + secret_scan.PRIOR * before) / whole
+            cov = (x.T @ x + secret_scan.PRIOR * (np.diag(secret_scan.SPREAD[e]) + np.outer(before, before))) / whole - np.outer(mean, mean)
+            mean = mean / math.sqrt(secret_scan.TYPICAL[of])
+            agree = ref[0] - mean[0]
+            if size < 3:
+                cov[0, 0] += 2 * agree * (1 - agree) * (1 / typical - 1 / secret_scan.TYPICAL[of])
+            cov = cov * (1 + secret_scan.WIDER / typical)
+            w = numpy.linalg.solve(cov, target - mean)
+            w = np.where(w * (target - mean) > 0, w, 0)
+            weighed[e, size] = w / math.sqrt(w @ cov @ w), mean
     classes = collections.defaultdict(list)
     for c in found:
-        n, (agree, changes, serial) = c["n"], means[c["e"]]
-        z = (agree - c["agree"]) / math.sqrt(agree * (1 - agree) / (n * (n - 1) / 2)) + (c["changes"] - changes) / math.sqrt(changes * (1 - changes) / (n - 1)) + math.copysign(1, serial) * (serial - c["serial"]) * math.sqrt(n)
-        x = max(z / math.sqrt(3), 0)
+        n = c["n"]
+        w, mean = weighed[c["e"], size_of(n)]
+        z = w @ (apart(c) - mean) * math.sqrt(n)
+        x = max(z, 0)
         tail = (x * x / 2 + math.log(x + math.sqrt(x * x + 8 / math.pi)) + math.log(math.pi / 2) / 2) / math.log(10)
         c["level"] = min(math.floor(tail * 10), secret_scan.BINS) if c["random"] else 0
         classes[sum(n >= top for top in secret_scan.LENGTH_CLASSES)].append(c)
@@ -712,6 +733,40 @@ def test_added_spans_against_plain_ones(spark):
     assert got == want
 
 
+def ordinary_strings(words, rng, n):
+    """Strings of n characters as texts have them: words joined by signs or capitals, paths, numbered names."""
+    joined = lambda k, sign: sign.join(k) + sign
+    kinds = [lambda k: joined(k, "-"), lambda k: joined(k, "_"), lambda k: "".join(x.title() for x in k), lambda k: joined(k, "/"), lambda k: "".join(k), lambda k: "".join(x.upper() for x in k)]
+    out = ""
+    kind = kinds[int(rng.integers(len(kinds)))]
+    while len(out) < n + 20:
+        out += kind(rng.choice(words, 8))
+    start = int(rng.integers(0, 20))
+    return out[start : start + n]
+
+
+def test_p_values_of_ordinary_strings(spark):
+    """20,000 ordinary strings: p-values are at most nominal, and with keys among them few of what is found is ordinary."""
+    rng = np.random.default_rng(17)
+    words = np.array(re.findall("[a-z]{2,}", " ".join(r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect()).lower()))
+    lengths = [(20, 24), (24, 32), (32, 48), (48, 64), (64, 128), (128, 200)]
+    plain = [(i, ordinary_strings(words, rng, int(rng.integers(*lengths[i % 6])))) for i in range(20_000)]
+    rows = secret_scan.found(spark.createDataFrame(plain, "doc_id long, text string").repartition(8), F.col("text"), "base", "candidates")
+    each = rows.select(F.explode("candidates").alias("c")).cache()
+    weighed = secret_scan.weights(secret_scan._moments(each))
+    got = each.select(secret_scan.length_class(F.col("c.n")).alias("size"), secret_scan.level(F.col("c"), weighed).alias("v")).groupBy("size").agg(F.count("*").alias("n"), *[F.sum((F.col("v") >= v).cast("int")).alias(f"p{v}") for v in (20, 30)]).collect()
+    assert sum(r.n for r in got) > 15_000 and len(got) == 6
+    for r in got:
+        assert r.p20 <= 0.01 * r.n + 3 and r.p30 <= (0.001 if r["size"] > 1 else 0.003) * r.n + 3, r
+    each.unpersist()
+    for share in (0.01, 0.001):
+        keys = {i: "".join(rng.choice(list(secret_scan.B64_SYMBOLS), int(rng.integers(40, 90)))) for i in range(0, 20_000, int(1 / share))}
+        mixed = [(i, keys.get(i, t)) for i, t in plain]
+        hits = {r.doc_id for r in secret_scan.scan(spark.createDataFrame(mixed, "doc_id long, text string").repartition(8)).filter("exists(spans, s -> s.kind = 'random')").collect()}
+        false = len(hits - set(keys))
+        assert len(hits & set(keys)) > 0.7 * len(keys) and false <= 0.01 * len(hits) + 2, (share, len(keys), len(hits), false)
+
+
 def test_other_vocabularies_are_encoded_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = token_binary.tokenizer(path)
@@ -723,13 +778,24 @@ def test_forms_of_list_entries(spark):
     import datetime
 
     d = datetime.date(2024, 1, 1)
-    forms = ["X.com", "https://user@x.com:8080/path?q", "x.com.", "*.X.com", ".x.com", "//x.com/a"]
+    forms = ["X.com", "https://user@x.com:8080/?q", "x.com.", "*.X.com", ".x.com", "//x.com/a"]
     for form in forms:
         entries = spark.createDataFrame([(form, d, True)], "host string, dated date, listed boolean")
         captures = spark.createDataFrame([(1, "http://X.COM./a", d), (2, "http://a.x.com/a", d), (3, "http://ax.com/", d)], "page_id long, url string, fetched date")
         assert {r.page_id: r.blocked for r in url_lists.evaluate(captures, entries).collect()} == {1: True, 2: True, 3: False}, form
 
 
+def test_paths_of_list_entries(spark):
+    import datetime
+
+    d = datetime.date(2024, 1, 1)
+    entries = spark.createDataFrame([("x.com/bad/", d, True), ("y.com", d, True), ("https://y.com/Some/page?q#f", d, True), ("tld", d, True), ("z.org/a", d, True), ("z.org/a", datetime.date(2024, 2, 1), False)], "host string, dated date, listed boolean")
+    urls = ["http://x.com/bad", "http://x.com/bad/b?c", "http://x.com/badly", "http://x.com/", "http://x.com", "https://u@w.x.com:80/bad/#f", "http://y.com", "http://y.com/Some/page/x", "http://y.com/some/page", "http://a.b.tld/q", "http://nottld/q", "http://z.org/a/b"]
+    captures = spark.createDataFrame([(i, u, datetime.date(2024, 1, 9)) for i, u in enumerate(urls)] + [(99, urls[-1], datetime.date(2024, 2, 9))], "page_id long, url string, fetched date")
+    got = {r.page_id: r.pattern for r in url_lists.evaluate(captures, entries).collect()}
+    assert [got[i] for i in range(len(urls))] == ["x.com/bad", "x.com/bad", None, None, None, "x.com/bad", "y.com", "y.com/Some/page", "y.com", "tld", None, "z.org/a"] and got[99] is None
+
+
 def test_field_adds_what_patterns_miss(spark):
     """Numbers that a fixed pattern reads once and misses at another place of the same text."""
     rng = np.random.default_rng(5)

@@ -6,11 +6,13 @@ other. An empty table stays empty. Columns beyond those of documents pass throug
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm import bpe, mixing, near_dup, quality, secret_scan
-from murmur.llm.common import discard, stored, unused
+from murmur.llm.common import discard, tidied, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        done = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        done = tidied(spark, name.replace(" ", "-"), functools.partial(stage, spark, docs, sf_dir))
         if i:
             discard(docs)
         docs = done

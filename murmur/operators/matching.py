@@ -2,13 +2,17 @@
 
 Every step is a join or an aggregation but the scan of a text, which finds all forms of the index at once. The scan knows
 forms only; which station a form belongs to, which keywords own it and which campaigns own those is joined to its hits.
-An index of more than ``bound`` forms is scanned in several passes of that many forms, each over all texts.
+The forms' automata are a table that executors build (``payloads``); an index of more than ``bound`` forms has several,
+each scanned in a pass over all texts.
 
 Nulls: a text, keyword or value that is null or blank has no matches and no forms; a null station matches no index.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import pickle
 from itertools import chain
 
 import pyarrow as pa
@@ -75,27 +79,56 @@ def entries(keywords: DataFrame, stations: DataFrame) -> DataFrame:
     return rows.groupBy("station_id", "keyword_id").agg(F.min_by("canonical_value", "o").alias("canonical_value"), F.min_by("keyword_type", "o").alias("keyword_type"), F.array_sort(F.collect_set("campaign_id")).alias("campaign_ids"))
 
 
-def scan(docs: DataFrame, forms: list[tuple[str, bool]]) -> DataFrame:
-    """doc_id, station_id, form, matched, start, end, bounded of the places where a document's normal form holds one of the
-    forms. A form marked true counts only between word boundaries. The automaton is shared with each executor once."""
-    import ahocorasick
+PAYLOAD = "shard int, n_forms long, fingerprint string, payload binary"
+
+
+def payloads(forms: DataFrame, bound: int = 100_000) -> DataFrame:
+    """The automata of an index as a table: shard, n_forms, fingerprint (SHA-256 of the forms in order, each with its mark
+    and a null byte), payload. Built by the executors, about ``bound`` forms a shard, and stored like any table, so that
+    the scans of many queries load what one has built. forms: form, whole."""
+    n = forms.count()
+    shards = -(-n // bound) if n else 0
+    shard = F.pmod(F.xxhash64("form"), F.lit(max(shards, 1))).cast("int")
 
-    automaton = ahocorasick.Automaton()
-    for form, whole in forms:
-        automaton.add_word(form, (form, whole))
-    if forms:
+    def build(group: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        known = sorted(zip(group.column("form").to_pylist(), group.column("whole").to_pylist(), strict=True))
+        automaton = ahocorasick.Automaton()
+        for form, whole in known:
+            automaton.add_word(form, (form, whole))
         automaton.make_automaton()
-    shared = docs.sparkSession.sparkContext.broadcast(automaton if forms else None)
+        digest = hashlib.sha256("".join(f"{form}\0{int(whole)}\0" for form, whole in known).encode("utf-8", "surrogatepass")).hexdigest()
+        return pa.table({"shard": group.column("shard")[:1].cast(pa.int32()), "n_forms": [len(known)], "fingerprint": [digest], "payload": [pickle.dumps(automaton)]})
+
+    return forms.filter("form <> ''").withColumn("shard", shard).groupBy("shard").applyInArrow(build, PAYLOAD)
+
+
+@functools.lru_cache(maxsize=4)
+def _loaded(fingerprint: str, payload: bytes):
+    """An automaton, loaded once a worker; one that isn't what its fingerprint says is refused."""
+    automaton = pickle.loads(payload)
+    digest = hashlib.sha256("".join(f"{form}\0{int(whole)}\0" for form, whole in sorted(automaton.values())).encode("utf-8", "surrogatepass")).hexdigest()
+    if digest != fingerprint:
+        raise ValueError(f"the payload's fingerprint is {digest}, not {fingerprint}")
+    return automaton
+
+
+def scan(docs: DataFrame, fingerprint: str, payload: bytes) -> DataFrame:
+    """doc_id, station_id, form, matched, start, end, bounded of the places where a document's normal form holds one of the
+    payload's forms. A form marked true counts only between word boundaries. Each executor gets the payload once."""
+    shared = docs.sparkSession.sparkContext.broadcast(payload)
 
     def run(batches):
-        for batch in batches if shared.value is not None else ():
+        automaton = _loaded(fingerprint, shared.value)
+        for batch in batches:
             at_row, found, matched, starts, ends, bounded = [], [], [], [], [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
                 if not t:
                     continue
                 plain, at = normal_form(t)
                 source = at.tolist()
-                for last, (form, whole) in shared.value.iter(plain):
+                for last, (form, whole) in automaton.iter(plain):
                     a, b = last + 1 - len(form), last + 1
                     between = is_boundary(plain, a) and is_boundary(plain, b)
                     if between or not whole:
@@ -115,54 +148,74 @@ def scan(docs: DataFrame, forms: list[tuple[str, bool]]) -> DataFrame:
     return docs.select("doc_id", "station_id", "text").mapInArrow(run, f"doc_id {kind['doc_id']}, station_id {kind['station_id']}, form string, matched string, start int, end int, bounded boolean")
 
 
-def scanned(docs: DataFrame, forms: DataFrame, bound: int) -> DataFrame:
-    """The hits of each document. forms: form, whole."""
-    known = [(r.form, r.whole) for r in forms.collect()]  # forms, not texts: what users enter
-    found = scan(docs, known[:bound])
-    for first in range(bound, len(known), bound):
-        found = found.unionByName(scan(docs, known[first : first + bound]))
+def scanned(docs: DataFrame, built: DataFrame) -> DataFrame:
+    """The hits of each document. built: payloads, of which the driver holds one at a time, a bounded number of forms."""
+    found = None
+    for shard in sorted(r["shard"] for r in built.select("shard").collect()):
+        one = built.filter(F.col("shard") == shard).head()
+        hits = scan(docs, one["fingerprint"], bytes(one["payload"]))
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        kind = {f.name: f.dataType.simpleString() for f in docs.schema}
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind['doc_id']}, station_id {kind['station_id']}, form string, matched string, start int, end int, bounded boolean")
     return found
 
 
 def emitted(found: DataFrame, terms: DataFrame, owners: DataFrame) -> DataFrame:
-    """Hits joined to their terms, keywords and campaigns, with level and confidence."""
-    of_term = terms.select("station_id", F.col("normalized").alias("term"), "language", F.col("kind").alias("alias_kind"), "requires_boundaries", "keyword_ids")
-    rows = found.join(of_term, ["station_id", "term"]).filter("bounded OR NOT requires_boundaries")
-    rows = rows.withColumn("keyword_id", F.explode("keyword_ids")).join(owners, ["station_id", "keyword_id"])
-    rows = rows.filter(~((F.col("alias_kind") == "translation") & F.col("keyword_type").isin(*STRICT_KINDS)))
+    """Hits with each keyword of their terms, level and confidence: doc_id, station_id, keyword_id, start, end, matched,
+    match_level, confidence, alias_kind, language. What a keyword is called joins at the end; here only its type counts."""
+    of_term = terms.select("station_id", F.col("normalized").alias("term"), "language", F.col("kind").alias("alias_kind"), "requires_boundaries", F.explode("keyword_ids").alias("keyword_id"))
+    typed = of_term.join(owners.select("station_id", "keyword_id", "keyword_type"), ["station_id", "keyword_id"])
+    typed = typed.filter(~((F.col("alias_kind") == "translation") & F.col("keyword_type").isin(*STRICT_KINDS))).drop("keyword_type")
+    rows = found.join(typed, ["station_id", "term"]).filter("bounded OR NOT requires_boundaries")
     level = F.coalesce("level", F.coalesce(F.try_element_at(_map(LEVELS), F.col("alias_kind")), F.lit("alias")))
-    return rows.withColumn("match_level", level).withColumn("confidence", F.element_at(_map(CONFIDENCE), F.col("match_level")))
+    rows = rows.withColumn("match_level", level).withColumn("confidence", F.element_at(_map(CONFIDENCE), F.col("match_level")))
+    return rows.select("doc_id", "station_id", "keyword_id", "start", "end", "matched", "match_level", "confidence", "alias_kind", "language")
 
 
 def without_overlaps(rows: DataFrame) -> DataFrame:
-    """Of a keyword's overlapping matches in one document, the longest stays, then the surest, then the first."""
-    fields = ["start", "end", "matched", "match_level", "confidence", "alias_kind", "language", "canonical_value", "keyword_type", "campaign_ids"]
+    """Of a keyword's overlapping matches in one document, the longest stays, then the surest, then the first. One sort of
+    a document's keyword tells repeats, what overlaps nothing (nearly all), and the groups that hang together; only these
+    are collected, group by group."""
+    fields = ["start", "end", "matched", "match_level", "confidence", "alias_kind", "language"]
+    key = ["doc_id", "station_id", "keyword_id"]
+    order = Window.partitionBy(*key).orderBy("start", F.desc("end"), F.desc("confidence"), "matched", "match_level", F.col("alias_kind").asc_nulls_first(), F.col("language").asc_nulls_first())
+    repeats = F.coalesce((F.lag("start").over(order) == F.col("start")) & (F.lag("end").over(order) == F.col("end")), F.lit(False))
+    single = rows.withColumn("repeats", repeats).filter("NOT repeats").drop("repeats")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = single.withColumn("reach", reach).withColumn("next", F.lead("start").over(order))
+    opens = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))
+    placed = placed.withColumn("opens", opens).withColumn("cluster", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = F.col("opens") & F.coalesce(F.col("next") >= F.col("end"), F.lit(True))
     ranked = F.struct((F.col("start") - F.col("end")).alias("size"), (-F.col("confidence")).alias("doubt"), F.col("start").alias("at"), F.struct(*fields).alias("m"))
-    listed = rows.groupBy("doc_id", "station_id", "keyword_id").agg(F.array_sort(F.collect_set(ranked)).alias("ranked"))
+    listed = placed.filter(~alone).groupBy(*key, "cluster").agg(F.array_sort(F.collect_list(ranked)).alias("ranked"))
     none = F.slice(F.transform("ranked", lambda r: r["m"]), 1, 0)
     apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
-    placed = F.array_sort(F.transform("ranked", lambda r: F.struct(r["m"]["start"], r["m"]["end"])))
-    neighbours = F.zip_with(F.slice(placed, F.lit(1), F.size(placed) - 1), F.slice(placed, F.lit(2), F.size(placed) - 1), lambda a, b: b["start"] < a["end"])
     greedy = F.aggregate(F.transform("ranked", lambda r: r["m"]), none, lambda acc, m: F.when(F.forall(acc, lambda x: apart(x, m)), F.array_append(acc, m)).otherwise(acc))
-    kept = F.when(F.exists(neighbours, lambda x: x), greedy).otherwise(F.transform("ranked", lambda r: r["m"]))  # most have no overlaps
-    return listed.select("doc_id", "station_id", "keyword_id", F.explode(kept).alias("m")).select("doc_id", "station_id", "keyword_id", "m.*")
+    chosen = listed.select(*key, F.explode(greedy).alias("m")).select(*key, "m.*")
+    return placed.filter(alone).select(*key, *fields).unionByName(chosen)
 
 
-def matches(docs: DataFrame, terms: DataFrame, owners: DataFrame, fuzzy: bool = False, bound: int = 100_000) -> DataFrame:
+def matches(docs: DataFrame, terms: DataFrame, owners: DataFrame, fuzzy: bool = False, bound: int = 100_000, built: DataFrame | None = None) -> DataFrame:
     """Every match of a document with its station's index: doc_id, station_id, keyword_id, start, end, matched,
     match_level, confidence, alias_kind, language, canonical_value, keyword_type, campaign_ids. docs: doc_id, station_id,
-    text. With ``fuzzy``, words one edit away from a long term are candidates too."""
-    forms = terms.groupBy(F.col("normalized").alias("form")).agg(F.bool_and("requires_boundaries").alias("whole"))
-    found = scanned(docs, forms, bound)
+    text. built: the stored payloads of the terms, if there are any. With ``fuzzy``, words one edit away from a long term
+    are candidates too."""
+    found = scanned(docs, payloads(forms_of(terms), bound) if built is None else built)
     exact = emitted(found.withColumn("term", F.col("form")).withColumn("level", F.lit(None).cast("string")), terms, owners)
     if fuzzy:
         near = near_words(docs, terms)
         words = near.select(F.col("word").alias("form"), F.lit(True).alias("whole")).distinct()
-        spelt = scanned(docs, words, bound).join(near.withColumnRenamed("word", "form"), "form")
+        spelt = scanned(docs, payloads(words, bound)).join(near.withColumnRenamed("word", "form"), "form")
         known = exact.select("doc_id", "start", "end").distinct()
         more = emitted(spelt.withColumn("level", F.lit("fuzzy")), terms.filter("requires_boundaries"), owners)
         exact = exact.unionByName(more.join(known, ["doc_id", "start", "end"], "left_anti"))
-    return without_overlaps(exact)
+    return without_overlaps(exact).join(owners, ["station_id", "keyword_id"]).select("doc_id", "station_id", "keyword_id", "start", "end", "matched", "match_level", "confidence", "alias_kind", "language", "canonical_value", "keyword_type", "campaign_ids")
+
+
+def forms_of(terms: DataFrame) -> DataFrame:
+    """form, whole: the forms of all stations, one row each."""
+    return terms.groupBy(F.col("normalized").alias("form")).agg(F.bool_and("requires_boundaries").alias("whole"))
 
 
 def one_left_out(word: Column) -> Column:

@@ -38,9 +38,9 @@ def keywords(v: Views) -> DataFrame:
 def stations(v: Views) -> DataFrame:
     """Every source is a station of about half of the campaigns, by digest."""
     sources = v.table("documents").select(F.col("source").alias("station_id")).distinct()
-    every = keywords(v).select("campaign_id").distinct()
     mine = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("station_id"), F.col("campaign_id").cast("string"))), 1, 4), 16, 10).cast("int") % 2 == 0
-    return every.join(F.broadcast(sources), mine)  # a row for each source and campaign: both are few
+    numbers = F.array(*[F.lit(c).cast("long") for c in (*range(6), *range(10, 14))])  # those that keywords() gives out
+    return sources.select(F.explode(numbers).alias("campaign_id"), "station_id").filter(mine).join(keywords(v).select("campaign_id").distinct(), "campaign_id", "left_semi")
 
 
 def _index(v: Views) -> tuple[DataFrame, DataFrame]:

@@ -116,6 +116,93 @@ def test_against_a_plain_matcher(spark):
     assert few == sum(want.values())
 
 
+def test_reports_of_matches(spark):
+    """What is made of matches, against plain counts over them."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    docs, found = plans.transcripts(v).collect(), plans.keyword_matches(v).collect()
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r.doc_id].append(r)
+    want = {d.doc_id: (len(plain_form(d.text or "")[0]), len(m := by[d.doc_id]), sum(r.match_level not in matching.UNCONFIRMED for r in m), sorted({r.keyword_id for r in m}) or None, sorted({c for r in m for c in r.campaign_ids}) or None) for d in docs}
+    got = {r.doc_id: (r.scanned_characters, r.n_matches, r.n_confirmed, r.keyword_ids, r.campaign_ids) for r in plans.match_report(v).collect()}
+    assert got == want
+    assert all(r.n_candidates == r.n_matches - r.n_confirmed for r in plans.match_report(v).limit(50).collect())
+    best = {}
+    for r in sorted(found, key=lambda r: (-r.confidence, r.start)):
+        best.setdefault((r.doc_id, r.keyword_id), (r.start, r.matched, r.confidence))
+    assert {(r.doc_id, r.keyword_id): (r.start, r.matched, r.confidence) for r in plans.best_matches(v).collect()} == best
+    text_of, times = {d.doc_id: d.text or "" for d in docs}, set()
+    for r in found:
+        at, over = 0, []
+        for line in text_of[r.doc_id].split("\n"):
+            if r.start < at + len(line) and at < r.end:
+                over.append((at * 80, (at + len(line)) * 80))
+            at += len(line) + 1
+        times.add((r.doc_id, r.keyword_id, r.start, r.end, min((a for a, _ in over), default=None), max((b for _, b in over), default=None)))
+    assert {tuple(r) for r in plans.timed_matches(v).collect()} == times and len(times) == len(found)
+
+
+def test_hints_and_prompts_of_stations(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    words, bound = plans.keywords(v).collect(), collections.defaultdict(set)
+    for s in plans.stations(v).collect():
+        bound[s.campaign_id].add(s.station_id)
+    forms = []  # in index order: canonical value, keyword, campaign, place
+    for k in words:
+        seen = {k.canonical_value.casefold()}
+        own = [(k.canonical_value, None)]
+        for a in json.loads(k.aliases):
+            a = {"value": a} if isinstance(a, str) else a
+            value = (a.get("value") or "").strip()
+            if value and value.casefold() not in seen:
+                seen.add(value.casefold())
+                own.append((value, (a.get("language") or "").strip().lower() or None))
+        forms += [((k.canonical_value.casefold(), k.keyword_id, k.campaign_id, i), k.campaign_id, value, language) for i, (value, language) in enumerate(own)]
+    spoken = collections.defaultdict(dict)
+    for d in v.table("documents").orderBy("doc_id").collect():
+        if d.lang:
+            spoken[d.source].setdefault(d.lang.strip().lower(), None)
+    hints, prompts = {}, {}
+    for s in {x for b in bound.values() for x in b}:
+        mine = sorted(f for f in forms if s in bound[f[1]])
+        hints[s] = list(dict.fromkeys([*spoken[s], *(f[3] for f in mine if f[3])]))[:8]
+        parts, seen = [], set()
+        for _, _, value, _ in mine:
+            marker = plain_form(value.strip())[0]
+            if marker and marker not in seen and len(value.strip()) <= 60:
+                seen.add(marker)
+                if len(", ".join([*parts, value.strip()])) > 400:
+                    break
+                parts.append(value.strip())
+        prompts[s] = ", ".join(parts)
+    got = collections.defaultdict(dict)
+    for r in plans.station_hints(v).collect():
+        got[r.station_id][r.hint] = r.language
+    assert {s: [h[i] for i in sorted(h)] for s, h in got.items() if s in hints} == hints
+    assert {r.station_id: r.prompt for r in plans.station_prompts(v).collect()} == prompts
+
+
+def test_payloads_round_trip(spark, tmp_path):
+    """Automata built once, stored and loaded give the same hits; a payload that was changed is refused."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    terms, owners = plans._index(v)
+    forms = matching.forms_of(terms)
+    matching.payloads(forms, bound=300).write.parquet(f"{tmp_path}/index")
+    built = spark.read.parquet(f"{tmp_path}/index")
+    assert built.count() > 1 and built.agg({"n_forms": "sum"}).head()[0] == forms.count()
+    key = lambda df: sorted((r.doc_id, r.keyword_id, r.start, r.end, r.match_level) for r in df.collect())
+    assert key(matching.matches(plans.transcripts(v), terms, owners, built=built)) == key(plans.keyword_matches(v))
+    again = {r.shard: r.fingerprint for r in matching.payloads(forms, bound=300).collect()}
+    assert {r.shard: r.fingerprint for r in built.collect()} == again
+    from pyspark.sql import functions as F
+
+    swapped = built.withColumn("fingerprint", F.reverse("fingerprint"))
+    with pytest.raises(Exception, match="fingerprint is"):
+        matching.scanned(plans.transcripts(v), swapped).count()
+    none = spark.createDataFrame([], terms.schema)
+    assert matching.matches(plans.transcripts(v), none, owners).count() == 0
+
+
 def small(spark, keywords, docs, fuzzy=False):
     rows = [(c, k, value, kind, mode, json.dumps(aliases)) for c, k, value, kind, mode, aliases in keywords]
     words = spark.createDataFrame(rows, "campaign_id long, keyword_id long, canonical_value string, keyword_type string, match_mode string, aliases string")

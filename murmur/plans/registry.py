@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from murmur.functions import content
 from murmur.operators import mentions, planning, reports, sessions, tables
 from murmur.operators.matching import one_left_out
-from murmur.plans import audio, catalogue, config, feed, ingest, matching, records, transcripts, work
+from murmur.plans import audio, catalogue, changes, config, feed, ingest, matching, records, transcripts, work
 from murmur.sources.documents import parsed
 from murmur.sources import mention_tables
 from murmur.sources.storage import new_path
@@ -271,7 +271,7 @@ WHERE ((disposition = 'disposable' AND age_s > 600 AND job_status = 'succeeded')
 }
 
 
-for _module in (audio, config, matching, feed, records, transcripts, ingest, catalogue, work):
+for _module in (audio, config, matching, feed, records, transcripts, ingest, catalogue, work, changes):
     QUERIES |= _module.QUERIES
 
 

@@ -513,6 +513,21 @@ def test_licenses(docs, odd, spark):
         assert license_rows(df) == collections.Counter((r.doc_id, *m) for r in df.collect() for m in brute_licenses(r.text))
 
 
+def test_long_license_texts(spark):
+    """1,500 notices in one text, and 100,000 words with one: each found, in seconds."""
+    import time
+
+    notice = licenses.NOTICES["GPL-3.0"]
+    rng = np.random.default_rng(2)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (3000, 5))]
+    texts = [(1, f"{notice} " * 1_500), (2, " ".join(rng.choice(words, 100_000)) + " " + notice)]
+    licenses.matches(spark.createDataFrame([(0, notice)], "doc_id long, text string")).collect()
+    for (doc, text), n in zip(texts, (1_500, 1), strict=True):
+        began = time.time()
+        rows = licenses.matches(spark.createDataFrame([(doc, text)], "doc_id long, text string")).collect()
+        assert len(rows) == n and all(r.dice == 1 for r in rows) and time.time() - began < 60
+
+
 PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 

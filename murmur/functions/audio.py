@@ -43,35 +43,60 @@ def signals(pcm: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([window_signals(b) for b in pcm], columns=SIGNALS.names)
 
 
-def ramp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+# For each measure, where its evidence begins and is full, and its weight for speech and for music. For
+# music, all but the loudness count by what is missing to full evidence.
+EVIDENCE = {
+    "low_energy_ratio": (*LOW_ENERGY, 0.45, 0.4),
+    "zcr_variance": (0.4 * ZCR_VARIANCE, ZCR_VARIANCE, 0.3, 0.25),
+    "energy_variance": (0.4 * ENERGY_VARIANCE, ENERGY_VARIANCE, 0.25, 0.25),
+    "mean_dbfs": (*LOUDNESS, 0.0, 0.1),
+}
+# A score counts from here on; the share of a voice's vote in the score of speech; and for each class the
+# largest certainty, the certainty that it begins with, and what a unit of its measure adds.
+COUNTS, VOTE = 0.5, 0.4
+CERTAINTY = {"silence": (0.99, 0.6, 0.4), "speech_over_music": (0.9, 0.45, 1.0), "speech": (0.95, 0.5, 0.5), "singing": (0.8, 0.4, 0.5), "music": (0.9, 0.45, 0.5)}
+
+
+def _scores(voice: str | None) -> dict[str, Column]:
+    """speech_score and music_score: weighted evidence of the measures."""
+    speech, music = F.lit(0.0), F.lit(0.0)
+    for measure, (begins, full, for_speech, for_music) in EVIDENCE.items():
+        share = F.least(F.greatest((F.col(measure) - begins) / (full - begins), F.lit(0.0)), F.lit(1.0))
+        speech = speech + for_speech * share
+        music = music + for_music * (share if measure == "mean_dbfs" else 1 - share)
+    if voice:
+        heard = (F.col(voice) >= VOICE).cast("double")
+        speech = F.when(F.col(voice).isNull(), speech).otherwise((1 - VOTE) * speech + VOTE * heard)
+    return {"speech_score": speech, "music_score": music}
+
+
+def _first_that_holds(rules: list[tuple[Column, str, Column]], otherwise: Column) -> Column:
+    """kind and sure of the first rule (condition, class, measure) that holds; sure by the class's certainty."""
+    out = F.struct(F.lit("unknown").alias("kind"), otherwise.alias("sure"))
+    for holds, kind, measure in reversed(rules):
+        most, base, slope = CERTAINTY.get(kind, (0.0, 0.0, 0.0))
+        out = F.when(holds, F.struct(F.lit(kind).alias("kind"), F.least(F.lit(most), base + slope * measure).alias("sure"))).otherwise(out)
+    return out
 
 
 def classified(windows: DataFrame, pcm: str = "pcm", voice: str | None = None) -> DataFrame:
     """Windows with their measures, audio_class and confidence. ``voice``: a column with the probability of a voice."""
-    rows = windows.withColumn("s", signals(F.coalesce(F.col(pcm), F.lit(b"")))).select("*", "s.*").drop("s")
-    pauses, swing, envelope = ramp(F.col("low_energy_ratio"), *LOW_ENERGY), ramp(F.col("zcr_variance"), 0.4 * ZCR_VARIANCE, ZCR_VARIANCE), ramp(F.col("energy_variance"), 0.4 * ENERGY_VARIANCE, ENERGY_VARIANCE)
+    rows = windows.withColumn("s", signals(F.coalesce(F.col(pcm), F.lit(b"")))).select("*", "s.*").drop("s").withColumns(_scores(voice))
     vote = F.coalesce(F.col(voice) >= VOICE, F.lit(False)) if voice else F.lit(False)
-    speech = 0.45 * pauses + 0.3 * swing + 0.25 * envelope
-    if voice:
-        speech = F.when(F.col(voice).isNotNull(), 0.6 * speech + 0.4 * vote.cast("double")).otherwise(speech)
-    rows = rows.withColumns({"speech_score": speech, "music_score": 0.4 * (1 - pauses) + 0.25 * (1 - swing) + 0.25 * (1 - envelope) + 0.1 * ramp(F.col("mean_dbfs"), *LOUDNESS)})
-    musical = F.col("music_score") >= 0.5
-    speechy = (F.col("speech_score") >= 0.5) | (musical & ((F.col("speech_score") >= FLOOR) | vote))
-    margin = F.abs(F.col("speech_score") - F.col("music_score"))
-    voiced = vote | (F.col("zcr_variance") >= 0.5 * ZCR_VARIANCE)
-    answer = lambda kind, sure: F.struct(F.lit(kind).alias("kind"), sure.alias("sure"))
-    capped = lambda most, value: F.least(F.lit(most), value)
-    decided = (
-        F.when(F.col("frame_count") == 0, answer("unknown", F.lit(0.0)))
-        .when((F.col("silence_ratio") >= 0.95) | (F.col("peak_dbfs") <= SILENT), answer("silence", capped(0.99, 0.6 + 0.4 * F.col("silence_ratio"))))
-        .when(speechy & musical, answer("speech_over_music", capped(0.9, 0.45 + margin)))
-        .when(speechy, answer("speech", capped(0.95, 0.5 + F.col("speech_score") / 2)))
-        .when(musical & voiced, answer("singing", capped(0.8, 0.4 + F.col("music_score") / 2)))
-        .when(musical, answer("music", capped(0.9, 0.45 + F.col("music_score") / 2)))
-        .otherwise(answer("unknown", F.greatest(F.lit(0.1), 0.5 - margin)))
-    )
-    return rows.withColumn("d", decided).withColumns({"audio_class": F.col("d.kind"), "confidence": F.col("d.sure")}).drop("d")
+    talk, tune = F.col("speech_score"), F.col("music_score")
+    has_music, apart = tune >= COUNTS, F.abs(talk - tune)
+    has_speech = (talk >= COUNTS) | (has_music & ((talk >= FLOOR) | vote))
+    still = (F.col("silence_ratio") >= 0.95) | (F.col("peak_dbfs") <= SILENT)
+    rules = [
+        (F.col("frame_count") == 0, "unknown", F.lit(0.0)),
+        (still, "silence", F.col("silence_ratio")),
+        (has_speech & has_music, "speech_over_music", apart),
+        (has_speech, "speech", talk),
+        (has_music & (vote | (F.col("zcr_variance") >= ZCR_VARIANCE / 2)), "singing", tune),
+        (has_music, "music", tune),
+    ]
+    decided = rows.withColumn("d", _first_that_holds(rules, F.greatest(F.lit(0.1), 0.5 - apart)))
+    return decided.withColumns({"audio_class": F.col("d.kind"), "confidence": F.col("d.sure")}).drop("d")
 
 
 def wav(pcm: Column, rate: int = RATE) -> Column:

@@ -38,7 +38,7 @@ def merged_catalogue(rows: DataFrame, overrides: DataFrame, deletions: DataFrame
 
 
 def distinct_word_ratio(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     return F.struct(F.size(words).cast("long").alias("n_words"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
 

@@ -258,7 +258,7 @@ WHERE a.class = 'purchase' GROUP BY a.segment_id, a.station_id""")),
     "deletable_segments": (deletable_segments, _with("""SELECT segment_id, disposition, age_s FROM (SELECT segment_id, CASE class WHEN 'view' THEN 'disposable' WHEN 'click' THEN 'failed' ELSE 'retained' END AS disposition, segment_id * 37 % 100000 AS age_s FROM segments) s LEFT JOIN (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'running' END AS job_status FROM orders) j ON j.o_orderkey = s.segment_id
 WHERE ((disposition = 'disposable' AND age_s > 600 AND job_status = 'succeeded') OR (disposition = 'failed' AND age_s > 86400)) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.segment_id)""")),
     "merged_catalogue": (merged_catalogue, "SELECT host, page_id, CASE WHEN ends_with(host, '.org') THEN upper(host) ELSE host END AS name FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) WHERE NOT starts_with(host, 'm.')"),
-    "repetition_loops": (repetition_loops, "SELECT doc_id, n_words, n_distinct, n_words >= 12 AND n_distinct < 0.2 * n_words AS loops FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents))"),
+    "repetition_loops": (repetition_loops, "SELECT doc_id, n_words, n_distinct, n_words >= 12 AND n_distinct < 0.2 * n_words AS loops FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents))"),
     "reference_buckets": (reference_buckets, _with("SELECT count(*) AS stations, count(*) FILTER (n > 1) AS shared, max(n) AS most, CAST(sum(b) AS BIGINT) AS bindings FROM (SELECT count(DISTINCT campaign_id) AS n, count(*) AS b FROM bound GROUP BY station_id)", BOUND)),
     "untracked_mentions": (untracked_mentions, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "ranked_stations": (ranked_stations, "SELECT country, s_suppkey, s_acctbal, rank FROM (SELECT n_name AS country, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier JOIN nation ON n_nationkey = s_nationkey) WHERE rank <= 3"),

@@ -66,7 +66,26 @@ def intact(stored: DataFrame) -> DataFrame:
 def clips(parts: DataFrame, spans: DataFrame, per_ms: Column) -> DataFrame:
     """The bytes of each clip, its parts in order, where they cover nine tenths of its span or more. A clip's parts are
     bounded by its span. parts: clip_id, place, bytes; spans: clip_id, span_ms; per_ms: bytes of a millisecond."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "bytes"))), lambda p: p["bytes"])
-    whole = parts.groupBy("clip_id").agg(listed.alias("parts"), F.sum(F.octet_length("bytes")).alias("size")).join(spans, "clip_id")
-    enough = F.col("size") >= WHOLE * F.col("span_ms") * per_ms
-    return whole.filter(enough).select("clip_id", F.aggregate("parts", F.lit(b""), lambda acc, b: F.concat(acc, b)).alias("bytes"), F.size("parts").cast("long").alias("n_parts"))
+    joined = F.expr("listagg(bytes) WITHIN GROUP (ORDER BY place)")
+    whole = parts.groupBy("clip_id").agg(joined.alias("bytes"), F.count("*").alias("n_parts")).join(spans, "clip_id")
+    enough = F.octet_length("bytes") >= WHOLE * F.col("span_ms") * per_ms
+    return whole.filter(enough).select("clip_id", "bytes", "n_parts")
+
+
+def evidence(mentions: DataFrame, transcripts: DataFrame, segments: DataFrame) -> DataFrame:
+    """mention_id, basis, segment_ids (the oldest first) of the audio that shows each mention: its conversation's segments
+    that aren't deleted (``conversation``); where there is none, its transcript's own segment, if that covers nine tenths
+    of the mention's span or no span is known (``transcript``); a segment that covers less is refused (``partial``), and
+    without any there is none (``missing``). mentions: mention_id, conversation_id, transcript_id, span_ms; transcripts:
+    transcript_id, conversation_id, segment_id; segments: segment_id, started_at, duration_ms, disposition."""
+    held = segments.filter(F.coalesce("disposition", F.lit("")) != "deleted").select("segment_id", "started_at", "duration_ms")
+    known = transcripts.join(held, "segment_id")
+    in_order = F.transform(F.array_sort(F.collect_set(F.struct("started_at", "segment_id"))), lambda x: x["segment_id"])
+    whole = known.filter("conversation_id IS NOT NULL").groupBy("conversation_id").agg(in_order.alias("all_ids"))
+    last = known.groupBy("transcript_id").agg(F.min_by("segment_id", F.struct("started_at", "segment_id")).alias("last_id"), F.min_by("duration_ms", F.struct("started_at", "segment_id")).alias("last_ms"))
+    both = mentions.join(whole, "conversation_id", "left").join(last, "transcript_id", "left")
+    span = F.when(F.col("span_ms") > 0, F.col("span_ms"))
+    covers = span.isNull() | (F.coalesce(F.nullif("last_ms", F.lit(0)), F.lit(0)) >= WHOLE * span)
+    basis = F.when(F.col("all_ids").isNotNull(), "conversation").when(F.col("last_id").isNull(), "missing").when(covers, "transcript").otherwise("partial")
+    none = F.array().cast(both.schema["all_ids"].dataType)
+    return both.select("mention_id", basis.alias("basis"), F.when(basis == "conversation", F.col("all_ids")).when(basis == "transcript", F.array("last_id")).otherwise(none).alias("segment_ids"))

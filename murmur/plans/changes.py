@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmur.operators import audio as media
 from murmur.operators import changes, ingest, tables
 from murmur.sources import objects
 from murmur.sources.views import Views
@@ -201,7 +202,27 @@ def audit_keys(v: Views) -> DataFrame:
     return objects.audit_documents(scans).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def chosen_evidence(v: Views) -> DataFrame:
+    """Lines are transcripts of orders as conversations; parts are segments of some seconds. Of every fifth order the
+    transcripts were never stamped, so its mention knows its own transcript only."""
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    transcripts = v.table("lineitem").select(line.alias("transcript_id"), F.when(F.col("l_orderkey") % 5 != 0, F.col("l_orderkey")).alias("conversation_id"), F.col("l_partkey").alias("segment_id"))
+    segments = v.table("part").select(F.col("p_partkey").alias("segment_id"), F.col("p_retailprice").alias("started_at"), F.col("p_size").alias("duration_ms"), F.when(F.col("p_partkey") % 3 == 0, "deleted").alias("disposition"))
+    mentions = v.table("orders").select(F.col("o_orderkey").alias("mention_id"), F.col("o_orderkey").alias("conversation_id"), (F.col("o_orderkey") * 10 + 1).alias("transcript_id"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey") % 60).alias("span_ms"))
+    got = media.evidence(mentions, transcripts, segments)
+    return got.select("mention_id", "basis", F.array_join("segment_ids", ",").alias("segments"))
+
+
+EVIDENCE_SQL = """
+WITH t AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS tid, l_orderkey AS k, l_partkey AS sid, p_retailprice AS t0, p_size AS ms FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 3 <> 0),
+whole AS (SELECT k, string_agg(sid, ',' ORDER BY t0, sid) AS ids FROM (SELECT DISTINCT k, sid, t0 FROM t WHERE k % 5 <> 0) GROUP BY k),
+own AS (SELECT tid, arg_min(sid, (t0, sid)) AS sid, arg_min(ms, (t0, sid)) AS ms FROM t GROUP BY tid),
+m AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 <> 0 AND o_custkey % 60 > 0 THEN o_custkey % 60 END AS span FROM orders)
+SELECT m.k AS mention_id, CASE WHEN ids IS NOT NULL THEN 'conversation' WHEN sid IS NULL THEN 'missing' WHEN span IS NULL OR ms >= 0.9 * span THEN 'transcript' ELSE 'partial' END AS basis,
+coalesce(ids, CASE WHEN span IS NULL OR ms >= 0.9 * span THEN CAST(sid AS VARCHAR) END, '') AS segments FROM m LEFT JOIN whole USING (k) LEFT JOIN own ON tid = m.k * 10 + 1"""
+
 QUERIES = {
+    "chosen_evidence": (chosen_evidence, EVIDENCE_SQL),
     "created_campaigns": (created_campaigns, f"WITH {CREATED} SELECT * FROM olds UNION ALL SELECT campaign_id, name, 'active', TIMESTAMP '2024-01-01' FROM news"),
     "created_children": (created_children, f"""WITH {CREATED}, bound AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS campaign_id, l_suppkey AS station_id FROM lineitem UNION ALL SELECT DISTINCT campaign_id, unnest([c_custkey % 10, c_custkey % 5]) FROM news)
 SELECT campaign_id, count(*) AS n_stations, min(station_id) AS first_station, CASE WHEN max(n.name) IS NOT NULL THEN 2 END AS n_keywords, max(n.c_mktsegment) || ' 1' AS first_value, CASE WHEN max(n.name) IS NOT NULL THEN 2 END AS n_ids, (SELECT CAST(max(n_nationkey) + 1 AS BIGINT) FROM nation) AS revision FROM bound LEFT JOIN news n USING (campaign_id) GROUP BY campaign_id"""),

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from test_operators import FOLDER, ODD, SCHEMA, WORD
 
-from murmur.llm import alignment, periodic_runs, queries, sharding
+from murmur.llm import alignment, periodic_runs, queries, secret_scan, sharding, spot_signatures, url_lists
 
 
 @pytest.fixture(autouse=True)
@@ -266,7 +266,15 @@ def test_tables_left_behind(spark):
 
     root = shared_root(spark).removeprefix("file:")
     docs = spark.createDataFrame(ODD, SCHEMA)
-    for name, build in (("shards", lambda: sharding.shard(docs)), ("alignment", lambda: alignment.align(docs, public_tokenizers.path(alignment.VOCAB_A), public_tokenizers.path(alignment.VOCAB_B)))):
+    pages = spark.createDataFrame([(1, "http://a.b.org/c", "")], "page_id long, url string, html string")
+    builds = {
+        "shards": lambda: sharding.shard(docs),
+        "alignment": lambda: alignment.align(docs, public_tokenizers.path(alignment.VOCAB_A), public_tokenizers.path(alignment.VOCAB_B)),
+        "secret-spans": lambda: secret_scan.scan(docs),
+        "judged-captures": lambda: url_lists.evaluate(url_lists.dated_captures(pages), url_lists.dated_entries(pages)),
+        "spot-links": lambda: spot_signatures.linked(docs),
+    }
+    for name, build in builds.items():
         before = set(os.listdir(root)) if os.path.isdir(root) else set()
         build()
         assert [x.rpartition("-")[0] for x in set(os.listdir(root)) - before] == [name]

@@ -513,6 +513,17 @@ def test_licenses(docs, odd, spark):
         assert license_rows(df) == collections.Counter((r.doc_id, *m) for r in df.collect() for m in brute_licenses(r.text))
 
 
+def test_adjacent_and_equal_license_windows(spark):
+    """Notices without a word between them, and two templates of the same words: the brute force's choice, in one text."""
+    gpl2, gpl3 = licenses.NOTICES["GPL-2.0"], licenses.NOTICES["GPL-3.0"]
+    text = " ".join([gpl3, gpl3, gpl2, "or", gpl3, gpl2, gpl2, licenses.TEMPLATES["ISC/text"], gpl3] * 12)
+    df = spark.createDataFrame([(1, text), (1, text), (2, gpl2)], "doc_id long, text string")
+    assert license_rows(df) == collections.Counter((r.doc_id, *m) for r in df.collect() for m in brute_licenses(r.text))
+    twins = {"One/notice": gpl3, "Two/notice": gpl3}
+    rows = licenses.matches(df.filter("doc_id = 1").limit(1), twins).collect()
+    assert {r.license for r in rows} == {"One"} and len({r.start for r in rows}) == len(rows)
+
+
 def test_long_license_texts(spark):
     """1,500 notices in one text, and 100,000 words with one: each found, in seconds."""
     import time

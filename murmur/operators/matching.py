@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions.text import boundaries, is_boundary, keys, normal_form, variants
 from murmur.operators import intervals
+from murmur.sources import storage
 
 # Levels by alias kind, confidence by level, levels that need confirmation, kinds that no translation matches.
 LEVELS = {"canonical": "exact", "native_script": "alias", "abbreviation": "alias", "asr_variant": "alias", "translation": "alias", "romanization": "transliteration", "phonetic": "phonetic"}
@@ -114,6 +115,13 @@ def _loaded(fingerprint: str, payload: bytes):
     return automaton
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores are dealt to all cores: a small table is often one row group, which one
+    task would read and scan. Larger tables stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def scan(docs: DataFrame, fingerprint: str, payload: bytes) -> DataFrame:
     """doc_id, station_id, form, matched, start, end, bounded of the places where a document's normal form holds one of the
     payload's forms. A form marked true counts only between word boundaries. Each executor gets the payload once."""
@@ -145,7 +153,7 @@ def scan(docs: DataFrame, fingerprint: str, payload: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, *rest], names=["doc_id", "station_id", "form", "matched", "start", "end", "bounded"])
 
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select("doc_id", "station_id", "text").mapInArrow(run, f"doc_id {kind['doc_id']}, station_id {kind['station_id']}, form string, matched string, start int, end int, bounded boolean")
+    return dealt(docs.select("doc_id", "station_id", "text")).mapInArrow(run, f"doc_id {kind['doc_id']}, station_id {kind['station_id']}, form string, matched string, start int, end int, bounded boolean")
 
 
 def scanned(docs: DataFrame, built: DataFrame) -> DataFrame:
@@ -161,6 +169,19 @@ def scanned(docs: DataFrame, built: DataFrame) -> DataFrame:
     return found
 
 
+def scanned_for(docs: DataFrame, forms: DataFrame, bound: int) -> DataFrame:
+    """The hits of forms whose automata aren't stored yet. Forms and automata are stored on the way, so that each is worked
+    out once, and deleted when the scans hold what they need."""
+    spark = docs.sparkSession
+    at = storage.new_path(spark, "index")
+    try:
+        forms.write.parquet(f"{at}/forms")
+        payloads(spark.read.parquet(f"{at}/forms"), bound).write.parquet(f"{at}/payloads")
+        return scanned(docs, spark.read.parquet(f"{at}/payloads"))
+    finally:
+        storage.delete(spark, at)
+
+
 def emitted(found: DataFrame, terms: DataFrame, owners: DataFrame) -> DataFrame:
     """Hits with each keyword of their terms, level and confidence: doc_id, station_id, keyword_id, start, end, matched,
     match_level, confidence, alias_kind, language. What a keyword is called joins at the end; here only its type counts."""
@@ -201,12 +222,12 @@ def matches(docs: DataFrame, terms: DataFrame, owners: DataFrame, fuzzy: bool =
     match_level, confidence, alias_kind, language, canonical_value, keyword_type, campaign_ids. docs: doc_id, station_id,
     text. built: the stored payloads of the terms, if there are any. With ``fuzzy``, words one edit away from a long term
     are candidates too."""
-    found = scanned(docs, payloads(forms_of(terms), bound) if built is None else built)
+    found = scanned_for(docs, forms_of(terms), bound) if built is None else scanned(docs, built)
     exact = emitted(found.withColumn("term", F.col("form")).withColumn("level", F.lit(None).cast("string")), terms, owners)
     if fuzzy:
         near = near_words(docs, terms)
         words = near.select(F.col("word").alias("form"), F.lit(True).alias("whole")).distinct()
-        spelt = scanned(docs, payloads(words, bound)).join(near.withColumnRenamed("word", "form"), "form")
+        spelt = scanned_for(docs, words, bound).join(near.withColumnRenamed("word", "form"), "form")
         known = exact.select("doc_id", "start", "end").distinct()
         more = emitted(spelt.withColumn("level", F.lit("fuzzy")), terms.filter("requires_boundaries"), owners)
         exact = exact.unionByName(more.join(known, ["doc_id", "start", "end"], "left_anti"))

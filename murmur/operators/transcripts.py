@@ -6,7 +6,8 @@ Nulls: an object without key or time is in no group; a document without times be
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,46 +49,96 @@ def sessions(docs: DataFrame, gap_s: float = GAP_S) -> DataFrame:
     return docs.filter("started_at IS NOT NULL AND ended_at IS NOT NULL").withColumn("opens", F.coalesce((pause > gap_s).cast("long"), F.lit(0))).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
 
 
+def limits(docs: DataFrame, anchors: DataFrame, gap_s: float = GAP_S, span_s: float = SPAN_S) -> DataFrame:
+    """One row an anchor: station_id, anchor, lo, hi (places among the station's documents in order, of the first and last
+    of its session), n, first_key (the smallest), last_at (the latest end). Within its contiguous run the session grows to
+    the left as far as the span allows, then to the right. A task passes over its stations' documents in order, many runs
+    at a time; it holds one run whole. docs: station_id, key, started_at, ended_at; anchors: key."""
+    order = Window.partitionBy("station_id").orderBy("started_at", "key")
+    marked = docs.filter("station_id IS NOT NULL").join(anchors.select("key", F.lit(True).alias("is_anchor")).distinct(), "key", "left")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    placed = _placed(sessions(marked.repartition("station_id"), gap_s))
+    opens = F.col("run") != F.coalesce(F.lag("run").over(order), F.lit(-1))
+    columns = ["station_id", "place", "key", F.col("ended_at").alias("last_at"), micros("started_at").alias("s"), micros("ended_at").alias("e"), opens.alias("opens"), F.col("is_anchor").isNotNull().alias("is_anchor")]
+    rows = placed.select(*columns).sortWithinPartitions("station_id", "place")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(_limits(round(span_s * 1_000_000)), f"station_id {kinds['station_id']}, anchor {kinds['key']}, lo long, hi long, n long, first_key {kinds['key']}, last_at {kinds['last_at']}")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    order = Window.partitionBy("station_id").orderBy("started_at", "key")
+    return docs.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def around(docs: DataFrame, anchors: DataFrame, gap_s: float = GAP_S, span_s: float = SPAN_S) -> DataFrame:
-    """The session of each anchor: within its contiguous run it grows to the left as far as the span allows, then to the
-    right. anchors: key. The two limits follow from the run alone and are found for all its anchors at once; only the
-    documents of a session are joined to its anchor. A station's run is sorted in one task."""
-    placed = sessions(docs, gap_s).withColumns({"s": seconds(F.col("started_at")), "e": seconds(F.col("ended_at"))})
-    order = Window.partitionBy("station_id", "run").orderBy("started_at", "key")
-    marked = placed.withColumn("place", F.row_number().over(order)).join(anchors.select("key", F.lit(True).alias("is_anchor")).distinct(), "key", "left")
-    kinds = {f.name: f.dataType.simpleString() for f in marked.schema}
-    limits = marked.select("station_id", "run", "place", "key", "s", "e", "is_anchor").groupBy("station_id", "run").applyInPandas(_limits(span_s), f"station_id {kinds['station_id']}, run long, anchor {kinds['key']}, lo long, hi long")
-    every = limits.withColumn("place", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
-    return every.join(marked.withColumn("place", F.col("place").cast("long")), ["station_id", "run", "place"]).select("anchor", "station_id", "key", "started_at", "ended_at")
-
-
-def _limits(span_s: float):
-    """First and last place of each anchor's session in one run, all anchors of the run at once: leftwards the starts are
-    in order, so a binary search tells; rightwards steps of halving length pass over stretches that end early enough."""
-
-    def of(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("place")
-        s, e = run["s"].to_numpy(), run["e"].to_numpy()
-        at = np.flatnonzero(run["is_anchor"].notna().to_numpy())
-        lo = np.minimum(np.searchsorted(s, e[at] - span_s, side="left"), at)
-        while True:  # the sum above may round otherwise than the difference that the rule asks for
-            near = (lo > 0) & (e[at] - s[np.maximum(lo - 1, 0)] <= span_s)
-            far = (lo < at) & (e[at] - s[lo] > span_s)
-            if not (near | far).any():
-                break
-            lo = lo - near + far
-        tops = [e]  # tops[k][i]: the latest end among 2**k documents from i on
-        while 2 ** len(tops) <= len(e):
-            half = 2 ** (len(tops) - 1)
-            tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]))
-        stop = at + 1
-        for k in range(len(tops) - 1, -1, -1):
-            inside = stop + 2**k <= len(e)
-            step = inside & (tops[k][np.where(inside, stop, 0)] - s[lo] <= span_s)
-            stop = stop + 2**k * step
-        return pd.DataFrame({"station_id": run["station_id"].iloc[0], "run": run["run"].iloc[0], "anchor": run["key"].to_numpy()[at], "lo": lo + 1, "hi": stop})
-
-    return of
+    """The documents of each anchor's session (``limits``): anchor, station_id, key, started_at, ended_at."""
+    every = limits(docs, anchors, gap_s, span_s).select("station_id", "anchor", F.explode(F.sequence("lo", "hi")).alias("place"))
+    placed = _placed(docs.filter("started_at IS NOT NULL AND ended_at IS NOT NULL"))
+    return every.join(placed, ["station_id", "place"]).select("anchor", "station_id", "key", "started_at", "ended_at")
+
+
+def _limits(span_us: int):
+    """Both limits of all anchors of the runs at hand by steps of halving length: leftwards the starts are in order;
+    rightwards a step passes over a stretch whose latest end is early enough."""
+
+    def firsts(rank: np.ndarray, longest: int) -> list[np.ndarray]:
+        """tables[k][i]: which of the 2**k documents from i on has the smallest rank (the first of equals)."""
+        tables = [np.arange(len(rank), dtype=np.int32)]
+        while 2 ** len(tables) <= longest:
+            half = 2 ** (len(tables) - 1)
+            a, b = tables[-1][:-half], tables[-1][half:]
+            tables.append(np.where(rank[b] < rank[a], b, a))
+        return tables
+
+    def least(tables: list[np.ndarray], rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which document of each [lo, hi) has the smallest rank: the better of two stretches that cover it."""
+        size = np.frexp(hi - lo)[1] - 1
+        best = np.empty(len(lo), np.int64)
+        for k in np.unique(size):
+            at = size == k
+            a, b = tables[k][lo[at]], tables[k][hi[at] - 2**k]
+            best[at] = np.where(rank[b] < rank[a], b, a)
+        return best
+
+    def of(runs: pa.Table) -> pa.RecordBatch:
+        runs = runs.combine_chunks()
+        s, e, opens = (runs.column(c).to_numpy() for c in ("s", "e", "opens"))
+        at = np.flatnonzero(runs.column("is_anchor").to_numpy())
+        bounds = np.append(np.flatnonzero(opens), len(s))
+        run = np.searchsorted(bounds, at, side="right") - 1
+        begin, end, longest = bounds[run], bounds[run + 1], int(np.diff(bounds).max())
+        late = firsts(-e, longest)
+        lo, hi = at.copy(), at + 1
+        for k in range(len(late) - 1, -1, -1):
+            there = np.maximum(lo - 2**k, 0)
+            lo = np.where((lo - 2**k >= begin) & (e[at] - s[there] <= span_us), there, lo)
+        for k in range(len(late) - 1, -1, -1):
+            inside = hi + 2**k <= end
+            latest = e[late[k][np.where(inside, hi, 0)]]
+            hi = np.where(inside & (latest - s[lo] <= span_us), hi + 2**k, hi)
+        last = least(late, -e, lo, hi)
+        order = np.empty(len(s), np.int64)
+        order[pc.sort_indices(runs.column("key")).to_numpy()] = np.arange(len(s))
+        first = least(firsts(order, longest), order, lo, hi)
+        place = runs.column("place").to_numpy()
+        columns = {"station_id": runs.column("station_id").take(at), "anchor": runs.column("key").take(at), "lo": place[lo], "hi": place[hi - 1], "n": hi - lo, "first_key": runs.column("key").take(first), "last_at": runs.column("last_at").take(last)}
+        return pa.table(columns).combine_chunks()
+
+    def run(batches):
+        held = []  # rows of whole runs' beginning: the last run of a batch may go on in the next
+        for batch in batches:
+            opens = np.flatnonzero(batch.column("opens").to_numpy(zero_copy_only=False))
+            if len(opens):
+                before = [*held, batch.slice(0, opens[-1])]
+                if sum(map(len, before)):
+                    yield from of(pa.Table.from_batches(before)).to_batches()
+                held = []
+                batch = batch.slice(opens[-1])
+            held.append(batch)
+        if held:
+            yield from of(pa.Table.from_batches(held)).to_batches()
+
+    return run
 
 
 def assembled(segments: DataFrame, most: int = LONGEST) -> DataFrame:

@@ -30,8 +30,9 @@ SELECT key, etag, modified_at FROM listed WHERE NOT (event_id % 3 <> 0 AND event
 
 
 def due_scans(v: Views) -> DataFrame:
+    """A part is bound to two stations, that may have no groups, and to one that isn't known (null)."""
     groups = v.table("events").groupBy(F.col("user_id").alias("station_id")).agg(F.sha2(F.concat_ws("|", F.min("event_id").cast("string"), F.max("event_id").cast("string")), 256).alias("fingerprint")).withColumn("group_key", F.concat(F.lit("g/"), F.col("station_id").cast("string")))
-    bindings = v.table("part").select(F.col("p_partkey").alias("keyword_id"), F.array(F.col("p_partkey") % 150, F.col("p_size").cast("long"), F.lit(9999).cast("long")).alias("station_ids"))
+    bindings = v.table("part").select(F.col("p_partkey").alias("keyword_id"), F.array(F.col("p_partkey") % 150, F.col("p_size").cast("long"), F.lit(None).cast("long")).alias("station_ids"))
     done = groups.join(bindings.select("keyword_id", F.explode("station_ids").alias("station_id")).distinct(), "station_id").filter("keyword_id % 2 = 0").select("keyword_id", "group_key", F.when(F.col("keyword_id") % 6 == 0, "old").otherwise(F.col("fingerprint")).alias("fingerprint"), F.lit(7).alias("revision"), F.when(F.col("keyword_id") % 10 == 0, "error").otherwise("ready").alias("status"))
     return ingest.scans_due(groups, bindings, done, F.lit(7)).select("keyword_id", "group_key")
 

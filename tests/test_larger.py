@@ -69,3 +69,8 @@ def test_sessions_against_plain_growth(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert {r.anchor: (r.n, r.first_key, r["last"]) for r in told} == {k: (len(v), min(v), e) for k, (v, e) in want.items()}
     assert members and all(r["keys"] == sorted(want[r.anchor][0]) for r in members)
+
+
+def test_due_scans_with_a_station_of_every_number(spark, tmp_path):
+    """A station 9999 exists in larger tables; the bindings to an unknown one must not meet it."""
+    held(spark, "due_scans", folder_with(spark, tmp_path / "t", "events", lambda t: t.withColumn("user_id", F.when(F.col("event_id") % 50 == 0, 9999).otherwise(F.col("user_id")).cast("long"))))

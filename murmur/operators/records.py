@@ -31,8 +31,14 @@ def answer_text(raw: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Text whatever its case: in capitals, where a sharp s meets its double."""
-    return F.upper(text)
+    """Text whatever its case: in capitals, where a sharp s, small or capital, meets its double."""
+    return F.upper(F.translate(text, "ẞ", "ß"))
+
+
+def capitals(text: Column) -> Column:
+    """Text in capitals, character for character: what has no capital of one character stays, a sharp s has its own."""
+    big = lambda c: F.when(F.char_length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, "ß", "ẞ"))
+    return F.when(F.char_length(F.upper(text)) == F.char_length(text), F.upper(text)).otherwise(F.array_join(F.transform(F.split(text, ""), big), ""))
 
 
 def one_of(value: Column, allowed: tuple[str, ...], default: str) -> Column:

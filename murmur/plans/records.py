@@ -67,7 +67,7 @@ SELECT doc_id, CASE WHEN length(t) > 400 THEN regexp_replace(substr(t, 1, 397),
 
 def match_verdicts(v: Views) -> DataFrame:
     first = F.get(F.split(F.trim("text"), "[ \n]+"), 0)
-    rows = v.table("documents").select("doc_id", "text", (F.col("doc_id") % 5 != 0).alias("is_match"), _pick(("exact_alias", "semantic_topic", "translated_equivalent", "odd")).alias("match_type"), F.when(F.col("doc_id") % 3 == 0, "never said at all").otherwise(F.upper(first)).alias("matched_text"), _pick(("direct", "Indirect ", "incidental")).alias("relevance"), _pick(MOODS).alias("sentiment"), ((F.col("doc_id") % 13) / 10).alias("confidence"))
+    rows = v.table("documents").select("doc_id", "text", (F.col("doc_id") % 5 != 0).alias("is_match"), _pick(("exact_alias", "semantic_topic", "translated_equivalent", "odd")).alias("match_type"), F.when(F.col("doc_id") % 3 == 0, "never said at all").otherwise(records.capitals(first)).alias("matched_text"), _pick(("direct", "Indirect ", "incidental")).alias("relevance"), _pick(MOODS).alias("sentiment"), ((F.col("doc_id") % 13) / 10).alias("confidence"))
     return records.verdicts(rows, F.col("text"), F.lit(0.74), F.col("doc_id") % 2 == 0).drop("text", "is_match")
 
 

@@ -74,3 +74,11 @@ def test_sessions_against_plain_growth(spark):
 def test_due_scans_with_a_station_of_every_number(spark, tmp_path):
     """A station 9999 exists in larger tables; the bindings to an unknown one must not meet it."""
     held(spark, "due_scans", folder_with(spark, tmp_path / "t", "events", lambda t: t.withColumn("user_id", F.when(F.col("event_id") % 50 == 0, 9999).otherwise(F.col("user_id")).cast("long"))))
+
+
+def test_verdicts_of_words_whose_capitals_are_longer(spark, tmp_path):
+    """A sharp s has a capital of its own in SQL; it meets the small one and its double."""
+    words = F.element_at(F.array(*map(F.lit, ("große Worte", "GROẞE Worte", "ﬁne words", "ŉ abc", "übermäßig ß", "plain"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    held(spark, "match_verdicts", folder_with(spark, tmp_path / "t", "documents", lambda t: t.withColumn("text", words)))
+    one = spark.range(1).select(*[F.contains(records.folded(F.lit("Die große Straße")), records.folded(F.lit(x))).alias(x) for x in ("GROẞE", "grosse", "STRASSE")]).head()
+    assert all(one)

@@ -197,7 +197,7 @@ def conversation_stream(v):
     at = F.col("ts").cast("timestamp")
     segments = arriving.select(F.col("user_id").alias("station_id"), F.lit("s").alias("session_id"), F.col("event_id").alias("sequence"), at.alias("started_at"), (at + F.expr("INTERVAL 5 SECONDS")).alias("ended_at"), F.col("event_type").alias("class"), (F.col("event_type") == "purchase").cast("long").alias("n_matches"), F.col("event_type").alias("text"))
     limits = streams.Limits(pause_s=2 * GAP_S, before_s=2 * GAP_S, longest_s=20 * GAP_S)
-    return streams.drained(streams.conversations(segments, limits), new_path(v.spark, "conversation-stream"))
+    return streams.spelled(streams.drained(streams.closed(segments, limits), new_path(v.spark, "conversation-stream")))
 
 
 def content_types(v):

@@ -7,8 +7,9 @@ pause to the next segment is long enough (``music`` or ``silence``, by the next
 with an empty look-back and its own numbers.
 
 A micro-batch sorts one station's new segments in memory, so ``maxFilesPerTrigger`` bounds what a task holds; a station's
-state holds ``most_before`` + ``most_segments`` segments at most. Rows without station, session, number or times are
-dropped; a null text is empty, a null match count is zero.
+state holds ``most_before`` + ``most_segments`` segments at most. Missing numbers are kept as gaps (first, last), however
+wide: ``closed`` gives them so, for sinks; ``spelled`` lists each number. Rows without station, session, number or times
+are dropped; a null text is empty, a null match count is zero.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAMESPACE = "6f9619ff-8b86-d011-b42d-00c04fc964ff"  # fixed value: ids must agree with those already stored
-CLOSED = "station_id string, session_id string, close_reason string, first_sequence long, last_sequence long, started_us long, ended_us long, n_segments long, n_matches long, missing array<long>, text string"
+CLOSED = "station_id string, session_id string, close_reason string, first_sequence long, last_sequence long, started_us long, ended_us long, n_segments long, n_matches long, gaps array<struct<first:long,last:long>>, text string"
 STATE = "session string, last_sequence long, last_end long, missing string, before string, members string"
 
 
@@ -43,6 +44,7 @@ class Station:
         self.limits = limits
         self.session, self.last, self.end = saved[:3] if saved else (None, None, None)
         self.missing, self.before, self.members = map(json.loads, saved[3:]) if saved else ([], [], [])
+        self.missing = [m if isinstance(m, list) else [m, m] for m in self.missing]  # states of old list single numbers
 
     def saved(self) -> tuple:
         return self.session, self.last, self.end, *map(json.dumps, (self.missing, self.before, self.members))
@@ -51,7 +53,7 @@ class Station:
         if self.members:
             first, last = self.members[0], self.members[-1]
             words = " ".join(t for m in self.members if (t := m[4].strip()))
-            yield station, self.session, reason, first[0], last[0], first[1], last[2], len(self.members), sum(m[3] for m in self.members), self.missing, words
+            yield station, self.session, reason, first[0], last[0], first[1], last[2], len(self.members), sum(m[3] for m in self.members), [{"first": a, "last": b} for a, b in self.missing], words
         self.members, self.missing = [], []
 
     def observe(self, station: str, session: str, kind: str, segment: list) -> Iterator[tuple]:
@@ -65,7 +67,7 @@ class Station:
         if self.members and start - self.end >= self.limits.pause_s * us:
             yield from self.close(station, "music" if kind in ("music", "singing") else "silence")
         if self.last is not None:
-            self.missing += range(self.last + 1, sequence) if self.members or matches else ()
+            self.missing += [[self.last + 1, sequence - 1]] if sequence > self.last + 1 and (self.members or matches) else []
         self.last, self.end = sequence, end
         if self.members:
             self.members.append(segment)
@@ -93,9 +95,10 @@ def cleaned(segments: DataFrame) -> DataFrame:
     return segments.select(F.col("station_id").cast("string"), F.col("session_id").cast("string"), F.col("sequence").cast("long"), us("started_at"), us("ended_at"), F.coalesce("class", F.lit("")).alias("class"), F.coalesce(F.col("n_matches").cast("long"), F.lit(0)).alias("n_matches"), F.coalesce("text", F.lit("")).alias("text")).dropna()
 
 
-def conversations(segments: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def closed(segments: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Closed conversations of a stream with station_id, session_id, sequence, started_at, ended_at, class, n_matches,
-    text. The conversation's id depends on its session and first segment only, so a replay writes the same keys."""
+    text. The conversation's id depends on its session and first segment only, so a replay writes the same keys. What is
+    missing is told by gaps (first, last)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, frames, state):
@@ -107,8 +110,19 @@ def conversations(segments: DataFrame, limits: Limits = Limits()) -> DataFrame:
         state.update(held.saved())
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED.split(", ")])
 
-    closed = cleaned(segments).groupBy("station_id").applyInPandasWithState(step, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
-    return closed.withColumn("conversation_id", uuid5(F.concat_ws(":", "session_id", F.col("first_sequence").cast("string"))))
+    found = cleaned(segments).groupBy("station_id").applyInPandasWithState(step, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return found.withColumn("conversation_id", uuid5(F.concat_ws(":", "session_id", F.col("first_sequence").cast("string"))))
+
+
+def spelled(found: DataFrame) -> DataFrame:
+    """Closed conversations with each ``missing`` number in place of the gaps."""
+    numbers = F.flatten(F.transform("gaps", lambda g: F.sequence(g["first"], g["last"])))
+    return found.select(*[numbers.alias("missing") if c == "gaps" else c for c in found.columns])
+
+
+def conversations(segments: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Closed conversations of a stream (``closed``) with the list of their missing numbers."""
+    return spelled(closed(segments, limits))
 
 
 def send_once(messages: DataFrame, at: str = "sent_at", keys: tuple = ("queue", "dedup_id"), span: str = "300 seconds") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from murmur.streaming.conversations import CLOSED, STATE, Limits, Station, cleaned, uuid5
+from murmur.streaming.conversations import CLOSED, STATE, Limits, Station, cleaned, spelled, uuid5
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _COLUMNS = [c.split()[0] for c in CLOSED.split(", ")]
@@ -72,7 +72,7 @@ def timed_conversations(segments: DataFrame, limits: Limits = Limits(), delay: s
     """Closed conversations of a stream of segments (see ``conversations``), idle ones too."""
     rows = cleaned(segments).withColumnRenamed("class", "kind").withColumn("at", F.timestamp_micros("ended_at")).withWatermark("at", delay)
     closed = rows.groupBy("station_id").transformWithStateInPandas(Stations(limits, idle_s, keep_s), CLOSED, "Append", "EventTime")
-    return closed.withColumn("conversation_id", uuid5(F.concat_ws(":", "session_id", F.col("first_sequence").cast("string"))))
+    return spelled(closed.withColumn("conversation_id", uuid5(F.concat_ws(":", "session_id", F.col("first_sequence").cast("string")))))
 
 
 def class_windows(segments: DataFrame, window_s: int = 3, delay: str = "60 seconds") -> DataFrame:

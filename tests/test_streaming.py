@@ -45,6 +45,20 @@ def test_longest(spark, tmp_path):
     assert [(r.close_reason, r.n_segments) for r in run(spark, tmp_path, [rows], streams.Limits(most_segments=4))] == [("max_duration", 4)]
 
 
+def test_wide_gaps(spark, tmp_path):
+    """Numbers far apart are a gap in state and sink, not a list of 2,000,000,000,000 (executor memory ran out)."""
+    far = 1_000_000_000_000
+    rows = [seg("a", "s", 1, 0, 1), seg("a", "s", 3, 6), seg("a", "s", far, 12), seg("a", "s", 2 * far, 18), seg("a", "s", 2 * far + 1, 60)]
+    for i, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = streams.drained(streams.closed(stream), f"{tmp_path}/out")
+    assert [[tuple(g) for g in r.gaps] for r in got.collect()] == [[(2, 2), (4, far - 1), (far + 1, 2 * far - 1)]]
+    assert streams.Station(streams.Limits(), ("s", 7, 9, "[3, 5]", "[]", "[]")).missing == [[3, 3], [5, 5]]
+    few = spark.createDataFrame([([(2, 2), (4, 6)],), ([],)], "gaps array<struct<first:long,last:long>>")
+    assert [r.missing for r in streams.spelled(few).collect()] == [[2, 4, 5, 6], []]
+
+
 def test_conversation_stream_query(spark):
     folder = "/root/testdata/sf0.01"
     got = {(int(r.station_id), r.first_sequence): (r.last_sequence, r.close_reason, r.n_segments, r.n_matches) for r in registry.queries()["conversation_stream"](spark, folder).collect()}

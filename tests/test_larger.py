@@ -7,6 +7,7 @@ import time
 import compare
 from pyspark.sql import functions as F
 
+from murmur.functions import text
 from murmur.operators import matching, records, transcripts
 from murmur.plans import matching as plans
 from murmur.plans import registry
@@ -104,3 +105,14 @@ def test_matches_decided_in_the_scan_and_by_joins(spark):
     for fuzzy in (False, True):
         rows = [sorted(map(repr, matching.matches(docs, terms, owners, fuzzy, bound=b).collect())) for b in (100_000, 60)]
         assert rows[0] == rows[1] and len(rows[0]) > 500 and (not fuzzy or any("fuzzy" in r for r in rows[0]))
+
+
+def test_spans_take_one_text_of_a_batch_at_a_time(spark):
+    """Arrow functions (250), not pandas ones (200), which make strings of all texts of a batch; nulls and wide characters."""
+    rows = spark.createDataFrame([("One 😀 two. Big Words here! Last", "big words"), (None, "x"), ("none here", "zz"), ("a", None)], "text string, phrase string")
+    found = rows.select("text", *[text.spans(F.col("text"), F.col("phrase"), how).alias(how) for how in ("exact", "normal", "highlight")])
+    found = found.select("exact", "normal", "highlight", text.sentences(F.col("text"), F.col("highlight.start"), F.col("highlight.end")).alias("sentence"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "], 250" in plan and "], 200" not in plan
+    got = [tuple(map(lambda v: tuple(v) if isinstance(v, tuple) else v, r)) for r in found.collect()]
+    assert got == [((11, 20), (11, 20), (11, 20), "Big Words here!"), *[(None, None, None, None)] * 3]

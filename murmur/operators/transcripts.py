@@ -162,7 +162,10 @@ def words_of_span(words: DataFrame, spans: DataFrame) -> DataFrame:
     """The words that overlap a span of time, as one highlight: start_char, end_char, n_words. words: doc_id, start_char,
     end_char, started_at, ended_at; spans: doc_id, span_id, from_at, to_at (null: an instant)."""
     asked = spans.select("doc_id", "span_id", "from_at", F.coalesce("to_at", "from_at").alias("to_at"))
-    spoken = words.withColumn("ended_at", F.coalesce("ended_at", "started_at"))
+    # most words lie outside of all spans of their document: they are dropped before any pairs are made
+    reach = asked.groupBy("doc_id").agg(F.min("from_at").alias("_least"), F.max("to_at").alias("_most"))
+    near = words.withColumn("ended_at", F.coalesce("ended_at", "started_at")).join(reach, "doc_id")
+    spoken = near.filter((F.col("ended_at") >= F.col("_least")) & (F.col("started_at") <= F.col("_most"))).drop("_least", "_most")
     over = intervals.overlapping(asked, spoken, "doc_id", ("from_at", "started_at"), ("to_at", "ended_at"), closed=True)
     return over.groupBy("doc_id", F.col("l.span_id").alias("span_id")).agg(F.min("r.start_char").alias("start_char"), F.max("r.end_char").alias("end_char"), F.count("*").alias("n_words"))
 

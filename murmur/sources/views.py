@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Partitions that one split of a table's files is dealt into (``Views.spread``).
+PER_SPLIT = 8
+
+
 class Views:
     """Lazily read tables of one folder; every view prunes to the columns it needs."""
 
@@ -15,6 +19,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, rows: DataFrame, *keys) -> DataFrame:
+        """rows, made of the named table, dealt by keys into partitions whose number grows with the table's files: a task's
+        share, and its memory, stays as it is when the table grows."""
+        splits = self.table(name).rdd.getNumPartitions()
+        return rows.repartition(max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), PER_SPLIT * splits), *keys)
+
     def campaigns(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").alias("campaign_id"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("paused").alias("status"), F.col("o_orderdate").alias("created_at"))
 

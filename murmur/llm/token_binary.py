@@ -67,8 +67,64 @@ _END_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 _MARK = "\x01"
 
 
+#: Words of the lower-case letters a to z and ß to ÿ but ÷: one pre-token each, and nothing in them is normalised.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level characters of the bytes of those words that don't stand for themselves.
+_SHIFTED = (("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143"))
+
+
+@functools.lru_cache(maxsize=2)
+def _plain_tokenizer(tok):
+    """A vocabulary's tokenizer for plain words that are in byte-level characters already, split at spaces only, and which
+    ids end a word; none if its ids don't show where words end, or an added token may lie in such words."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    suffix = isinstance(tok.model, models.BPE) and tok.model.end_of_word_suffix
+    added = [t.content.replace(" ", "").encode() for t in tok.get_added_tokens_decoder().values()]
+    if not suffix or any(not t or _PLAIN.fullmatch(t) for t in added):
+        return None
+    ids = tok.get_vocab()
+    ends = np.zeros(max(ids.values()) + 1, dtype=bool)
+    ends[[i for token, i in ids.items() if token.endswith(suffix)]] = True
+    encoder = Tokenizer(tok.model)  # the model is shared, not copied
+    encoder.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return encoder, ends
+
+
+def _learn_plain(tok, words: list[bytes], kind: str) -> list[bytes]:
+    """Ids of plain words, without the vocabulary's normaliser and pre-tokenizer; returns the words left to ``_learn``."""
+    got = _plain_tokenizer(tok)
+    if got is None:
+        return words
+    rest, plain = [], []
+    for w in words:
+        (plain if _PLAIN.fullmatch(w) else rest).append(w)
+    encoder, is_end = got
+    for first in range(0, len(plain), 20_000):
+        part = plain[first : first + 20_000]
+        joined = b" ".join(part).decode("latin-1")
+        for byte, char in _SHIFTED:
+            joined = joined.replace(byte, char)
+        ids = np.array(encoder.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=kind)
+        ends = np.flatnonzero(is_end[ids]) + 1
+        if len(ends) == len(part):
+            _remember(part, ids, ends, ends)
+        else:  # the vocabulary lacks a letter
+            rest += part
+    return rest
+
+
+def _remember(words: list[bytes], ids: np.ndarray, ends: np.ndarray, nexts: np.ndarray) -> None:
+    """Keeps the ids of words that follow one another: where each one's end, and where the next one's begin."""
+    data, size, at = ids.tobytes(), ids.itemsize, 0
+    for w, end, after in zip(words, (ends * size).tolist(), (nexts * size).tolist(), strict=True):
+        _remembered[w] = data[at:end]
+        at = after
+
+
 def _learn(tok, words: list[bytes], kind: str) -> None:
     """Ids of words not met before, encoded many in one call."""
+    words = _learn_plain(tok, words, kind)
     between = tok.encode(_MARK, add_special_tokens=False).ids
     odd = [w for w in words if b"\x01" in w] if len(between) == 1 else words
     for w in odd:
@@ -79,11 +135,7 @@ def _learn(tok, words: list[bytes], kind: str) -> None:
         joined = (b" \x01 ".join(part) + b" \x01").decode()
         ids = np.array(tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=kind)
         ends = np.flatnonzero(ids == between[0])
-        data, size = ids.tobytes(), ids.itemsize
-        at = 0
-        for w, end in zip(part, (ends * size).tolist(), strict=True):
-            _remembered[w] = data[at:end]
-            at = end + size
+        _remember(part, ids, ends, ends + 1)
 
 
 #: Classes of bytes: letters and digits, marks that end words, white space, others.

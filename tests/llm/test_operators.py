@@ -94,6 +94,26 @@ def test_words_encode_separately():
         assert token_binary.encode_texts(tok, [text.encode()])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
 
 
+def test_plain_words_skip_normaliser_and_pre_tokenizer(monkeypatch):
+    held = token_binary.tokenizer(public_tokenizers.path(token_binary.VOCAB))
+    text = "zwölfunddreißig übelst naïvement garçonqzx ÿß ñandúes größer÷2 Straße ÉTÉ cafe\u0301 q9 ab*** zażółć thatrewhqx"
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split())
+            return held.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(held, name)
+
+    tok = Counting()
+    monkeypatch.setattr(token_binary, "_remembered", token_binary._Remembered())
+    monkeypatch.setattr(token_binary, "_holder", ())
+    assert token_binary.encode_texts(tok, [text.encode()])[0] == np.array(held.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert {w for w in asked if w != "\x01"} == {"größer÷2", "ÉtÉ", "cafe\u0301", "q9", "ab***", "zażółć"}
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 1000])
 def test_packing(n):
     values = np.random.default_rng(n).integers(0, 1 << 32, n, dtype=np.uint64) >> np.random.default_rng(1).integers(0, 32, n, dtype=np.uint64)

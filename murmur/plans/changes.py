@@ -116,7 +116,7 @@ def stored_transcripts(v: Views) -> DataFrame:
 
 def inserted_segments(v: Views) -> DataFrame:
     """Segments by session and sequence: a repeated one adds nothing."""
-    rows = v.table("lineitem").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("sequence"))
+    rows = v.spread("lineitem", v.table("lineitem").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("sequence")), "session", "sequence")
     old = rows.filter("sequence % 2 = 0").dropDuplicates(["session", "sequence"])
     return tables.inserted(old, rows, ["session", "sequence"]).groupBy("session").agg(F.count("*").alias("n"), F.sum("sequence").alias("sequences"))
 

@@ -22,7 +22,8 @@ def mention_events(v: Views) -> DataFrame:
 
 
 def mention_campaigns(v: Views) -> DataFrame:
-    return v.table("lineitem").groupBy(F.col("l_orderkey").alias("mention_id"), F.col("l_suppkey").alias("campaign_id")).agg((F.max("l_returnflag") != "R").alias("included"))
+    lines = v.spread("lineitem", v.table("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag"), "l_orderkey")
+    return lines.groupBy(F.col("l_orderkey").alias("mention_id"), F.col("l_suppkey").alias("campaign_id")).agg((F.max("l_returnflag") != "R").alias("included"))
 
 
 def mention_keywords(v: Views) -> DataFrame:

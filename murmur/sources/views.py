@@ -29,10 +29,12 @@ class Views:
         return self.table("orders").select(F.col("o_orderkey").alias("campaign_id"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("paused").alias("status"), F.col("o_orderdate").alias("created_at"))
 
     def campaign_stations(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_orderkey").alias("campaign_id"), F.col("l_suppkey").alias("station_id")).distinct()
+        rows = self.table("lineitem").select(F.col("l_orderkey").alias("campaign_id"), F.col("l_suppkey").alias("station_id"))
+        return self.spread("lineitem", rows, "campaign_id").distinct()
 
     def campaign_keywords(self) -> DataFrame:
-        link = self.table("lineitem").groupBy(F.col("l_orderkey").alias("campaign_id"), F.col("l_partkey").alias("keyword_id")).agg(F.max(F.col("l_linestatus") == "O").alias("enabled"))
+        lines = self.spread("lineitem", self.table("lineitem").select("l_orderkey", "l_partkey", "l_linestatus"), "l_orderkey")
+        link = lines.groupBy(F.col("l_orderkey").alias("campaign_id"), F.col("l_partkey").alias("keyword_id")).agg(F.max(F.col("l_linestatus") == "O").alias("enabled"))
         return link.join(self.table("part").select(F.col("p_partkey").alias("keyword_id"), F.col("p_name").alias("value"), F.col("p_type").alias("kind")), "keyword_id")
 
     def segments(self) -> DataFrame:

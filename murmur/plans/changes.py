@@ -183,9 +183,11 @@ def object_stations(v: Views) -> DataFrame:
 
 def mention_documents(v: Views) -> DataFrame:
     """Keys and hashes of the documents that orders as mentions are published in; their lines are segments."""
-    lines = v.table("lineitem").groupBy(F.col("l_orderkey").alias("mention_id")).agg(F.array_sort(F.collect_set(F.struct(F.col("l_linenumber").cast("string").alias("segment_id"), F.col("l_shipdate").cast("string").alias("text")))).alias("segments"))
+    lines = v.spread("lineitem", v.table("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_orderkey")
+    lines = lines.groupBy(F.col("l_orderkey").alias("mention_id")).agg(F.array_sort(F.collect_set(F.struct(F.col("l_linenumber").cast("string").alias("segment_id"), F.col("l_shipdate").cast("string").alias("text")))).alias("segments"))
     rows = v.table("orders").select(F.col("o_orderkey").alias("mention_id"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("conversation_id"), F.col("o_custkey").cast("string").alias("station_id"), F.lit(None).cast("string").alias("station_name"), F.col("o_orderstatus").alias("content_type"), F.lit("en").alias("detected_language"), F.col("o_orderdate").alias("started_at"), (F.col("o_orderdate") + F.expr("INTERVAL 90 SECONDS")).alias("ended_at"), F.lit("silence").alias("close_reason"), F.array("o_custkey").alias("campaign_ids"), F.array(F.lit("k")).alias("keyword_ids"), F.lit(None).cast("string").alias("evidence_key"), F.col("o_orderpriority").alias("text"), F.array().cast("array<bigint>").alias("missing"), F.array().cast("array<struct<keyword_id:string>>").alias("matches"), F.lit('{"status":"ready"}').alias("analysis"))
-    return objects.keyed(objects.mention_documents(rows.join(lines, "mention_id", "left"))).select("key", F.sha2("body", 256).alias("body_sha256"), F.length("body").cast("long").alias("size"))
+    documents = v.spread("lineitem", objects.mention_documents(rows.join(lines, "mention_id", "left")), "key")
+    return objects.keyed(documents).select("key", F.sha2("body", 256).alias("body_sha256"), F.length("body").cast("long").alias("size"))
 
 
 DOCUMENTS_SQL = """

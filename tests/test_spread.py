@@ -10,7 +10,7 @@ from murmur.sources import views
 SOURCE = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["inserted_segments", "policy_fan_out", "station_demand"])
+@pytest.mark.parametrize("name", ["inserted_segments", "policy_fan_out", "station_demand", "mention_documents"])
 def test_partitions_grow_with_the_table(spark, name):
     held = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:

@@ -31,6 +31,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,8 @@ SIMILAR = 0.75
 _LEAST_ID, _MOST = -(1 << 63), (1 << 63) - 1
 #: Bytes of text and number of ranges at most of the ordered comparison; rows of a block of an often shared spot.
 RANGE_BYTES, MOST_RANGES, BLOCK = 32 << 20, 10_000, 500
+#: Bytes of text whose words are held at once by a task that makes fingerprints.
+SLICE_BYTES = 1 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -210,14 +213,29 @@ def edited_pairs(df: DataFrame, anchors=None) -> DataFrame:
 def fingerprints(df: DataFrame, anchors=None) -> DataFrame:
     """doc_id, spots (64 bits each, array of long) and mark (MD5 of them) of each row."""
 
-    @F.pandas_udf("struct<spots:array<bigint>,mark:binary>")
-    def marks(texts: pd.Series) -> pd.DataFrame:
-        values, out = texts.tolist(), []
-        for a, b in sliced(values):
-            out += [s.view(np.int64) for s in spots(values[a:b], anchors, wide=True)]
-        return pd.DataFrame({"spots": pd.Series(out, dtype=object), "mark": [hashlib.md5(s.tobytes()).digest() for s in out]})
-
-    return id_and_text(df).select("doc_id", marks("text").alias("m")).select("doc_id", "m.spots", "m.mark")
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in _slices(pc.binary_length(texts).to_pylist()):  # Python strings of one slice at a time
+                found = spots(texts.slice(a, b - a).to_pylist(), anchors, wide=True)
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                flat = pa.array(np.concatenate(found).view(np.int64))
+                marks = [hashlib.md5(s.tobytes()).digest() for s in found]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(marks, pa.binary())], names=["doc_id", "spots", "mark"])
+
+    return id_and_text(df).mapInArrow(run, "doc_id long, spots array<bigint>, mark binary")
+
+
+def _slices(sizes: list[int]):
+    """Index ranges over texts of SLICE_BYTES bytes or one text."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > SLICE_BYTES:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def _blocks(n: str):

@@ -191,13 +191,14 @@ ORDER = "PARTITION BY station_id ORDER BY started_at, segment_id"
 
 
 def conversation_stream(v):
-    """Events replayed as segments: a purchase is a match, pauses are hours."""
+    """Events replayed as segments: a purchase is a match, pauses are hours. A station's numbers lie far apart here, so what
+    is missing is told by gaps (first, last), each number in one of them; ``streams.spelled`` lists the numbers."""
     events = v.table("events")
     arriving = v.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{v.folder}/events.parquet*")  # a pattern: the table may be one file
     at = F.col("ts").cast("timestamp")
     segments = arriving.select(F.col("user_id").alias("station_id"), F.lit("s").alias("session_id"), F.col("event_id").alias("sequence"), at.alias("started_at"), (at + F.expr("INTERVAL 5 SECONDS")).alias("ended_at"), F.col("event_type").alias("class"), (F.col("event_type") == "purchase").cast("long").alias("n_matches"), F.col("event_type").alias("text"))
     limits = streams.Limits(pause_s=2 * GAP_S, before_s=2 * GAP_S, longest_s=20 * GAP_S)
-    return streams.spelled(streams.drained(streams.closed(segments, limits), new_path(v.spark, "conversation-stream")))
+    return streams.drained(streams.closed(segments, limits), new_path(v.spark, "conversation-stream"))
 
 
 def content_types(v):

@@ -74,10 +74,10 @@ def station_terms(v: Views) -> DataFrame:
 def timed_matches(v: Views) -> DataFrame:
     """Matches with the times of the lines they lie in: a line is a segment of 80 ms a character."""
     docs = transcripts(v)
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", "n", F.char_length("line").alias("size"))
-    before = F.coalesce(F.sum(F.col("size") + 1).over(matching.Window.partitionBy("doc_id").orderBy("n").rowsBetween(matching.Window.unboundedPreceding, -1)), F.lit(0))
-    timeline = lines.withColumn("start_char", before).withColumn("end_char", F.col("start_char") + F.col("size")).select("doc_id", "start_char", "end_char", (F.col("start_char") * 80).alias("start_ms"), (F.col("end_char") * 80).alias("end_ms"))
-    return matching.timed(matching.matches(docs, *_index(v)), timeline).select("doc_id", "keyword_id", "start", "end", "start_ms", "end_ms")
+    lines = text.laid_out(F.transform(F.split("text", "\n"), F.char_length))
+    at = lambda place: place.cast("long") * 80
+    timeline = F.transform(lines, lambda x: F.struct(x["start_char"].alias("start_char"), x["end_char"].alias("end_char"), at(x["start_char"]).alias("start_ms"), at(x["end_char"]).alias("end_ms")))
+    return matching.matches(docs.withColumn("timeline", timeline), *_index(v)).select("doc_id", "keyword_id", "start", "end", "start_ms", "end_ms")
 
 
 def station_hints(v: Views) -> DataFrame:
